@@ -2,7 +2,7 @@
 
 Base spans are found by one pattern for each kind, leftmost and without overlap, and kept if they pass the
 kind's test (parts at most 255, Luhn, number of digits). Further candidates (addresses spelled out, phone
-numbers without a country code, long secrets) are put to three labelers: the form of the span (regex), lists
+numbers without a country code, long secrets with digits in the text) are put to three labelers: the form of the span (regex), lists
 of known words and prefixes (gazetteer), and the words before it (context). Each votes for, against, or
 abstains. Candidates of the whole table are counted by kind, shape and votes; expectation-maximisation over
 these counts estimates how far each labeler is to be trusted, and a naive Bayes classifier over kind, shape and
@@ -130,8 +130,13 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 def candidates(text: Column) -> tuple[Column, Column]:
     """Base spans, and further candidates that overlap none of them."""
-    base = F.concat(*[_spans(text, kind, pattern, True) for kind, pattern in BASE.items()])
-    more = F.concat(*[_spans(text, kind, pattern, False) for kind, pattern in LOOSE.items()])
+    digit = text.rlike("[0-9]")
+    # what a text must hold for a pattern to match at all; cheaper than the pattern
+    needs = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
+    loose_needs = {"email": F.contains(F.lower(text), F.lit("dot")), "phone": digit, "secret": digit}
+    none = F.array().cast(SPAN)
+    base = F.concat(*[F.when(needs[kind], _spans(text, kind, pattern, True)).otherwise(none) for kind, pattern in BASE.items()])
+    more = F.concat(*[F.when(loose_needs[kind], _spans(text, kind, pattern, False)).otherwise(none) for kind, pattern in LOOSE.items()])
     return base, more
 
 
