@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleworks.llm import media_columns, pii, sentencepiece_codec, sharding, topk_search
+from sampleworks.llm import media_columns, ngram_jaccard, pii, sentencepiece_codec, sharding, topk_search
 from sampleworks.llm._shared import documents
 
 
@@ -29,6 +29,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_digests(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join_components(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op6_media_columns": op6_media_columns,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_pii": op9_pii,
     "op10_topk_search": op10_topk_search,
 }
