@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleworks.llm import media_columns, ngram_jaccard, pii, sentencepiece_codec, sharding, topk_search
+from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, sentencepiece_codec, sharding, topk_search
 from sampleworks.llm._shared import documents
 
 
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 16, law="bytes")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_digests(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
+    "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_pii": op9_pii,
