@@ -12,8 +12,9 @@ discarded:
    because a whole part must agree. Empty parts name a block only for sets that might agree in nothing else.
 3. In each block the overlaps of one row, the pivot, with all others are counted. Distinct pairs over all
    blocks are counted once.
-4. Blocks whose other rows don't yet belong to one component get the rest of their product, in tiles of
-   ``TILE`` rows at most, leaving out pairs within a component. So a large group of near copies costs a number
+4. Blocks whose other rows don't yet belong to one component get the rest of their product, in tiles of about
+   ``TILE`` rows, leaving out pairs within a component. Rows that meet in such blocks are multiplied as
+   one family up to ``FAMILY`` rows, beyond it block by block. So a large group of near copies costs a number
    of pairs in proportion to its rows, but no link between different texts is lost.
 
 Words are runs of anything but space and bytes 9 to 13, with A-Z in lower case. A text with fewer words
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.llm._components import components
-from sampleworks.llm._shared import discard, written
+from sampleworks.llm._shared import written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
 TILE = 256
 PORTION = 1024
 COLUMNS = 4096
+FAMILY = 4096
+BROADCAST_USES = 500_000
 
 
 @lru_cache(maxsize=8)
@@ -156,7 +159,13 @@ def _blocks_of(df: DataFrame, size: int, percent: int, text_col: str) -> DataFra
 
 
 def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, fields: str) -> DataFrame:
-    """Rows of ``wanted`` (id, uses: array of structs) unfolded, each with the n-grams of its document."""
+    """Rows of ``wanted`` (id, uses: array of structs) unfolded, each with the n-grams of its document.
+
+    ``wanted`` is broadcast if its counted uses are few enough, else both sides are shuffled.
+    """
+    wanted = written(wanted, "wanted")
+    if (wanted.agg(F.sum(F.size("uses") + 1)).first()[0] or 0) <= BROADCAST_USES:
+        wanted = F.broadcast(wanted)
     uses = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,18 +226,23 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
     labelled = members.filter("node <> pivot").join(labels, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"))
     open_blocks = (
         labelled.groupBy("block")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("head"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
         .filter("low <> high")
         .groupBy("rows", "same")
-        .agg(F.min("block").alias("block"))
-        .withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
+        .agg(F.min("block").alias("block"), F.min_by("head", "block").alias("head"))
     )
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    open_rows = labelled.join(open_blocks.select("block", "tiles"), "block").withColumn("tile", tile)
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    use = F.struct("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
-    more_uses = written(open_rows.select("node", use.alias("use")).groupBy("node").agg(F.collect_list("use").alias("uses")).join(first, "node").select("id", "uses"), "open")
-    if more_uses.limit(1).count():
+    open_rows = written(labelled.join(open_blocks, "block"), "open")
+    if open_rows.limit(1).count():
+        # rows that meet in any open block are a family; a family of moderate size is multiplied as one
+        families = components(open_rows.select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "family")
+        sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+        in_family = families.join(sizes, "family")
+        small = open_rows.select("node", "comp").distinct().join(in_family.filter(F.col("size") <= FAMILY), "node").select(F.col("family").alias("block"), "node", "comp", F.col("size").alias("rows"))
+        large = open_rows.join(in_family.filter(F.col("size") > FAMILY).select("node"), "node", "left_semi").select("block", "node", "comp", "rows")
+        tiles = F.ceil(F.col("rows") / TILE).cast("int")
+        dealt = small.union(large).withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        use = F.struct("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
+        more_uses = dealt.select("node", use.alias("use")).groupBy("node").agg(F.collect_list("use").alias("uses")).join(first, "node").select("id", "uses")
 
         def in_tile(frame: pd.DataFrame) -> pd.DataFrame:
             i, j = frame["i"].iloc[0], frame["j"].iloc[0]
@@ -255,8 +269,8 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
                     b.append(y["node"].iat[q])
             return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-        tiles = _with_sets(df, more_uses, size, id_col, text_col, "block long, i int, j int, tile int, node long, comp long")
-        more = written(tiles.groupBy("block", "i", "j").applyInPandas(in_tile, "a long, b long"), "more-edges")
+        rows = _with_sets(df, more_uses, size, id_col, text_col, "block long, i int, j int, tile int, node long, comp long")
+        more = written(rows.groupBy("block", "i", "j").applyInPandas(in_tile, "a long, b long"), "more-edges")
         if more.limit(1).count():
             labels = components(edges.union(more))
     reached = docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
