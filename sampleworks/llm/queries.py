@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, sentencepiece_codec, sharding, topk_search
+from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, sentencepiece_codec, sharding, topk_search, toxicity
 from sampleworks.llm._shared import documents
 
 
@@ -37,6 +37,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join_components(documents(spark, sf_dir), size=3, percent=90)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_topk_search": op10_topk_search,
 }
