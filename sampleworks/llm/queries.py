@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, quality, sentencepiece_codec, sharding, topk_search, toxicity
+from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk_search, toxicity
 from sampleworks.llm._shared import documents
 
 
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weigh(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard": op7_ngram_jaccard,
