@@ -70,18 +70,15 @@ def restore_samples(holding: DataFrame, target: DataFrame, key: str) -> DataFram
 
 def delete_rows(df: DataFrame, positions: DataFrame, row: str = "_row") -> DataFrame:
     """Rows without those positions, numbered anew: a row moves up by the deleted positions before it."""
-    gone = positions.select(F.col(row).cast("long").alias(row)).distinct()
-    marks = df.select("*", F.lit(0).alias("__gone")).join(gone, row, "left_anti")
-    # positions fall into stretches; the deletions before a stretch are a running sum over few rows
-    stretch = F.floor(F.col(row) / 65_536)
-    before = gone.groupBy(stretch.alias("__s")).agg(F.count("*").alias("__n"), F.sort_array(F.collect_list(row)).alias("__at"))
-    before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__s")) - F.col("__n"))
-    spans = marks.withColumn("__s", stretch).join(before.select("__s", "__at"), "__s", "left")
-    totals = before.agg(F.sort_array(F.collect_list(F.struct("__s", "__before", "__n"))).alias("__all"))
-    own = F.size(F.filter(F.coalesce("__at", F.array().cast("array<bigint>")), lambda p: p < F.col(row)))
-    earlier = F.aggregate(F.filter("__all", lambda t: t["__s"] < F.col("__s")), F.lit(0).cast("long"), lambda a, t: a + t["__n"])
-    moved = spans.crossJoin(F.broadcast(totals)).withColumn("__new", F.col(row) - own - F.coalesce(earlier, F.lit(0)))  # one row of totals
-    return moved.select(*[F.col("__new").alias(row) if c == row else F.col(c) for c in df.columns])
+    gone = positions.select(F.col(row).alias("__row"), F.lit(1).alias("__gone")).distinct()
+    marked = df.join(gone, F.col(row) == F.col("__row"), "left").withColumn("__gone", F.coalesce("__gone", F.lit(0))).withColumn("__stretch", F.floor(F.col(row) / 65_536))
+    # a running sum inside stretches of positions, and one over the few totals of stretches
+    inside = F.sum("__gone").over(Window.partitionBy("__stretch").orderBy(row).rowsBetween(Window.unboundedPreceding, 0))
+    totals = marked.groupBy("__stretch").agg(F.sum("__gone").alias("__n"))
+    totals = totals.select("__stretch", (F.sum("__n").over(Window.orderBy("__stretch")) - F.col("__n")).alias("__before"))
+    moved = marked.withColumn("__inside", inside).join(totals, "__stretch").filter("__gone = 0")
+    place = F.col(row) - F.col("__inside") - F.col("__before")
+    return moved.select(*[place.alias(row) if c == row else F.col(c) for c in df.columns])
 
 
 def set_values(df: DataFrame, patch: DataFrame, column: str, row: str = "_row") -> DataFrame:
