@@ -10,11 +10,11 @@ discarded:
    sets differ in at most ``d`` n-grams. The n-grams are dealt by hash into more than ``d`` parts, so linked
    sets agree in whole parts: the hash of a part names a block. Frequent n-grams don't make large blocks,
    because a whole part must agree. Empty parts name a block only for sets that might agree in nothing else.
-3. In each block the overlaps of one row, the pivot, with all others are counted. Distinct pairs over all
-   blocks are counted once.
-4. Blocks whose other rows don't yet belong to one component get the rest of their product, in tiles of about
-   ``TILE`` rows, leaving out pairs within a component. Rows that meet in such blocks are multiplied as
-   one family up to ``FAMILY`` rows, beyond it block by block. So a large group of near copies costs a number
+3. Rows that meet in any block are a family. A family of up to ``DIRECT`` rows is multiplied as one, in tiles of
+   about ``TILE`` rows.
+4. In a larger family the overlaps of one row of each block, the pivot, with all others are counted, each distinct
+   pair once. Blocks whose other rows don't then belong to one component get the rest of their product, in
+   tiles, leaving out pairs within a component: as one family up to ``FAMILY`` rows, beyond it block by block. So a large group of near copies costs a number
    of pairs in proportion to its rows, but no link between different texts is lost.
 
 Words are runs of anything but space and bytes 9 to 13, with A-Z in lower case. A text with fewer words
@@ -40,9 +40,10 @@ from sampleworks.llm._components import components
 from sampleworks.llm._shared import written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
-TILE = 256
+TILE = 512
 PORTION = 1024
 COLUMNS = 4096
+DIRECT = 1024
 FAMILY = 4096
 BROADCAST_USES = 500_000
 
@@ -94,7 +95,11 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     left, right = np.concatenate(rows), np.concatenate(columns)
     row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column_of = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    common = np.intersect1d(left, right)
+    if rows is columns:  # between different rows only n-grams of several rows count
+        common, times = np.unique(left, return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(left, right)
     counts = np.zeros((len(rows), len(columns)), np.float32)
 
     def sides(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,20 +186,48 @@ def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_co
     return uses.select("text", "uses").mapInArrow(run, f"{fields}, grams binary")
 
 
-def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id``: the smallest id that links of ``percent`` reach."""
-    docs = written(classes(df, size, id_col, text_col), "classes")
-    first = docs.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-    block = Window.partitionBy("block")
-    members = written(
-        _blocks_of(df.filter(F.col(id_col).isNotNull()), size, percent, text_col)
-        .withColumn("pivot", F.min("node").over(block))
-        .withColumn("last", F.max("node").over(block))
-        .filter("pivot <> last")
-        .select("block", "pivot", "node")
-        .distinct(),
-        "blocks",
-    )
+def _tile_edges(df: DataFrame, rows: DataFrame, first: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between rows of one block (``block, node, comp, rows``) in different components, enough of them to join
+    the components; the product is done in tiles."""
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    use = F.struct("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
+    uses = dealt.select("node", use.alias("use")).groupBy("node").agg(F.collect_list("use").alias("uses")).join(first, "node").select("id", "uses")
+
+    def in_tile(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        x, y = frame[frame["tile"] == i], frame[frame["tile"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sets = [[np.frombuffer(g, np.uint64) for g in x["grams"]]]
+        sets.append(sets[0] if i == j else [np.frombuffer(g, np.uint64) for g in y["grams"]])
+        counts = overlaps(*sets)
+        sizes = [np.array([len(g) for g in s]) for s in sets]
+        own, theirs = x["comp"].to_numpy(), y["comp"].to_numpy()
+        good = linked(counts, sizes[0][:, None], sizes[1][None, :], percent) & (own[:, None] != theirs[None, :])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        nodes = x["node"].to_numpy(), y["node"].to_numpy()
+        for p, q in zip(*np.nonzero(good)):
+            left, right = root(own[p]), root(theirs[q])
+            if left != right:
+                parent[max(left, right)] = min(left, right)
+                a.append(nodes[0][p])
+                b.append(nodes[1][q])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    with_sets = _with_sets(df, uses, size, id_col, text_col, "block long, i int, j int, tile int, node long, comp long")
+    return written(with_sets.groupBy("block", "i", "j").applyInPandas(in_tile, "a long, b long"), "tile-edges")
+
+
+def _large_edges(df: DataFrame, members: DataFrame, families: DataFrame, first: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links in large families: with the pivot of each block, then between what that leaves apart."""
     # overlaps with the pivot of each block
     pairs = written(members.filter("node <> pivot").select("pivot", "node").distinct(), "pairs")
     portions = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
@@ -222,57 +255,47 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
 
     edges = written(rows.mapInArrow(with_pivot, "a long, b long"), "edges")
     labels = components(edges)
-    # blocks whose other rows are still in several components
     labelled = members.filter("node <> pivot").join(labels, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"))
     open_blocks = (
         labelled.groupBy("block")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("head"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
         .filter("low <> high")
         .groupBy("rows", "same")
-        .agg(F.min("block").alias("block"), F.min_by("head", "block").alias("head"))
+        .agg(F.min("block").alias("block"))
     )
-    open_rows = written(labelled.join(open_blocks, "block"), "open")
-    if open_rows.limit(1).count():
-        # rows that meet in any open block are a family; a family of moderate size is multiplied as one
-        families = components(open_rows.select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "family")
-        sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-        in_family = families.join(sizes, "family")
-        small = open_rows.select("node", "comp").distinct().join(in_family.filter(F.col("size") <= FAMILY), "node").select(F.col("family").alias("block"), "node", "comp", F.col("size").alias("rows"))
-        large = open_rows.join(in_family.filter(F.col("size") > FAMILY).select("node"), "node", "left_semi").select("block", "node", "comp", "rows")
-        tiles = F.ceil(F.col("rows") / TILE).cast("int")
-        dealt = small.union(large).withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        use = F.struct("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
-        more_uses = dealt.select("node", use.alias("use")).groupBy("node").agg(F.collect_list("use").alias("uses")).join(first, "node").select("id", "uses")
-
-        def in_tile(frame: pd.DataFrame) -> pd.DataFrame:
-            i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-            x, y = frame[frame["tile"] == i], frame[frame["tile"] == j]
-            sets = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (x, y)]
-            if not len(x) or not len(y):
-                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-            counts = overlaps(*sets)
-            sizes = [np.array([len(g) for g in s]) for s in sets]
-            good = linked(counts, sizes[0][:, None], sizes[1][None, :], percent) & (x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :])
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while parent.get(c, c) != c:
-                    c = parent[c]
-                return c
+    open_rows = written(labelled.join(open_blocks.select("block", "rows"), "block"), "open")
+    if not open_rows.limit(1).count():
+        return edges
+    # an open family of moderate size is multiplied as one, a larger one block by block
+    moderate = families.filter(F.col("rows") <= FAMILY).select("node", "family", F.col("rows").alias("all_rows"))
+    whole = open_rows.select("node", "comp").distinct().join(moderate, "node").select(F.col("family").alias("block"), "node", "comp", F.col("all_rows").alias("rows"))
+    rest = open_rows.join(moderate.select("node"), "node", "left_anti").select("block", "node", "comp", "rows")
+    return edges.union(_tile_edges(df, whole.union(rest), first, size, percent, id_col, text_col))
 
-            a, b = [], []
-            for p, q in zip(*np.nonzero(good)):
-                left, right = root(x["comp"].iat[p]), root(y["comp"].iat[q])
-                if left != right:
-                    parent[max(left, right)] = min(left, right)
-                    a.append(x["node"].iat[p])
-                    b.append(y["node"].iat[q])
-            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-        rows = _with_sets(df, more_uses, size, id_col, text_col, "block long, i int, j int, tile int, node long, comp long")
-        more = written(rows.groupBy("block", "i", "j").applyInPandas(in_tile, "a long, b long"), "more-edges")
-        if more.limit(1).count():
-            labels = components(edges.union(more))
+
+def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id``: the smallest id that links of ``percent`` reach."""
+    docs = written(classes(df, size, id_col, text_col), "classes")
+    first = docs.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
+    block = Window.partitionBy("block")
+    members = written(
+        _blocks_of(df.filter(F.col(id_col).isNotNull()), size, percent, text_col)
+        .withColumn("pivot", F.min("node").over(block))
+        .withColumn("last", F.max("node").over(block))
+        .filter("pivot <> last")
+        .select("block", "pivot", "node")
+        .distinct(),
+        "blocks",
+    )
+    # rows that meet in any block are a family; a family of moderate size is multiplied as one
+    families = components(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "family")
+    sized = written(families.join(families.groupBy("family").agg(F.count("*").alias("rows")), "family"), "families")
+    direct = sized.filter(F.col("rows") <= DIRECT).select(F.col("family").alias("block"), "node", F.col("node").alias("comp"), "rows")
+    edges = _tile_edges(df, direct, first, size, percent, id_col, text_col)
+    if sized.filter(F.col("rows") > DIRECT).limit(1).count():
+        large = sized.filter(F.col("rows") > DIRECT)
+        edges = edges.union(_large_edges(df, members.join(large.select("node"), "node", "left_semi"), large, first, size, percent, id_col, text_col))
+    labels = components(edges)
     reached = docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = reached.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = reached.join(least, "comp", "left")

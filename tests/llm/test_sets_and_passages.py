@@ -50,9 +50,11 @@ def linked_brute(rows, size, percent):
     return sorted((i, len(sets[i]), root(i)) for i in ids)
 
 
-@pytest.mark.parametrize(("size", "percent", "family"), [(3, 90, 4096), (5, 80, 4)])
-def test_jaccard_components(spark, monkeypatch, size, percent, family):
+@pytest.mark.parametrize(("size", "percent", "direct", "family"), [(3, 90, 1024, 4096), (5, 80, 3, 4096), (5, 80, 3, 4)])
+def test_jaccard_components(spark, monkeypatch, size, percent, direct, family):
+    monkeypatch.setattr(ngram_jaccard, "DIRECT", direct)
     monkeypatch.setattr(ngram_jaccard, "FAMILY", family)
+    monkeypatch.setattr(ngram_jaccard, "TILE", 3)
     rows = families()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS id").repartition(5)
     found = ngram_jaccard.join_components(df, size=size, percent=percent)
@@ -73,6 +75,8 @@ def test_overlaps_in_column_blocks(monkeypatch):
     sets = [np.unique(draw.randint(0, 40, 15)).astype(np.uint64) for _ in range(12)]
     wanted = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[5:]] for a in sets[:5]]
     assert ngram_jaccard.overlaps(sets[:5], sets[5:]).tolist() == wanted
+    same = ngram_jaccard.overlaps(sets, sets)
+    assert all(same[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(12) for j in range(12) if i != j)
 
 
 def passages():
