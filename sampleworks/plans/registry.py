@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from sampleworks.plans import calculations, detection, facets, history, neighbours, versions  # noqa: E402, F401
+from sampleworks.plans import calculations, detection, facets, history, judging, neighbours, versions  # noqa: E402, F401
