@@ -40,7 +40,7 @@ from sampleworks.llm._components import components
 from sampleworks.llm._shared import written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
-TILE = 512
+TILE = 1024
 PORTION = 1024
 COLUMNS = 4096
 DIRECT = 1024
@@ -226,7 +226,7 @@ def _tile_edges(df: DataFrame, rows: DataFrame, first: DataFrame, size: int, per
     return written(with_sets.groupBy("block", "i", "j").applyInPandas(in_tile, "a long, b long"), "tile-edges")
 
 
-def _large_edges(df: DataFrame, members: DataFrame, families: DataFrame, first: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _large_edges(df: DataFrame, members: DataFrame, first: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links in large families: with the pivot of each block, then between what that leaves apart."""
     # overlaps with the pivot of each block
     pairs = written(members.filter("node <> pivot").select("pivot", "node").distinct(), "pairs")
@@ -258,16 +258,18 @@ def _large_edges(df: DataFrame, members: DataFrame, families: DataFrame, first:
     labelled = members.filter("node <> pivot").join(labels, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"))
     open_blocks = (
         labelled.groupBy("block")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("head"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
         .filter("low <> high")
         .groupBy("rows", "same")
-        .agg(F.min("block").alias("block"))
+        .agg(F.min("block").alias("block"), F.min("head").alias("head"))  # equal blocks have one head
     )
-    open_rows = written(labelled.join(open_blocks.select("block", "rows"), "block"), "open")
+    open_rows = written(labelled.join(open_blocks, "block"), "open")
     if not open_rows.limit(1).count():
         return edges
-    # an open family of moderate size is multiplied as one, a larger one block by block
-    moderate = families.filter(F.col("rows") <= FAMILY).select("node", "family", F.col("rows").alias("all_rows"))
+    # rows that meet in open blocks: a family of moderate size is multiplied as one, a larger one block by block
+    families = components(open_rows.select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("all_rows")).filter(F.col("all_rows") <= FAMILY)
+    moderate = written(families.join(sizes, "family"), "open-families")
     whole = open_rows.select("node", "comp").distinct().join(moderate, "node").select(F.col("family").alias("block"), "node", "comp", F.col("all_rows").alias("rows"))
     rest = open_rows.join(moderate.select("node"), "node", "left_anti").select("block", "node", "comp", "rows")
     return edges.union(_tile_edges(df, whole.union(rest), first, size, percent, id_col, text_col))
@@ -293,8 +295,8 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
     direct = sized.filter(F.col("rows") <= DIRECT).select(F.col("family").alias("block"), "node", F.col("node").alias("comp"), "rows")
     edges = _tile_edges(df, direct, first, size, percent, id_col, text_col)
     if sized.filter(F.col("rows") > DIRECT).limit(1).count():
-        large = sized.filter(F.col("rows") > DIRECT)
-        edges = edges.union(_large_edges(df, members.join(large.select("node"), "node", "left_semi"), large, first, size, percent, id_col, text_col))
+        large = sized.filter(F.col("rows") > DIRECT).select("node")
+        edges = edges.union(_large_edges(df, members.join(large, "node", "left_semi"), first, size, percent, id_col, text_col))
     labels = components(edges)
     reached = docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = reached.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
