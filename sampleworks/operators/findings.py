@@ -58,22 +58,29 @@ def image_trust(qualities: DataFrame, image: str, quality: str, temperature: flo
     return qualities.groupBy(image).agg((F.sum(F.col(quality) * weight) / F.sum(weight)).alias("trust"))
 
 
-def label_diff(before: Column, after: Column) -> Column:
-    """Counts of identical, relabelled, moved, unchanged, added and removed boxes between two versions.
+def label_diff(df: DataFrame, before: str, after: str) -> DataFrame:
+    """``df`` with counts of identical, relabelled, moved, unchanged, added and removed boxes between two versions.
 
     Boxes equal in class and coordinates to two places pair first; the rest pair greedily by overlap of 0.5 or more in
-    order of position, whatever the class; a pair under 0.9 has moved.
+    order of position, whatever the class; a pair under 0.9 has moved. Each step is a column of its own, so that
+    none is worked out twice.
     """
     key = lambda b: F.concat_ws(",", b["label"].cast("string"), *[F.round(b[c], 2).cast("string") for c in ("x0", "y0", "x1", "y1")])
-    numbered = lambda boxes: F.transform(boxes, lambda b, i: F.concat_ws("#", key(b), F.size(F.filter(F.slice(F.transform(boxes, key), 1, i + 1), lambda k: k == key(b))).cast("string")))
-    same = F.array_intersect(numbered(before), numbered(after))
-    rest = lambda boxes: F.transform(F.filter(F.arrays_zip(boxes.alias("b"), numbered(boxes).alias("k")), lambda z: ~F.array_contains(same, z["k"])), lambda z: z["b"])
-    old, new = rest(before), rest(after)
-    pairs = F.filter(greedy_match(old, F.transform(new, lambda b: F.struct(*[b[c].alias(c) for c in ("x0", "y0", "x1", "y1", "label")], F.lit(0.0).alias("score"))), 0.5, class_aware=False), lambda m: m["truth"] >= 0)
-    a, b = lambda m: F.element_at(old, m["truth"] + 1), lambda m: F.element_at(new, m["place"] + 1)
-    relabelled = F.size(F.filter(pairs, lambda m: a(m)["label"] != b(m)["label"]))
-    moved = F.size(F.filter(pairs, lambda m: (a(m)["label"] == b(m)["label"]) & (iou(a(m), b(m)) < 0.9)))
-    return F.struct(F.size(same).alias("identical"), relabelled.alias("relabelled"), moved.alias("moved"), (F.size(pairs) - relabelled - moved).alias("unchanged"), (F.size(new) - F.size(pairs)).alias("added"), (F.size(old) - F.size(pairs)).alias("removed"))
+    # the second of two equal boxes has a key of its own
+    numbered = lambda keys: F.transform(keys, lambda k, i: F.concat_ws("#", k, F.size(F.filter(F.slice(keys, 1, i + 1), lambda o: o == k)).cast("string")))
+    left = lambda boxes, keys: F.filter(boxes, lambda b, i: ~F.array_contains("__same", F.element_at(keys, i + 1)))
+    steps = df.withColumns({"__k0": F.transform(before, key), "__k1": F.transform(after, key)})
+    steps = steps.withColumns({"__n0": numbered(F.col("__k0")), "__n1": numbered(F.col("__k1"))}).withColumn("__same", F.array_intersect("__n0", "__n1"))
+    steps = steps.withColumns({"__old": left(F.col(before), F.col("__n0")), "__new": left(F.col(after), F.col("__n1"))})
+    scored = F.transform("__new", lambda b: F.struct(*[b[c].alias(c) for c in ("x0", "y0", "x1", "y1", "label")], F.lit(0.0).alias("score")))
+    steps = steps.withColumn("__scored", scored).withColumn("__pairs", F.filter(greedy_match(F.col("__old"), F.col("__scored"), 0.5, class_aware=False), lambda m: m["truth"] >= 0))
+    old, new = lambda m: F.element_at("__old", m["truth"] + 1), lambda m: F.element_at("__new", m["place"] + 1)
+    relabelled = F.size(F.filter("__pairs", lambda m: old(m)["label"] != new(m)["label"]))
+    moved = F.size(F.filter("__pairs", lambda m: (old(m)["label"] == new(m)["label"]) & (iou(old(m), new(m)) < 0.9)))
+    counted = steps.withColumns({"identical": F.size("__same"), "relabelled": relabelled, "moved": moved}).withColumns(
+        {"unchanged": F.size("__pairs") - F.col("relabelled") - F.col("moved"), "added": F.size("__new") - F.size("__pairs"), "removed": F.size("__old") - F.size("__pairs")}
+    )
+    return counted.drop(*[c for c in counted.columns if c.startswith("__")])
 
 
 def competence(per_class: DataFrame, few: int = 30) -> DataFrame:

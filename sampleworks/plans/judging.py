@@ -28,7 +28,8 @@ def image_trust(spark, sf_dir):
 
 @query("label_diff")
 def label_diff(spark, sf_dir):
-    return images(spark, sf_dir).select("image", findings.label_diff(F.col("truth"), F.transform("predicted", lambda p: p.dropFields("score"))).alias("d")).select("image", "d.*")
+    versions = images(spark, sf_dir).withColumn("predicted", F.transform("predicted", lambda p: p.dropFields("score")))
+    return findings.label_diff(versions, "truth", "predicted").drop("truth", "predicted")
 
 
 @query("polygon_area", "SELECT p_partkey, round(abs((p_size * 2.0 - 0) + (0 - p_size * p_retailprice)) / 2, 4) AS area FROM (SELECT p_partkey, p_size::double AS p_size, p_retailprice FROM part)")
