@@ -40,7 +40,7 @@ from sampleworks.llm._components import components
 from sampleworks.llm._shared import written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
-TILE = 1024
+TILE = 512
 PORTION = 1024
 COLUMNS = 4096
 DIRECT = 1024
