@@ -103,7 +103,14 @@ def average_precision(scored: DataFrame, support: DataFrame, order: list[str]) -
     # the grid points that a row is the first to reach lie between the recall before it and its own
     grid = F.array(*[F.lit(float(g)) for g in np.linspace(0, 1, 101)])
     before = F.coalesce(F.lag("recall").over(Window.partitionBy("label").orderBy("k")), F.lit(-1.0))
-    reached = curve.withColumn("before", before).withColumn("points", F.size(F.filter(grid, lambda g: (g <= F.col("recall")) & (g > F.col("before")))))
+
+    def passed(recall):
+        """How many grid points are not above a recall: those below its hundredth, and the two that rounding decides."""
+        k = F.floor(recall * 100).cast("int")
+        at = lambda i: F.coalesce((F.try_element_at(grid, i) <= recall).cast("int"), F.lit(0))
+        return F.when(recall < 0, 0).otherwise(k + at(k + 1) + at(k + 2))
+
+    reached = curve.withColumn("before", before).withColumn("points", passed(F.col("recall")) - passed(F.col("before")))
     total = reached.groupBy("label").agg((F.sum(F.col("points") * F.col("envelope")) / 101).alias("ap"))
     return support.join(total, "label", "left").select("label", F.when(F.col("support") == 0, F.lit(float("nan"))).otherwise(F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
