@@ -1,0 +1,33 @@
+"""Places where an operator once did less than its whole job."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from sampleworks.llm import toxicity
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """80 expressions, each in 1 to 2 % of toxic texts and in no others."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdeilmnorst") for _ in range(draw.randrange(3, 9)))
+    common = [word() for _ in range(2000)]
+    vile = [f"zz{word()}" for _ in range(80)]
+    rows = []
+    for i in range(9000):
+        text = [draw.choice(common) for _ in range(draw.randrange(20, 60))]
+        if i % 6 == 0:
+            text.insert(draw.randrange(len(text)), draw.choice(vile))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(9000)], "doc_id long, toxic int")
+    held = [(r.doc_id % 6 == 0, r.predicted) for r in toxicity.score(docs, labels).filter("held_out").collect()]
+    assert np.mean([p for toxic, p in held if toxic]) > 0.9 and np.mean([p for toxic, p in held if not toxic]) < 0.02
+
+
+def test_discounts_do_not_grow_with_the_sample():
+    small, large = (toxicity.discounts(*(k * n for n in (1000, 300, 120, 60))) for k in (1, 1000))
+    assert np.allclose(small, large) and (small <= [0, 1, 2, 3]).all() and 0 < small[1] < 1
+    assert (toxicity.discounts(0, 0, 0, 0)[1:] > 0).all() and (toxicity.discounts(5, 0, 0, 9)[1:] < [1, 2, 3]).all()
