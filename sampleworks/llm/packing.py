@@ -45,7 +45,7 @@ class WordTokenizer:
     """Ids of a ``tokenizers`` file whose words are encoded on their own, with a memo of words.
 
     Texts of common characters are folded and cut into words here, as the file's normaliser and pre-tokeniser do;
-    any other text goes through the library whole.
+    any other text, and any that holds the literal of an added token, goes through the library whole.
     """
 
     COMMON = re.compile("[\t\n\v\f\r -~¡-©«-±´-¸»¿-ķĹ-ľŁ-ňŊ-ž]*")
@@ -57,7 +57,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case, as an added token may be looked for in the folded text
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -65,7 +67,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.COMMON.fullmatch(text):
+        if not self.COMMON.fullmatch(text) or self.added and self.added.search(text):
             return self._whole(text)
         words = self.WORD.findall(text.lower())
         get = self.memo.get

@@ -6,7 +6,8 @@ import random
 
 import numpy as np
 
-from sampleworks.llm import toxicity
+from sampleworks.llm import packing, toxicity
+from sampleworks.llm.queries import tokenizer
 
 
 def test_rare_toxic_words_are_learned(spark):
@@ -31,3 +32,15 @@ def test_discounts_do_not_grow_with_the_sample():
     small, large = (toxicity.discounts(*(k * n for n in (1000, 300, 120, 60))) for k in (1, 1000))
     assert np.allclose(small, large) and (small <= [0, 1, 2, 3]).all() and 0 < small[1] < 1
     assert (toxicity.discounts(0, 0, 0, 0)[1:] > 0).all() and (toxicity.discounts(5, 0, 0, 9)[1:] < [1, 2, 3]).all()
+
+
+def test_added_tokens_are_encoded_as_the_file_says():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    own = packing.WordTokenizer(tokenizer("word_bpe_49k.json"))
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert {"<|endoftext|>", "<|startoftext|>"} <= set(added)
+    for token in added:
+        for text in (token, f"hello {token} world", f"it's{token}{token}x", f"日本 {token}", token.upper(), f"{token[:-1]} >", "".join(added), "no token"):
+            assert own.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
