@@ -57,11 +57,69 @@ def outliers(graph: DataFrame, scale: float = 1.0, k: int = 200) -> DataFrame:
     return graph.groupBy("src").agg(score.alias("score")).withColumn("alone", F.col("score") >= 0.9).orderBy(F.desc("score"), "src").limit(k)
 
 
-def leaks(graph: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """Unordered pairs of near neighbours in different sets, nearest first."""
-    side = lambda end, name: sets.select(F.col("id").alias(end), F.col("set").alias(name))
-    near = graph.filter(F.col("dist") <= limit).join(side("src", "set_a"), "src").join(side("dst", "set_b"), "dst").filter("set_a <> set_b")
-    return near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("dist").alias("dist"))
+def near_pairs(df: DataFrame, limit: float, *, id_col: str = "vec_id", vector_col: str = "embedding", packet: int = PACKET) -> tuple[DataFrame, DataFrame]:
+    """Every pair within ``limit``: ``a, b, dist`` with ``a <= b`` over one representative of each vector, and ``id, rep``.
+
+    The representative of equal vectors is their smallest id; its pair with itself stands for all pairs of its copies.
+    """
+    vectors = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    reps = vectors.groupBy("v").agg(F.min("id").alias("rep"))
+    members = vectors.join(reps, "v").select("id", "rep")
+    packets = max(1, math.ceil(reps.count() / packet))
+    packed = reps.groupBy(F.pmod(F.xxhash64("rep"), F.lit(packets)).alias("p")).agg(F.collect_list("rep").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    left = packed.select(F.col("p").alias("a"), F.explode(F.sequence(F.col("p"), F.lit(packets - 1).cast("long"))).alias("b"), F.col("ids").alias("q"), F.col("vs").alias("qv"))
+    pairs = left.join(packed.select(F.col("p").alias("b"), "ids", "vs"), "b").repartition("a", "b")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                q, c = np.asarray(r.q), np.asarray(r.ids)
+                x, y = (np.asarray(v, float).reshape(len(i), -1) for v, i in ((r.qv, q), (r.vs, c)))
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+                dist = 1 - x @ y.T
+                near = dist <= limit
+                if r.a == r.b:
+                    near &= q[:, None] <= c[None, :]
+                i, j = np.nonzero(near)
+                yield pd.DataFrame({"a": np.minimum(q[i], c[j]), "b": np.maximum(q[i], c[j]), "dist": dist[i, j]})
+
+    return pairs.select("a", "b", "q", "qv", "ids", "vs").mapInPandas(search, "a long, b long, dist double"), members
+
+
+def leaks(df: DataFrame, sets: DataFrame, limit: float, *, same_image: float = 0.12, sources: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``a, b, set_a, set_b, dist, same_image, same_source``: every unordered pair of different sets within ``limit``, or of one source at any distance.
+
+    ``sets`` has ``id, set`` and ``sources`` ``id, source``; a null source is none.
+    """
+    near, members = near_pairs(df, limit, id_col=id_col, vector_col=vector_col)
+    held = members.join(sets, "id").groupBy("rep", "set").agg(F.collect_list("id").alias("ids"))
+    side = lambda end: held.select(F.col("rep").alias(end), F.col("set").alias(f"set_{end}"), F.col("ids").alias(f"ids_{end}"))
+    near = near.join(side("a"), "a").join(side("b"), "b").filter("set_a <> set_b AND (a <> b OR set_a < set_b)")
+    found = near.select(F.explode("ids_a").alias("x"), "set_a", "ids_b", "set_b", "dist").select("x", "set_a", F.explode("ids_b").alias("y"), "set_b", "dist")
+    none = F.lit(False).alias("same_source")
+    if sources is not None:
+        vectors = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        known = sources.filter("source IS NOT NULL").join(sets, "id").join(vectors, "id")
+        x, y = (known.select("source", F.col("id").alias(i), F.col("set").alias(f"set_{s}"), F.col("v").alias(f"v_{s}")) for i, s in (("x", "a"), ("y", "b")))
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+        norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+        dist = 1 - dot(F.col("v_a"), F.col("v_b")) / (norm(F.col("v_a")) * norm(F.col("v_b")))
+        kin = x.join(y, "source").filter("x < y AND set_a <> set_b").select("x", "set_a", "y", "set_b", dist.alias("dist"), F.lit(True).alias("same_source"))
+        found = found.select("*", none).unionByName(kin)
+    else:
+        found = found.select("*", none)
+    swap = F.col("x") > F.col("y")
+    pair = lambda one, other, name: F.when(swap, F.col(other)).otherwise(F.col(one)).alias(name)
+    found = found.select(pair("x", "y", "a"), pair("y", "x", "b"), pair("set_a", "set_b", "set_a"), pair("set_b", "set_a", "set_b"), "dist", "same_source")
+    found = found.groupBy("a", "b", "set_a", "set_b").agg(F.min("dist").alias("dist"), F.max("same_source").alias("same_source"))
+    return found.select("a", "b", "set_a", "set_b", "dist", (F.col("dist") <= same_image).alias("same_image"), "same_source")
+
+
+def near_graph(df: DataFrame, limit: float, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``src, dst, dist`` with the components of all pairs within ``limit``: copies are linked to their representative only."""
+    near, members = near_pairs(df, limit, id_col=id_col, vector_col=vector_col)
+    copies = members.filter("id <> rep").join(near.filter("a = b").select(F.col("a").alias("rep"), "dist"), "rep")
+    return near.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist").union(copies.select("rep", "id", "dist"))
 
 
 def duplicate_groups(graph: DataFrame, limit: float) -> DataFrame:

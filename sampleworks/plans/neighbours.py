@@ -47,7 +47,7 @@ def outliers(spark, sf_dir):
 @query("leaks", f"WITH {_GRAPH} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(dist), 5) AS dist FROM g WHERE dist <= {NEAR} AND set_a <> set_b GROUP BY 1, 2")
 def leaks(spark, sf_dir):
     sets = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("set"))
-    return op.leaks(graph(spark, sf_dir), sets, NEAR).withColumn("dist", F.round("dist", 5))
+    return op.leaks(table(spark, sf_dir, "embeddings"), sets, NEAR).select("a", "b", F.round("dist", 5).alias("dist"))
 
 
 @query(
@@ -56,7 +56,7 @@ def leaks(spark, sf_dir):
         c AS (SELECT src AS id, src AS r FROM e UNION SELECT c.id, e.dst FROM c JOIN e ON c.r = e.src) SELECT id, min(r) AS "group" FROM c GROUP BY 1""",
 )
 def duplicate_groups(spark, sf_dir):
-    return op.duplicate_groups(graph(spark, sf_dir), 0.55)
+    return op.duplicate_groups(op.near_graph(table(spark, sf_dir, "embeddings"), 0.55), 0.55)
 
 
 @query(
