@@ -7,7 +7,9 @@ judged on the input and never cross documents.
 2. Every string has an anchor, the run of ``ANCHOR`` bytes in it with the smallest hash, so equal strings
    have equal anchors. Anchors found in one document only are done with.
 3. For the others the context, all bytes of the strings of one anchor occurrence, is sent to where its anchor
-   is. Equal contexts are folded inside each task first: all but the one with the smallest id go.
+   is. Equal contexts are folded inside each task first: all but the one with the smallest id go. An anchor with
+   more than ``HOT`` occurrences isn't gathered: its contexts are split into their strings of ``LENGTH`` bytes, which are
+   folded alike and sent by their own hashes, so a task holds at most one row of a string for each fold.
 4. The contexts of an anchor form a suffix array, built by prefix doubling up to ``LENGTH`` bytes. In suffix order
    the previous and next suffixes of smaller documents give the longest previous factor of each position; where it
    reaches ``LENGTH``, the string goes.
@@ -38,6 +40,8 @@ LENGTH = 50
 ANCHOR = 20
 STRETCH = 1 << 22
 BROADCAST_ROWS = 1_000_000
+HOT = 8192  # occurrences above which an anchor is split into strings
+FOLDED = 500_000  # contexts and strings that a task folds before it sends them
 KEY_BITS = np.uint64(24)  # low bits hold the place in a stretch, high bits the hash
 
 
@@ -128,8 +132,13 @@ def _small(df: DataFrame) -> DataFrame:
 RANGE = "doc long, t int, low int, high int"
 
 
-def _ranges(rows: DataFrame) -> DataFrame:
-    """Ranges to remove from first copies; ``rows`` has ``doc, t, text``."""
+def _string_key(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+
+
+def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
+    """``key, doc, t, low, context``: what must be compared under one key, folded; without a key, ranges that go."""
+    hot = HOT if hot is None else hot
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +149,8 @@ def _ranges(rows: DataFrame) -> DataFrame:
 
     here = Window.partitionBy("key")
     shared = rows.select("doc", "text").mapInArrow(find, "key long, doc long")
-    shared = shared.withColumn("low", F.min("doc").over(here)).withColumn("high", F.max("doc").over(here)).filter("low <> high")
-    lists = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    shared = shared.withColumn("low", F.min("doc").over(here)).withColumn("high", F.max("doc").over(here)).withColumn("n", F.count("*").over(here)).filter("low <> high")
+    lists = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("n") > hot, F.col("key"))).alias("hot"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, bytes], tuple[int, int, int]] = {}
@@ -151,9 +160,32 @@ def _ranges(rows: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=names)
 
+        def all_out() -> Iterator[pa.RecordBatch]:
+            waiting: list[tuple] = []
+            for (k, context), own in least.items():
+                waiting.append((k, *own, context))
+                if len(waiting) >= 20_000:
+                    yield out(waiting)
+                    waiting = []
+            yield out(waiting)
+            least.clear()
+
+        gone: list[tuple] = []
+
+        def fold(k: int, context: bytes, own: tuple[int, int, int]) -> None:
+            held, size = least.get((k, context)), len(context).to_bytes(4, "little")
+            if held is None:
+                least[k, context] = own
+            elif held[0] < own[0]:
+                gone.append((None, *own, size))
+            elif held[0] > own[0]:
+                gone.append((None, *held, size))
+                least[k, context] = own
+            else:  # the same document again: both stay candidates
+                gone.append((k, *own, context))
+
         for batch in batches:
-            docs, texts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            gone: list[tuple] = []
+            docs, texts, keys, hots = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
             for first, _, data, offsets in blocks(batch.column(2)):
                 owner, key, low, high = anchors(data, offsets)
                 edges = np.searchsorted(owner, np.arange(len(offsets)))
@@ -161,28 +193,28 @@ def _ranges(rows: DataFrame) -> DataFrame:
                     part = slice(edges[i], edges[i + 1])
                     wanted = np.isin(key[part], keys[first + i].values.to_numpy())
                     row, text = first + i, data[offsets[i] : offsets[i + 1]].tobytes()
+                    split = set(hots[row].as_py())
                     for k, a, b in zip(key[part][wanted].tolist(), low[part][wanted].tolist(), high[part][wanted].tolist()):
-                        name, own = (k, text[a:b]), (docs[row], texts[row], a)
-                        held = least.get(name)
-                        if held is None:
-                            least[name] = own
-                        elif held[0] < own[0]:
-                            gone.append((None, *own[:2], a, (b - a).to_bytes(4, "little")))
-                        elif held[0] > own[0]:
-                            gone.append((None, *held, (b - a).to_bytes(4, "little")))
-                            least[name] = own
-                        else:  # the same document again: both stay candidates
-                            gone.append((k, *own, text[a:b]))
-            yield out(gone)
-        waiting: list[tuple] = []
-        for (k, context), own in least.items():
-            waiting.append((k, *own, context))
-            if len(waiting) >= 20_000:
-                yield out(waiting)
-                waiting = []
-        yield out(waiting)
-
-    placed = rows.join(lists, "doc").select("doc", "t", "text", "keys").mapInArrow(contexts, "key long, doc long, t int, low int, context binary")
+                        if k not in split:
+                            fold(k, text[a:b], (docs[row], texts[row], a))
+                            continue
+                        for at in range(a, b - LENGTH + 1):
+                            string = text[at : at + LENGTH]
+                            fold(_string_key(string), string, (docs[row], texts[row], at))
+                    if len(gone) >= 20_000:
+                        yield out(gone)
+                        gone.clear()
+                    if len(least) >= FOLDED:
+                        yield from all_out()
+        yield out(gone)
+        yield from all_out()
+
+    return rows.join(lists, "doc").select("doc", "t", "text", "keys", "hot").mapInArrow(contexts, "key long, doc long, t int, low int, context binary")
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """Ranges to remove from first copies; ``rows`` has ``doc, t, text``."""
+    placed = _candidates(rows)
     placed = placed.withColumn("spread", F.coalesce("key", F.xxhash64("doc", "low"))).repartition("spread").sortWithinPartitions("key", "context", "doc").drop("spread")
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from sampleworks.llm import packing, toxicity
+from sampleworks.llm import packing, suffix_dedup, toxicity
 from sampleworks.llm.queries import tokenizer
 
 
@@ -44,3 +44,26 @@ def test_added_tokens_are_encoded_as_the_file_says():
     for token in added:
         for text in (token, f"hello {token} world", f"it's{token}{token}x", f"日本 {token}", token.upper(), f"{token[:-1]} >", "".join(added), "no token"):
             assert own.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_hot_anchor_is_not_gathered(spark, monkeypatch):
+    """One passage in every document, each time in other surroundings: no key holds a context for each document."""
+    draw = random.Random(4)
+    other = lambda: "".join(draw.choice("abcdefgh ") for _ in range(60))
+    passage = "the hot passage that every one of the documents holds, word for word"
+    texts = [(i, f"{other()}{passage}{other()}") for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = df.selectExpr("doc_id AS doc", "0 AS t", "text")
+    largest = lambda hot: max(r["count"] for r in suffix_dedup._candidates(rows, hot).filter("key IS NOT NULL").groupBy("key").count().collect())
+    assert largest(50) <= 50 < 200 < largest(10_000)
+
+    first, wanted = {}, {}
+    for i, text in texts:
+        gone = set()
+        for k in range(len(text) - 49):
+            if first.setdefault(text[k : k + 50], i) < i:
+                gone.update(range(k, k + 50))
+        wanted[i] = len(gone)
+    for hot in (50, 10_000):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.removed(df).collect()} == wanted
