@@ -110,6 +110,21 @@ def field_sorted(df: DataFrame, column: str, descending: bool, tie: str) -> Data
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), tie)
 
 
+def positioned(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Every row of an ordered frame with its place from 0: the place in its range of the sort and the rows of the ranges before."""
+    spark = ordered.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sampleworks-"))
+    place = F.monotonically_increasing_id()  # number of the range above 33 bits for the place in it
+    placed = ordered.withColumn("__place", place).checkpoint().withColumn("__range", F.shiftright("__place", 33))
+    ranges = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    ranges = ranges.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(ranges), "__range").select(*ordered.columns, (inside + F.col("__before")).alias(name))  # one row for each partition
+
+
 def natural_key(c: Column, width: int = 20) -> Column:
     """A string that sorts as the text does with its numbers taken as numbers."""
     parts = F.regexp_extract_all(c, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))

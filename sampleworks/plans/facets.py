@@ -126,6 +126,18 @@ def sort_missing_last(spark, sf_dir):
     return facets.field_sorted(df, "quality", True, "doc_id").limit(300)
 
 
+@query("sort_multi_key_whole", "SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey) - 1 AS position FROM orders")
+def sort_multi_key_whole(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return facets.positioned(facets.sorted_rows(df, [("o_orderstatus", True), ("o_totalprice", False)], "o_orderkey"))
+
+
+@query("sort_missing_last_whole", "SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS position FROM documents LEFT JOIN labels USING (doc_id)")
+def sort_missing_last_whole(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return facets.positioned(facets.field_sorted(df, "quality", True, "doc_id"))
+
+
 @query("per_group_preview", "SELECT c_mktsegment, c_custkey, place::int AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS place FROM customer) WHERE place <= 5")
 def per_group_preview(spark, sf_dir):
     return facets.preview(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from sampleworks.operators import neighbours
+from sampleworks.operators import facets, neighbours
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,13 @@ def test_near_pairs_over_packets(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     near, _ = neighbours.near_pairs(df, 0.4, packet=16)
     assert sorted((r.a, r.b) for r in near.collect()) == [(i, j) for i in range(90) for j in range(i, 90) if 1 - u[i] @ u[j] <= 0.4]
+
+
+def test_positions_of_the_whole_order(spark):
+    rows = [(i, None if i % 5 == 0 else i % 7, None if i % 3 == 0 else float(i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a int, b double").repartition(5)
+    found = [r.k for r in sorted(facets.positioned(facets.sorted_rows(df, [("a", True), ("b", False)], "k")).collect(), key=lambda r: r.position)]
+    assert found == [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[2] is None, r[2] or 0, r[0]))]
+    placed = facets.positioned(facets.field_sorted(df, "a", True, "k")).collect()
+    assert sorted(r.position for r in placed) == list(range(3000))
+    assert [r.k for r in sorted(placed, key=lambda r: r.position)] == [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
