@@ -99,7 +99,9 @@ def average_precision(scored: DataFrame, support: DataFrame, order: list[str]) -
     along = Window.partitionBy("label").orderBy(F.desc("score"), *order)
     ranked = scored.join(support, "label").withColumn("k", F.row_number().over(along)).withColumn("tp", F.sum(F.col("hit").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     curve = ranked.select("label", "k", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    curve = curve.withColumn("envelope", F.max("precision").over(Window.partitionBy("label").orderBy("k").rowsBetween(0, Window.unboundedFollowing)))
+    # from the last row back: a frame that only grows is kept up row by row, one that shrinks is evaluated anew for each
+    back = Window.partitionBy("label").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = curve.withColumn("envelope", F.max("precision").over(back))
     # the grid points that a row is the first to reach lie between the recall before it and its own
     grid = F.array(*[F.lit(float(g)) for g in np.linspace(0, 1, 101)])
     before = F.coalesce(F.lag("recall").over(Window.partitionBy("label").orderBy("k")), F.lit(-1.0))
