@@ -2,32 +2,33 @@
 
 A document is a row of the document by n-gram incidence matrix; the product of the matrix with its transpose
 holds the overlaps of all pairs. Only blocks of that product are computed in which a pair can reach the
-similarity, and only their counts, from which pairs below the bound that follows from their sizes are
-discarded:
+similarity. In a block the overlaps are accumulated over groups of n-grams, and rows whose pairs all stay below the
+bound that follows from their sizes, whatever n-grams are left, are discarded on the way:
 
 1. Documents with the same set form one class, and a class is one row.
-2. Sizes fall into intervals so that linked sizes lie in one interval or in neighbours. For an interval, linked
-   sets differ in at most ``d`` n-grams. The n-grams are dealt by hash into more than ``d`` parts, so linked
-   sets agree in whole parts: the hash of a part names a block. Frequent n-grams don't make large blocks,
-   because a whole part must agree. Empty parts name a block only for sets that might agree in nothing else.
-3. Rows that meet in any block are a family. A family of up to ``DIRECT`` rows is multiplied as one, in tiles of
-   about ``TILE`` rows.
-4. In a larger family the overlaps of one row of each block, the pivot, with all others are counted, each distinct
-   pair once. Blocks whose other rows don't then belong to one component get the rest of their product, in
-   tiles, leaving out pairs within a component: as one family up to ``FAMILY`` rows, beyond it block by block. So a large group of near copies costs a number
-   of pairs in proportion to its rows, but no link between different texts is lost.
-
-Words are runs of anything but space and bytes 9 to 13, with A-Z in lower case. A text with fewer words
-than the n-gram is one n-gram; a text without words (null, empty, blank) has none and is linked with nothing.
-Repeated rows have equal sets. A row without an id is linked through equal sets only. Hot groups: copies are
-folded inside each task before anything is shuffled, members of a pivot are dealt in portions, tiles are bounded.
-Only the named columns are read.
+2. All n-grams of all documents are counted by hash into ``BUCKETS`` counters, which put them in one order, the rare
+   ones first. Linked sets have so many n-grams in common that the first common one is among the first
+   ``n - ceil(n * percent / 100) + 1`` of either set. A row is dealt to the blocks that these n-grams name. Being rare, most
+   name no other row, and passages that many documents share name a block only for texts that hold little else.
+3. In a block, rows in order of size are cut into runs where the next size is out of reach for a link. The first row of a
+   run is its pivot. Rows that meet in any run are a family. A family of up to ``DIRECT`` rows is multiplied as one, in
+   tiles of about ``TILE`` rows.
+4. In a larger family the product of each pivot with the rows of its runs comes first, each distinct
+   pair once. Runs whose other rows don't then belong to one component get the rest of their product, in
+   tiles, leaving out pairs within a component: as one family up to ``FAMILY`` rows, beyond it run by run. So a large
+   group of near copies costs a number of pairs in proportion to its rows, but no link between different texts is lost.
+
+Which way a family goes changes the order of work, never the links. Words are runs of anything but space and bytes 9
+to 13, with A-Z in lower case. A text with fewer words than the n-gram is one n-gram; a text without words (null, empty,
+blank) has none and is linked with nothing. Repeated rows have equal sets. A row without an id is linked
+through equal sets only. Hot groups: copies are folded inside each task before anything is shuffled, members of a pivot
+are dealt in portions, tiles are bounded. Only the named columns are read. N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.llm._components import components
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import discard, written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
 TILE = 512
@@ -46,42 +47,49 @@ COLUMNS = 4096
 DIRECT = 1024
 FAMILY = 4096
 BROADCAST_USES = 500_000
+BUCKETS = 1 << 22  # counters of n-grams: 4 MB of levels are sent out, whatever the input
+SLICES = 64
 
 
-@lru_cache(maxsize=8)
-def intervals(percent: int, most: int) -> tuple[list[int], list[int], list[int]]:
-    """Upper ends of the size intervals, the number of parts of each, and how many n-grams may differ."""
-    ends, parts, differ = [], [], []
-    low = 1
-    while not ends or ends[-1] < most:
-        end = low * 100 // percent
-        d = 2 * end * (100 - percent) // (100 + percent)
-        ends.append(end)
-        differ.append(d)
-        # spare parts, so that sets with a few empty parts still agree in one that isn't
-        parts.append(d + 1 + (d * max(2, (100 - percent) // 2) // 100 if d else 0))
-        low = end + 1
-    return ends, parts, differ
-
-
-def block_names(grams: np.ndarray, percent: int) -> np.ndarray:
-    """The blocks of the product in which a set (sorted hashes) may have partners."""
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
+def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams of a set that come first in the order: at least one is in every set that it is linked with."""
     n = len(grams)
     if n == 0:
         return grams
-    ends, parts, differ = intervals(percent, 1 << (2 * n).bit_length())
-    own = int(np.searchsorted(ends, n))
-    found = []
-    for at in (own, own + 1):
-        salt = np.uint64((at + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        spread = mix(grams ^ salt)
-        part = (spread >> np.uint64(33)).astype(np.int64) % parts[at]
-        sums = np.zeros(parts[at], np.uint64)
-        np.add.at(sums, part, mix(spread))
-        filled = np.bincount(part, minlength=parts[at]) > 0
-        name = mix(mix(sums + salt) + np.arange(parts[at], dtype=np.uint64))
-        found.append(name if (~filled).sum() >= parts[at] - differ[at] else name[filled])
-    return np.concatenate(found)
+    wanted = n - -(-n * percent // 100) + 1
+    return grams[np.lexsort((mix(grams), levels[_bucket(grams)]))[:wanted]] if wanted < n else grams
+
+
+def rarity(df: DataFrame, size: int, text_col: str) -> np.ndarray:
+    """A level for each bucket of n-grams: four times the binary logarithm of how often documents hold one of them."""
+    per = BUCKETS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            found = [grams for _, grams in _sets(batch, size, 0)]
+            if found:
+                counts += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS).astype(np.uint32)
+        blobs = [zlib.compress(counts[i * per : (i + 1) * per].tobytes(), 1) for i in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
+
+    def total(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(per, np.int64)
+        for batch in parts:
+            for blob in batch.column(1):
+                counts += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
+        level = np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
+
+    counted = df.select(text_col).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, level binary")
+    levels = np.zeros(BUCKETS, np.uint8)
+    for row in counted.collect():  # SLICES rows at most, a byte for each bucket
+        levels[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["level"], np.uint8)
+    return levels
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -89,18 +97,20 @@ def class_of(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams))], np.uint64)).view(np.int64)[0]) if len(grams) else 0
 
 
-def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray], percent: int = 0) -> np.ndarray:
     """Counts of common n-grams of two lists of sets: incidence matrices over the n-grams that both sides have,
-    multiplied ``COLUMNS`` n-grams at a time."""
+    multiplied ``COLUMNS`` n-grams at a time. Rows and columns none of whose pairs can still reach ``percent`` are left
+    out of the rest, so counts of pairs below it may be too low."""
     left, right = np.concatenate(rows), np.concatenate(columns)
-    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column_of = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    sizes = np.array([len(r) for r in rows]), np.array([len(c) for c in columns])
+    row_of, column_of = np.repeat(np.arange(len(rows)), sizes[0]), np.repeat(np.arange(len(columns)), sizes[1])
     if rows is columns:  # between different rows only n-grams of several rows count
         common, times = np.unique(left, return_counts=True)
         common = common[times > 1]
     else:
         common = np.intersect1d(left, right)
-    counts = np.zeros((len(rows), len(columns)), np.float32)
+    counts = np.zeros((len(rows), len(columns)), np.int64)
+    needed = -(-percent * (sizes[0][:, None] + sizes[1][None, :]) // (100 + percent))
 
     def sides(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(common, values)
@@ -110,14 +120,23 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
         return at[held][order], owner[held][order]
 
     (a, a_owner), (b, b_owner) = sides(left, row_of), sides(right, column_of)
+    ahead = np.bincount(a_owner, minlength=len(rows)), np.bincount(b_owner, minlength=len(columns))
     for low in range(0, len(common), COLUMNS):
         width = min(COLUMNS, len(common) - low)
-        x, y = np.zeros((len(rows), width), np.float32), np.zeros((len(columns), width), np.float32)
-        for matrix, at, owner in ((x, a, a_owner), (y, b, b_owner)):
+        reach = counts + np.minimum(ahead[0][:, None], ahead[1][None, :]) >= needed
+        alive = reach.any(axis=1), reach.any(axis=0)
+        if not alive[0].any():
+            break
+        blocks_of = []
+        for at, owner, live, rest in ((a, a_owner, alive[0], ahead[0]), (b, b_owner, alive[1], ahead[1])):
             part = slice(*np.searchsorted(at, [low, low + width]))
-            matrix[owner[part], at[part] - low] = 1
-        counts += x @ y.T
-    return counts.astype(np.int64)
+            matrix = np.zeros((int(live.sum()), width), np.float32)
+            own, column = owner[part], at[part] - low
+            rest -= np.bincount(own, minlength=len(rest))
+            matrix[(np.cumsum(live) - 1)[own[live[own]]], column[live[own]]] = 1
+            blocks_of.append(matrix)
+        counts[np.ix_(*alive)] += (blocks_of[0] @ blocks_of[1].T).astype(np.int64)
+    return counts
 
 
 def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -143,24 +162,39 @@ def classes(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())]))
 
 
-def _blocks_of(df: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(block, node) for each class, once for each task that has it."""
+def _blocks_of(df: DataFrame, levels: np.ndarray, size: int, percent: int, text_col: str) -> DataFrame:
+    """(gram, node, n) for the first n-grams of each class, once for each task that has it."""
+    known = df.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, nodes = [], []
+            names, nodes, sizes = [], [], []
             for _, grams in _sets(batch, size, 0):
                 node = class_of(grams)
                 if node in seen or not len(grams):
                     continue
                 seen.add(node)
-                names.append(block_names(grams, percent))
-                nodes.append(np.full(len(names[-1]), node, np.int64))
+                names.append(prefix(grams, known.value, percent))
+                nodes.append(node)
+                sizes.append(len(grams))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(nodes))], names=["block", "node"])
+                times = [len(x) for x in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["gram", "node", "n"])
 
-    return df.select(text_col).mapInArrow(run, "block long, node long")
+    return df.select(text_col).mapInArrow(run, "gram long, node long, n int")
+
+
+def _members(rows: DataFrame, percent: int) -> DataFrame:
+    """``block, pivot, node`` for rows that share an n-gram with another row of a size in reach, from ``gram, node, n``."""
+    along = Window.partitionBy("gram").orderBy("n", "node")
+    # a class has one size, so what several tasks sent of it lies side by side
+    once = rows.withColumn("same", F.lag("node").over(along)).filter("same IS NULL OR same <> node")
+    before = F.lag("n").over(along)
+    runs = once.withColumn("starts", before.isNull() | (F.col("n") * percent > before * 100))
+    runs = runs.withColumn("ends", F.lead("starts", 1, True).over(along))
+    pivot = F.last(F.when(F.col("starts"), F.col("node")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumn("pivot", pivot).filter("NOT (starts AND ends)").select(F.xxhash64("gram", "pivot").alias("block"), "pivot", "node")
 
 
 def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, fields: str) -> DataFrame:
@@ -201,7 +235,7 @@ def _tile_edges(df: DataFrame, rows: DataFrame, first: DataFrame, size: int, per
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         sets = [[np.frombuffer(g, np.uint64) for g in x["grams"]]]
         sets.append(sets[0] if i == j else [np.frombuffer(g, np.uint64) for g in y["grams"]])
-        counts = overlaps(*sets)
+        counts = overlaps(*sets, percent)
         sizes = [np.array([len(g) for g in s]) for s in sets]
         own, theirs = x["comp"].to_numpy(), y["comp"].to_numpy()
         good = linked(counts, sizes[0][:, None], sizes[1][None, :], percent) & (own[:, None] != theirs[None, :])
@@ -235,25 +269,18 @@ def _large_edges(df: DataFrame, members: DataFrame, first: DataFrame, size: int,
     pivots = portions.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion")).select("node", F.struct(F.col("node").alias("pivot"), "portion", F.lit(0).alias("side"), "node").alias("use"))
     uses = tasks.unionByName(pivots).groupBy("node").agg(F.collect_list("use").alias("uses")).join(first, "node").select("id", "uses")
     rows = _with_sets(df, uses, size, id_col, text_col, "pivot long, portion int, side int, node long")
-    rows = rows.repartition("pivot", "portion").sortWithinPartitions("pivot", "portion", "side", "node")
 
-    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for key, side, node, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                grams = np.frombuffer(blob.as_buffer(), np.uint64)
-                if side == 0:
-                    pivot, own = key, grams
-                elif pivot == key:
-                    at = np.searchsorted(own, grams)
-                    overlap = int((own[np.minimum(at, len(own) - 1)] == grams).sum())
-                    if linked(overlap, len(own), len(grams), percent):
-                        a.append(key)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    edges = written(rows.mapInArrow(with_pivot, "a long, b long"), "edges")
+    def with_pivot(frame: pd.DataFrame) -> pd.DataFrame:
+        own, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        if not len(own) or not len(theirs):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        grams = [[np.frombuffer(g, np.uint64) for g in side["grams"]] for side in (own.iloc[:1], theirs)]
+        sizes = np.array([len(g) for g in grams[1]])
+        good = linked(overlaps(*grams, percent)[0], len(grams[0][0]), sizes, percent)
+        found = theirs["node"].to_numpy()[good]
+        return pd.DataFrame({"a": np.full(len(found), own["node"].iloc[0], np.int64), "b": found})
+
+    edges = written(rows.groupBy("pivot", "portion").applyInPandas(with_pivot, "a long, b long"), "edges")
     labels = components(edges)
     labelled = members.filter("node <> pivot").join(labels, "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp"))
     open_blocks = (
@@ -279,17 +306,9 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
     """``id_col``, ``n_shingles`` and ``component_id``: the smallest id that links of ``percent`` reach."""
     docs = written(classes(df, size, id_col, text_col), "classes")
     first = docs.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-    block = Window.partitionBy("block")
-    members = written(
-        _blocks_of(df.filter(F.col(id_col).isNotNull()), size, percent, text_col)
-        .withColumn("pivot", F.min("node").over(block))
-        .withColumn("last", F.max("node").over(block))
-        .filter("pivot <> last")
-        .select("block", "pivot", "node")
-        .distinct(),
-        "blocks",
-    )
-    # rows that meet in any block are a family; a family of moderate size is multiplied as one
+    rows = df.filter(F.col(id_col).isNotNull())
+    members = written(_members(_blocks_of(rows, rarity(rows, size, text_col), size, percent, text_col), percent), "blocks")
+    # rows that meet in any run are a family; a family of moderate size is multiplied as one
     families = components(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "family")
     sized = written(families.join(families.groupBy("family").agg(F.count("*").alias("rows")), "family"), "families")
     direct = sized.filter(F.col("rows") <= DIRECT).select(F.col("family").alias("block"), "node", F.col("node").alias("comp"), "rows")
@@ -298,6 +317,7 @@ def join_components(df: DataFrame, *, size: int = 3, percent: int = 90, id_col:
         large = sized.filter(F.col("rows") > DIRECT).select("node")
         edges = edges.union(_large_edges(df, members.join(large, "node", "left_semi"), first, size, percent, id_col, text_col))
     labels = components(edges)
+    discard(members)  # the labels are written
     reached = docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = reached.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = reached.join(least, "comp", "left")
