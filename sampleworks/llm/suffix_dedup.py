@@ -5,20 +5,23 @@ judged on the input and never cross documents.
 
 1. Of equal texts only the first (smallest id) is looked into; the others go whole if they hold one such string.
 2. Every string has an anchor, the run of ``ANCHOR`` bytes in it with the smallest hash, so equal strings
-   have equal anchors. Anchors found in one document only are done with.
+   have equal anchors. Anchors found in one document only are done with. A task sends one row for an anchor that several
+   of its documents hold.
 3. For the others the context, all bytes of the strings of one anchor occurrence, is sent to where its anchor
-   is. Equal contexts are folded inside each task first: all but the one with the smallest id go. An anchor with
-   more than ``HOT`` occurrences isn't gathered: its contexts are split into their strings of ``LENGTH`` bytes, which are
-   folded alike and sent by their own hashes, so a task holds at most one row of a string for each fold.
-4. The contexts of an anchor form a suffix array, built by prefix doubling up to ``LENGTH`` bytes. In suffix order
-   the previous and next suffixes of smaller documents give the longest previous factor of each position; where it
-   reaches ``LENGTH``, the string goes.
-5. Ranges of a document are merged and cut out.
+   is. Equal contexts are folded inside each task first: all but the one with the smallest id go.
+4. The strings of the contexts of an anchor are put into suffix order, with the common prefixes of neighbours. The
+   previous and the next position of a smaller document in that order give each string's longest previous
+   factor: the larger of the two smallest common prefixes on the way there. Where it reaches ``LENGTH``, the string goes.
+   Factors are followed to that length, where the decision falls. Equal contexts stand in the order as one.
+5. An anchor with more than ``HOT`` occurrences isn't gathered: its contexts are split into their strings, which go by
+   their own 128-bit digests, folded alike, so that no task holds a hot passage's surroundings. All strings of one
+   digest are one run of the suffix order, in which the previous smaller document is the smallest one.
+6. Ranges of a document are merged and cut out.
 
 Null texts are empty. A row without an id is kept whole and removes nothing. Rows with the same id never remove
 each other, so repeated rows are treated alike; of several texts with one id each is a document of its own. An empty
 table gives an empty result. Long texts are cut into overlapping stretches for step 2. ``removed`` reads only the
-named columns; ``deduplicated`` returns all columns. Broadcasts happen only behind a count of rows.
+named columns; ``deduplicated`` returns all columns. Broadcasts happen only behind a count of rows and ranges.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +46,9 @@ STRETCH = 1 << 22
 BROADCAST_ROWS = 1_000_000
 HOT = 8192  # occurrences above which an anchor is split into strings
 FOLDED = 500_000  # contexts and strings that a task folds before it sends them
-KEY_BITS = np.uint64(24)  # low bits hold the place in a stretch, high bits the hash
+PLACE_BITS = np.uint64(24)  # low bits hold the place in a stretch while the smallest hash is looked for
+DIGEST = 16  # bytes that stand for a string of a hot anchor
+RANGE_BYTES, ROW_BYTES, BROADCAST_BYTES = 16, 48, 64 << 20  # of the ranges that are broadcast
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +65,8 @@ def _stretch(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.ndarray
     code = np.zeros(n, np.uint64)
     for i in range(ANCHOR):
         code = code * np.uint64(BASE) + piece[i : n + i] + np.uint64(1)
-    least = mix(code) >> KEY_BITS << KEY_BITS | np.arange(n, dtype=np.uint64)
+    hashes = mix(code)
+    least = hashes >> PLACE_BITS << PLACE_BITS | np.arange(n, dtype=np.uint64)
     width, wanted = 1, LENGTH - ANCHOR + 1
     while 2 * width <= wanted:
         least = np.minimum(least[:-width], least[width:])
@@ -76,38 +83,43 @@ def _stretch(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.ndarray
     last = np.concatenate((begin[1:], [len(least)])) - 1
     own = owner[begin]
     base = offsets[own]
-    return own, (least[begin] >> KEY_BITS).astype(np.int64), place[begin] - base, place[last[: len(begin)]] + LENGTH - base
+    key = hashes[(least[begin] & np.uint64((1 << 24) - 1)).astype(np.int64)].view(np.int64)
+    return own, key, place[begin] - base, place[last[: len(begin)]] + LENGTH - base
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+def _smaller_before(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each position the common prefix with the nearest earlier one of a smaller document; 0 if there is none.
 
-
-def previous_factors(text: np.ndarray, ends: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which positions have a longest previous factor of ``length`` or more.
-
-    ``text`` holds texts end to end, ``ends`` the end of the text of each position, ``group`` and ``doc`` its group and
-    document; a previous factor starts in a smaller document of the same group. Ranks of prefixes of 1, 2, 4 ... bytes
-    give the suffix order up to ``length``; positions whose ranks tie there share a factor of that length.
+    ``common[i]`` is what positions i - 1 and i share. Each position points to an earlier one beyond which only smaller
+    documents can matter, and carries the least common prefix on the way; pointers to larger documents jump ahead.
     """
-    n = len(text)
-    rank, width = text.astype(np.int64), 1
-    while width < length:
-        step = min(width, length - width)
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - step] = rank[step:]
-        ahead[np.arange(n) + step >= ends] = -1
-        rank = _dense(rank * (int(ahead.max(initial=0)) + 2) + ahead + 1)
-        width += step
-    whole = np.flatnonzero(np.arange(n) + length <= ends)
-    order = whole[np.lexsort((doc[whole], rank[whole], group[whole]))]
-    found = np.zeros(n, bool)
-    if len(order):
-        # in suffix order with ties by document, the first of a run of common factors is the smallest document
-        head = np.ones(len(order), bool)
-        head[1:] = (rank[order][1:] != rank[order][:-1]) | (group[order][1:] != group[order][:-1])
-        smallest = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-        found[order] = doc[order] > smallest
+    n = len(doc)
+    to, least = np.arange(n) - 1, common.copy()
+    while True:
+        on = np.flatnonzero((to >= 0) & (least > 0) & (doc[to] >= doc))
+        if not len(on):
+            break
+        over = to[on]
+        least[on], to[on] = np.minimum(least[on], least[over]), to[over]
+    return np.where(to >= 0, least, 0)
+
+
+def previous_factors(data: np.ndarray, begin: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest previous factor, up to ``length``, of the strings of ``length`` bytes at ``begin``: what each has in
+    common with a string of a smaller document in its group."""
+    n = len(begin)
+    if not n:
+        return np.zeros(0, np.int64)
+    strings = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    strings[:, :length] = data[begin[:, None] + np.arange(length)]
+    words = strings.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    strings, group, doc = strings[order, :length], group[order], doc[order]
+    same = strings[1:] == strings[:-1]
+    common = np.zeros(n + 1, np.int64)  # the last entry closes the order on the way back
+    common[1:n] = np.where(same.all(axis=1), length, same.argmin(axis=1)) * (group[1:] == group[:-1])
+    found = np.zeros(n, np.int64)
+    found[order] = np.maximum(_smaller_before(doc, common[:n]), _smaller_before(doc[::-1], common[:0:-1])[::-1])
     return found
 
 
@@ -130,60 +142,106 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 RANGE = "doc long, t int, low int, high int"
+CANDIDATE = "key long, doc long, t int, low int, more binary, context binary"
 
 
-def _string_key(string: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+def _digest(string: bytes) -> bytes:
+    return hashlib.blake2b(string, digest_size=DIGEST).digest()
 
 
-def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
-    """``key, doc, t, low, context``: what must be compared under one key, folded; without a key, ranges that go."""
-    hot = HOT if hot is None else hot
+def _shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
+    """``doc, keys, hot``: the anchors of each document that others have too, and those with more than ``hot`` occurrences."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy()
+            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for first, _, data, offsets in blocks(batch.column(1)):
                 owner, key, _, _ = anchors(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(docs[first + owner])], names=["key", "doc"])
+                keys.append(key)
+                owners.append(docs[first + owner])
+            key, doc = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            begin = np.flatnonzero(new)
+            times = np.diff(np.concatenate((begin, [len(key)])))
+            once = new.copy()
+            once[1:] |= doc[1:] != doc[:-1]
+            kept = doc[once]  # the documents of each key
+            ends = np.concatenate((np.cumsum(once)[begin] - 1, [len(kept)])).astype(np.int32)
+            single = np.diff(ends) == 1
+            values = kept[np.repeat(~single, np.diff(ends))]
+            sizes = np.where(single, 0, np.diff(ends))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values), mask=pa.array(single))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(kept[ends[:-1]]), pa.array(kept[ends[1:] - 1], pa.int64(), mask=single), pa.array(times.astype(np.int32)), lists], names=["key", "doc", "last", "n", "docs"])
 
     here = Window.partitionBy("key")
-    shared = rows.select("doc", "text").mapInArrow(find, "key long, doc long")
-    shared = shared.withColumn("low", F.min("doc").over(here)).withColumn("high", F.max("doc").over(here)).withColumn("n", F.count("*").over(here)).filter("low <> high")
-    lists = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("n") > hot, F.col("key"))).alias("hot"))
+    found = rows.select("doc", "text").mapInArrow(find, "key long, doc long, last long, n int, docs array<long>")
+    found = found.withColumns({"low": F.min("doc").over(here), "high": F.max(F.coalesce("last", "doc")).over(here), "all": F.sum("n").over(here)}).filter("low <> high")
+    each = found.select("key", "all", F.explode(F.coalesce("docs", F.array("doc"))).alias("doc"))
+    return each.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("all") > hot, F.col("key"))).alias("hot"))
+
+
+class _Folded:
+    """Candidates of one task, each string or context once, and ranges that are known to go."""
+
+    def __init__(self) -> None:
+        self.least: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
+        self.gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.apart: list[tuple] = []
+        self.waiting = 0
+
+    def add(self, key: int, context: bytes, size: int, doc: int, t: int, low: int) -> None:
+        held = self.least.get((key, context))
+        if held is None:
+            self.least[key, context] = doc, t, [low]
+        elif held[0] == doc and held[1] == t:  # again in the same text: what becomes of one becomes of all
+            held[2].append(low)
+        elif held[0] == doc:  # another text with this id: both stay candidates
+            self.apart.append((key, doc, t, low, None, context))
+        elif held[0] < doc:
+            self._go(doc, t, [low], size)
+        else:
+            self._go(held[0], held[1], held[2], size)
+            self.least[key, context] = doc, t, [low]
+
+    def _go(self, doc: int, t: int, lows: list[int], size: int) -> None:
+        self.gone.setdefault((doc, t), []).extend((low, low + size) for low in lows)
+        self.waiting += len(lows)
+
+    def rows(self, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Merged ranges (without a key, the length as context), and the candidates too if ``whole``."""
+        held = [(None, doc, t, low, None, (high - low).to_bytes(4, "little")) for (doc, t), ranges in self.gone.items() for low, high in merged(ranges)]
+        self.gone, self.waiting = {}, 0
+        held += self.apart
+        self.apart = []
+        yield self._batch(held)
+        if whole:
+            held = []
+            for (key, context), (doc, t, lows) in self.least.items():
+                held.append((key, doc, t, lows[0], np.array(lows[1:], "<i4").tobytes() if len(lows) > 1 else None, context))
+                if len(held) >= 20_000:
+                    yield self._batch(held)
+                    held = []
+            yield self._batch(held)
+            self.least = {}
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["key", "doc", "t", "low", "more", "context"])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        names = ["key", "doc", "t", "low", "context"]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=names)
-
-        def all_out() -> Iterator[pa.RecordBatch]:
-            waiting: list[tuple] = []
-            for (k, context), own in least.items():
-                waiting.append((k, *own, context))
-                if len(waiting) >= 20_000:
-                    yield out(waiting)
-                    waiting = []
-            yield out(waiting)
-            least.clear()
-
-        gone: list[tuple] = []
-
-        def fold(k: int, context: bytes, own: tuple[int, int, int]) -> None:
-            held, size = least.get((k, context)), len(context).to_bytes(4, "little")
-            if held is None:
-                least[k, context] = own
-            elif held[0] < own[0]:
-                gone.append((None, *own, size))
-            elif held[0] > own[0]:
-                gone.append((None, *held, size))
-                least[k, context] = own
-            else:  # the same document again: both stay candidates
-                gone.append((k, *own, context))
 
+def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
+    """What must be compared under one key, folded (``CANDIDATE``); without a key, ranges that go.
+
+    ``more`` holds further places of the same context in the same text.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded = _Folded()
         for batch in batches:
             docs, texts, keys, hots = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
             for first, _, data, offsets in blocks(batch.column(2)):
@@ -193,23 +251,20 @@ def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
                     part = slice(edges[i], edges[i + 1])
                     wanted = np.isin(key[part], keys[first + i].values.to_numpy())
                     row, text = first + i, data[offsets[i] : offsets[i + 1]].tobytes()
-                    split = set(hots[row].as_py())
+                    doc, t, split = docs[row], texts[row], set(hots[row].as_py())
                     for k, a, b in zip(key[part][wanted].tolist(), low[part][wanted].tolist(), high[part][wanted].tolist()):
                         if k not in split:
-                            fold(k, text[a:b], (docs[row], texts[row], a))
+                            folded.add(k, text[a:b], b - a, doc, t, a)
                             continue
                         for at in range(a, b - LENGTH + 1):
-                            string = text[at : at + LENGTH]
-                            fold(_string_key(string), string, (docs[row], texts[row], at))
-                    if len(gone) >= 20_000:
-                        yield out(gone)
-                        gone.clear()
-                    if len(least) >= FOLDED:
-                        yield from all_out()
-        yield out(gone)
-        yield from all_out()
+                            digest = _digest(text[at : at + LENGTH])
+                            folded.add(int.from_bytes(digest[:8], "little", signed=True), digest, LENGTH, doc, t, at)
+                    if folded.waiting >= 200_000 or len(folded.least) >= FOLDED:
+                        yield from folded.rows(len(folded.least) >= FOLDED)
+        yield from folded.rows(True)
 
-    return rows.join(lists, "doc").select("doc", "t", "text", "keys", "hot").mapInArrow(contexts, "key long, doc long, t int, low int, context binary")
+    lists = _shared_anchors(rows, HOT if hot is None else hot)
+    return rows.join(lists, "doc").select("doc", "t", "text", "keys", "hot").mapInArrow(contexts, CANDIDATE)
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
@@ -218,19 +273,21 @@ def _ranges(rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("spread", F.coalesce("key", F.xxhash64("doc", "low"))).repartition("spread").sortWithinPartitions("key", "context", "doc").drop("spread")
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of one key; hot anchors are split, so these are few
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            key = table.column(0).combine_chunks()
-            last = key[len(key) - 1].as_py() if len(key) else None
-            cut = 0
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            cut = batch.num_rows
             if last is not None:
-                cut = int(np.searchsorted(key.drop_null().to_numpy(), last)) + key.null_count
-            held = table.slice(cut)
-            yield from _group_factors(table.slice(0, cut))
-        if held is not None:
-            yield from _group_factors(held)
+                key = batch.column(0)
+                cut = key.null_count + int(np.searchsorted(key.drop_null().to_numpy(), last))
+            if cut:
+                yield from _group_factors(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from _group_factors(pa.Table.from_batches(held))
 
     return placed.mapInArrow(factors, RANGE)
 
@@ -239,52 +296,95 @@ def _group_factors(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Ranges that go, for whole groups of contexts sorted by key, context and document (no key: the range as it is)."""
     if not table.num_rows:
         return
-    key, doc, t, low, context = (c.combine_chunks() for c in table.columns)
-    doc, t, low = doc.to_numpy(), t.to_numpy(), low.to_numpy()
-    n, known = len(doc), ~np.array(key.is_null())
+    key, doc, t, low, more, context = (c.combine_chunks() for c in table.columns)
+    doc, t = doc.to_numpy(), t.to_numpy()
+    n, known = len(doc), ~key.is_null().to_numpy(zero_copy_only=False)
     key = key.fill_null(0).to_numpy()
     sizes = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + n + 1].astype(np.int64)
     data = np.frombuffer(context.buffers()[2], np.uint8)[sizes[0] : sizes[-1]]
     begin, length = sizes[:-1] - sizes[0], np.diff(sizes)
-    out_doc, out_t, out_low, out_high = [], [], [], []
+    # all places of each row
+    again = [np.frombuffer(m.as_buffer(), "<i4") if m.is_valid else () for m in more] if more.null_count < n else [()] * n
+    places = 1 + np.array([len(a) for a in again])
+    lows = np.concatenate([x for own, a in zip(low.to_numpy(), again) for x in ([own], a) if len(x)]).astype(np.int64) if more.null_count < n else low.to_numpy().astype(np.int64)
+    head_of = np.concatenate(([0], np.cumsum(places)))
+    out: list[tuple[np.ndarray, ...]] = []
 
     def go(rows: np.ndarray, at: np.ndarray, until: np.ndarray) -> None:
-        out_doc.append(doc[rows])
-        out_t.append(t[rows])
-        out_low.append(low[rows] + at)
-        out_high.append(low[rows] + until)
+        times = places[rows]
+        of = np.repeat(np.arange(len(rows)), times)
+        here = lows[np.repeat(head_of[rows] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+        out.append((doc[rows][of], t[rows][of], here + at[of], here + until[of]))
 
     plain = np.flatnonzero(~known)
     if len(plain):
         go(plain, np.zeros(len(plain), np.int64), np.frombuffer(b"".join(context.take(pa.array(plain)).to_pylist()), "<u4").astype(np.int64))
     rows = np.flatnonzero(known)
     if len(rows):
-        raw = context.to_pylist()
         same = np.zeros(n, bool)
-        same[rows[1:]] = [key[i] == key[j] and raw[i] == raw[j] for i, j in zip(rows[1:], rows[:-1])]
+        same[1:] = pc.equal(context.slice(1), context.slice(0, n - 1)).to_numpy(zero_copy_only=False) & (key[1:] == key[:-1]) & known[:-1]
         head = rows[np.flatnonzero(~same[rows])]
         first = head[np.searchsorted(head, rows, "right") - 1]
-        later = rows[doc[rows] > doc[first]]  # an equal context in a smaller document
-        go(later, np.zeros(len(later), np.int64), length[later])
-        rest = rows[doc[rows] == doc[first]]
-        several = np.flatnonzero(np.bincount(_dense(key[rest]))[_dense(key[rest])] > 1)
-        rest = rest[several]
+        later = rows[doc[rows] > doc[first]]  # an equal context, or a string of the same digest, in a smaller document
+        go(later, np.zeros(len(later), np.int64), np.where(length[later] == DIGEST, LENGTH, length[later]))
+        rest = rows[(doc[rows] == doc[first]) & (length[rows] > DIGEST)]
+        _, of, members = np.unique(key[rest], return_inverse=True, return_counts=True)
+        rest = rest[members[of] > 1]
         if len(rest):
-            spans = length[rest]
-            where = np.repeat(begin[rest] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-            row = np.repeat(np.arange(len(rest)), spans)
-            end = np.cumsum(spans)[row]
-            found = np.flatnonzero(previous_factors(data[where], end, key[rest][row], doc[rest][row]))
-            at = found - (end[found] - spans[row[found]])
+            strings = length[rest] - LENGTH + 1
+            row = np.repeat(np.arange(len(rest)), strings)
+            at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+            found = np.flatnonzero(previous_factors(data, begin[rest][row] + at, key[rest][row], doc[rest][row]) >= LENGTH)
+            row, at = row[found], at[found]
             # neighbouring strings make one range
             new = np.ones(len(found), bool)
-            new[1:] = (row[found][1:] != row[found][:-1]) | (at[1:] != at[:-1] + 1)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
             start = np.flatnonzero(new)
             stop = np.concatenate((start[1:], [len(found)]))[: len(start)] - 1
             if len(start):
-                go(rest[row[found][start]], at[start], at[stop] + LENGTH)
-    if out_doc:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_t)), pa.array(np.concatenate(out_low).astype(np.int32)), pa.array(np.concatenate(out_high).astype(np.int32))], names=["doc", "t", "low", "high"])
+                go(rest[row[start]], at[start], at[stop] + LENGTH)
+    if out:
+        columns = [np.concatenate(c) for c in zip(*out)]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=["doc", "t", "low", "high"])
+
+
+def _merged_ranges(found: DataFrame) -> DataFrame:
+    """``doc, t, ranges`` with the ranges of each text merged and in order."""
+    placed = found.repartition("doc", "t").sortWithinPartitions("doc", "t", "low")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, t, low, high = (np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, batch.columns))
+            cut = int(np.flatnonzero((doc != doc[-1]) | (t != t[-1])).max(initial=-1)) + 1
+            if cut:
+                yield out(doc[:cut], t[:cut], low[:cut], high[:cut])
+            # the last text may go on; what is held of it is merged
+            held = joined(doc[cut:], t[cut:], low[cut:], high[cut:])
+        if len(held[0]):
+            yield out(*held)
+
+    def joined(doc: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        text = np.concatenate(([0], np.cumsum((doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))))
+        reach = np.maximum.accumulate(high + (text << 32))
+        new = np.ones(len(doc), bool)
+        new[1:] = low[1:] + (text[1:] << 32) > reach[:-1]
+        begin = np.flatnonzero(new)
+        end = np.concatenate((begin[1:], [len(doc)])) - 1
+        return [doc[begin], t[begin], low[begin], reach[end] - (text[end] << 32)]
+
+    def out(*columns: np.ndarray) -> pa.RecordBatch:
+        doc, t, low, high = joined(*columns)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])
+        begin = np.flatnonzero(new)
+        pairs = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["low", "high"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((begin, [len(doc)])).astype(np.int32)), pairs)
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(t[begin].astype(np.int32)), lists], names=["doc", "t", "ranges"])
+
+    return placed.mapInArrow(merge, "doc long, t int, ranges array<struct<low:int,high:int>>")
 
 
 def _with_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -294,10 +394,11 @@ def _with_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies = written(digests.filter("first <> last"), "copies")
     rows = rows.join(_small(copies), "digest", "left").withColumn("first", F.coalesce("first", "doc"))
     originals = rows.filter("doc = first").select("doc", "t", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
-    ranges = written(_ranges(originals).groupBy("doc", "t").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
-    merge = F.udf(lambda rs: merged([(r[0], r[1]) for r in rs]), "array<struct<low:int,high:int>>")
-    ranges = written(ranges.select("doc", "t", merge("ranges").alias("ranges")), "merged")
-    return rows.join(_small(ranges), ["doc", "t"], "left")
+    ranges = written(_merged_ranges(_ranges(originals)), "ranges")
+    size = ranges.agg(F.count("*") * ROW_BYTES + F.coalesce(F.sum(F.size("ranges")), F.lit(0)) * RANGE_BYTES).first()[0]
+    if size <= min(BROADCAST_BYTES, BROADCAST_ROWS * ROW_BYTES):
+        ranges = F.broadcast(ranges)
+    return rows.join(ranges, ["doc", "t"], "left")
 
 
 def _cut(raw: bytes, is_copy: bool, ranges: list) -> tuple[bytes, int, int]:

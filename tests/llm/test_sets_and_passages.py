@@ -165,3 +165,34 @@ def test_top_k_equals_brute_force(spark):
             wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert found == sorted(wanted)
     assert topk_search.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_previous_factors_equal_brute_force():
+    draw = random.Random(9)
+    for length in (5, 8, 50):
+        texts = ["".join(draw.choice("ab") for _ in range(draw.randrange(length, 3 * length))).encode() for _ in range(12)]
+        texts += [texts[0], b"a" * (2 * length)]
+        docs, groups = [draw.randrange(8) for _ in texts], [draw.randrange(2) for _ in texts]
+        starts = [(n, at) for n, x in enumerate(texts) for at in range(len(x) - length + 1)]
+        draw.shuffle(starts)
+        places = np.cumsum([0, *map(len, texts)])
+
+        def common(a, b):
+            return next((i for i in range(length) if a[i] != b[i]), length)
+
+        strings = [(texts[n][at : at + length], docs[n], groups[n]) for n, at in starts]
+        wanted = [max((common(x, y) for y, e, h in strings if h == g and e < d), default=0) for x, d, g in strings]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.array([places[n] + at for n, at in starts])
+        found = suffix_dedup.previous_factors(data, begin, np.array([groups[n] for n, _ in starts]), np.array([docs[n] for n, _ in starts]), length)
+        assert found.tolist() == wanted
+
+
+def test_line_repeated_within_documents(spark, monkeypatch):
+    """Many repeats inside each of several documents: decided once for each document, removed everywhere."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    line = "the same long line again and again, as boilerplate goes, in full "
+    rows = [(3, line * 40 + "x"), (1, "y" + line * 30), (2, "a" * 400), (4, "b" + "a" * 700), (5, f"other {line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect())
+    assert found == removed_brute(rows)
