@@ -52,17 +52,17 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """The ``PEAKS`` strongest bins of each frame (int64, frames x PEAKS), strongest first."""
+    """The ``PEAKS`` strongest bins of each frame (int64, frames x PEAKS), strongest first, ties to the lower bin."""
     frames = np.frombuffer(samples, np.uint8).reshape(-1, FRAME)
     window = np.hanning(FRAME).astype(np.float32)
     found = []
     for at in range(0, len(frames), BLOCK):
         block = (frames[at : at + BLOCK].astype(np.float32) - 128) * window
         power = np.abs(np.fft.rfft(block, axis=1)[:, 1:]).astype(np.float32)
-        rough = np.round(power, 1)
-        top = np.argpartition(-rough, PEAKS, axis=1)[:, :PEAKS]
-        strength = np.take_along_axis(rough, top, axis=1)
-        order = np.lexsort((top, -strength), axis=1)
+        # tenths of power, then the lower bin: no two bins of a frame are equal
+        rank = np.round(power * 10).astype(np.int64) * -FRAME + np.arange(power.shape[1])
+        top = np.argpartition(rank, PEAKS, axis=1)[:, :PEAKS]
+        order = np.argsort(np.take_along_axis(rank, top, axis=1), axis=1)
         found.append(np.take_along_axis(top, order, axis=1) + 1)
     return np.concatenate(found)
 
@@ -101,22 +101,24 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.Array,
 
 
 def media_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store, read back and digest every text; ``feature`` is the number of codes and their SHA-256."""
+    """Store, read back and digest every text; ``feature`` is the number of codes and their SHA-256, ``fingerprint`` the codes."""
     kind = df.schema[id_col].dataType
-    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("fingerprint", T.ArrayType(T.LongType()))]
+
+    arrow = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
 
     def row(raw: bytes) -> tuple:
         media = to_wav(padded(raw))
         back = from_wav(media)
         codes = fingerprint(back)
         feature = f"{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}"
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature, codes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, raw in _slices(batch):
                 columns = zip(*(row(r) for r in raw)) if raw else [[] for _ in fields]
-                arrays = [pa.array(c, pa.string() if isinstance(k, T.StringType) else pa.int64()) for c, (_, k) in zip(columns, fields)]
+                arrays = [pa.array(c, arrow[k]) for c, (_, k) in zip(columns, fields)]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names=[id_col, *(n for n, _ in fields)])
 
     return df.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), *(T.StructField(n, k) for n, k in fields)]))
