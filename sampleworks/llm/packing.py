@@ -21,7 +21,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -37,15 +37,15 @@ from sampleworks.llm._shared import written
 
 GROUP = 2048
 NARROWING = 16
-SEARCHED = 48
 MEMO_ENTRIES = 400_000
 
 
 class WordTokenizer:
     """Ids of a ``tokenizers`` file whose words are encoded on their own, with a memo of words.
 
-    Texts of common characters are folded and cut into words here, as the file's normaliser and pre-tokeniser do;
-    any other text, and any that holds the literal of an added token, goes through the library whole.
+    Texts of common characters are folded and cut into words here, as the file's normaliser and pre-tokeniser do, which
+    is held against the file at the start. Any other text, any that holds the literal of an added token, and all texts if
+    the file differs, go through the library whole.
     """
 
     COMMON = re.compile("[\t\n\v\f\r -~¡-©«-±´-¸»¿-ķĹ-ľŁ-ňŊ-ž]*")
@@ -61,13 +61,28 @@ class WordTokenizer:
         # in any case, as an added token may be looked for in the folded text
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.memo: dict[str, bytes] = {}
+        self.alike = self._alike()
+
+    def _alike(self) -> bool:
+        """Whether the file's normaliser and pre-tokeniser fold and cut common characters as is done here."""
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normalizer is None or cutter is None:
+            return False
+        common = [chr(c) for c in range(0x180) if self.COMMON.fullmatch(chr(c))]
+        for other in ("a", "1", " ", "'s", "'", "!", "É"):
+            probe = " ".join(f"{c}{other}{c} {other}{c}{c}{other}" for c in common if c.strip()) + "".join(f"{other}{c}{other}" for c in common if not c.strip())
+            folded = normalizer.normalize_str(probe)
+            cut = [folded[a:b] for _, (a, b) in cutter.pre_tokenize_str(folded)]
+            if [w for w in cut if w.strip()] != self.WORD.findall(probe.lower()):
+                return False
+        return True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.COMMON.fullmatch(text) or self.added and self.added.search(text):
+        if not self.alike or not self.COMMON.fullmatch(text) or self.added and self.added.search(text):
             return self._whole(text)
         words = self.WORD.findall(text.lower())
         get = self.memo.get
@@ -133,27 +148,23 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched: int = SEARCHED) -> list[list[int]]:
-    """Empty bins by moves and exchanges that raise the sum of squared fills; ``searched`` failures in a row end it."""
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empty bins by moves and exchanges that raise the sum of squared fills, until no bin can be emptied."""
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     open_bins = [b for b in range(len(bins)) if fill[b] < capacity]
-    failures = 0
     tried: set[int] = set()
-    while failures < searched:
+    while True:
         rest = [b for b in open_bins if bins[b] and b not in tried and fill[b] < capacity]
         if len(rest) < 2:
             break
         victim = min(rest, key=lambda b: (fill[b], b))
         others = sorted((b for b in open_bins if b != victim and bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
         if sum(capacity - fill[b] for b in others) < fill[victim]:
-            break
+            break  # every other bin holds more still
         _empty(victim, others, bins, fill, size, capacity)
         if bins[victim]:
             tried.add(victim)
-            failures += 1
-        else:
-            failures = 0
     return [b for b in bins if b]
 
 
@@ -169,27 +180,30 @@ def _empty(victim: int, others: list[int], bins: list[list[int]], fill: list[int
                 moved = True
         if moved:
             continue
-        own = sorted(bins[victim], key=lambda i: -size[i])
-        sums = sorted((size[a] + size[b], a, b) for n, a in enumerate(own) for b in own[n + 1 :]) if len(own) <= 24 else []
+        # of pieces of one length any will do: a bin holds about the square root of twice its capacity of lengths at most
+        by_size: dict[int, list[int]] = {}
+        for item in bins[victim]:
+            by_size.setdefault(size[item], []).append(item)
+        own = sorted(by_size)
+        pairs = {a + b: (a, b) for n, a in enumerate(own) for b in own[n:] if a != b or len(by_size[a]) > 1}
+        sums = sorted(pairs)
         for target in sorted(others, key=lambda b: fill[b] - capacity):
             free = capacity - fill[target]
             if free <= 0:
                 continue
-            best = (0, (), -1)
-            for back in bins[target]:
-                top = size[back] + free
-                for item in own:  # one for one: the longest that fits beside the rest
-                    if size[item] <= top:
-                        if size[item] - size[back] > best[0]:
-                            best = (size[item] - size[back], (item,), back)
-                        break
-                at = bisect_left(sums, (top + 1, -1, -1)) - 1
-                if at >= 0 and sums[at][0] - size[back] > best[0]:  # two for one
-                    best = (sums[at][0] - size[back], sums[at][1:], back)
-            if best[0] > 0:
-                for item in best[1]:
-                    _shift(item, victim, target, bins, fill, size)
-                _shift(best[2], target, victim, bins, fill, size)
+            gain, give, back = 0, (), -1
+            for out in bins[target]:
+                top = size[out] + free
+                at = bisect_right(own, top) - 1
+                if at >= 0 and own[at] - size[out] > gain:  # one for one: the longest that fits beside the rest
+                    gain, give, back = own[at] - size[out], (own[at],), out
+                at = bisect_right(sums, top) - 1
+                if at >= 0 and sums[at] - size[out] > gain:  # two for one
+                    gain, give, back = sums[at] - size[out], pairs[sums[at]], out
+            if gain > 0:
+                for length in give:
+                    _shift(by_size[length].pop(), victim, target, bins, fill, size)
+                _shift(back, target, victim, bins, fill, size)
                 moved = True
                 break
 

@@ -12,7 +12,7 @@ import pytest
 from sampleworks.llm import media_columns, packing, sentencepiece_codec
 from sampleworks.llm.queries import tokenizer
 
-ODD = [None, "", " ", "  two  spaces ", "\n\ttabs\r\n", "▁mark", "日本語𝒳", "<s> </s> <0x0A>", "a_b_c ²x", "x" * 5000, "é" * 300, "\x00 nul", "don't we'll 's", "ÀÉ ßſ", "İI Σς", "A" * 70 + " " * 90]
+ODD = [None, "", " ", "  two  spaces ", "\n\ttabs\r\n", "▁mark", "日本語𝒳", "<s> </s> <0x0A>", "a_b_c ²x", "x" * 5000, "é" * 300, "\x00 nul", "don't we'll 's", "ÀÉ ßſ", "İI Σς", "a <|endoftext|> b", "<|startoftext|><|ENDOFTEXT|>", "A" * 70 + " " * 90]
 
 
 def texts():
@@ -41,21 +41,35 @@ def test_codec_equals_library(spark, rows):
     assert sorted(map(tuple, back.collect())) == sorted((i, model.decode(model.encode(t or ""))) for i, t in rows)
 
 
-def test_word_ids_equal_library():
+def library_ids(text):
+    """Little-endian ids of a tokenizer that nothing else has touched."""
+    from tokenizers import Tokenizer
+
+    global LIBRARY
+    LIBRARY = LIBRARY or Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+LIBRARY = None
+
+
+def test_word_ids_equal_library(monkeypatch):
     own = packing.word_tokenizer(tokenizer("word_bpe_49k.json"))
+    assert own.alike
     for t in texts():
-        ids = own.tokenizer.encode(t or "", add_special_tokens=False).ids
-        assert own.ids(t or "") == np.array(ids, "<u4").tobytes(), t
+        assert own.ids(t or "") == library_ids(t), t
+    monkeypatch.setattr(packing.WordTokenizer, "WORD", __import__("re").compile("[a-z]+"))
+    other = packing.WordTokenizer(tokenizer("word_bpe_49k.json"))
+    assert not other.alike and other.ids("It's 12") == library_ids("It's 12")
 
 
 def test_packing_is_whole_and_tight(spark, rows):
     long = [(5000 + i, "many words here " * n) for i, n in enumerate((900, 1366, 2000, 3000))]
     df = spark.createDataFrame(rows + long, "doc_id long, text string").repartition(3)
     found = packing.pack_documents(df, tokenizer("word_bpe_49k.json")).collect()
-    own = packing.word_tokenizer(tokenizer("word_bpe_49k.json"))
     wanted = []
     for i, t in rows + long:
-        ids = own.ids(t or "") + (1).to_bytes(4, "little")
+        ids = library_ids(t) + (1).to_bytes(4, "little")
         wanted += [(i, p, a // 4, len(ids[a : a + 16384]) // 4, zlib.crc32(ids[a : a + 16384])) for p, a in enumerate(range(0, len(ids), 16384))]
     assert sorted(tuple(r)[:5] for r in found) == sorted(wanted)
     by = {}
@@ -74,6 +88,9 @@ def test_local_search_empties_bins():
     assert sorted(map(sorted, packing.local_search([[0, 1], [3, 4], [2, 5]], lengths, 100))) == [[0, 1, 2], [3, 4, 5]]
     # one for one: 40 and 35 change places, which makes room for the rest
     assert len(packing.local_search([[0, 1], [2], [3]], np.array([60, 35, 40, 65]), 100)) == 2
+    # two for one, in a bin of many pieces: 30 ones and two of 20 change places with 41, until the bin is empty
+    many = np.array([20, 20, *[1] * 30, 41, 55, 30])
+    assert len(packing.local_search([list(range(32)), [32, 33], [34]], many, 100)) == 2
     draw = np.random.RandomState(1)
     for _ in range(50):
         lengths = draw.randint(1, 100, 40)
@@ -105,9 +122,31 @@ def test_media_round_trip(spark, rows):
     assert len({found[0, 0].feature, found[1, 0].feature}) == 1
 
 
-def test_fingerprint_is_the_same_in_blocks():
+def test_fingerprint_equals_plain_transform(monkeypatch):
+    draw = np.random.RandomState(4)
+    tone = (128 + 60 * np.sin(2 * np.pi * 37 * np.arange(576) / 576) + 30 * np.sin(2 * np.pi * 90 * np.arange(576) / 576)).astype(np.uint8)
+    samples = np.concatenate((tone, draw.randint(0, 256, 576 * 4).astype(np.uint8), np.full(576, 255, np.uint8), tone[::-1]))
+    frames = samples.reshape(-1, 576).astype(float) - 128
+    k, n = np.arange(1, 289)[:, None], np.arange(576)[None, :]
+    basis = np.exp(-2j * np.pi * k * n / 576)
+    strongest = []
+    for frame in frames:
+        power = np.round(np.abs(basis @ (frame * np.hanning(576))), 1)
+        strongest.append([int(b) + 1 for b in np.lexsort((np.arange(288), -power))[:2]])
+    wanted = [t << 24 | a << 10 | b for t, (a, b) in enumerate(strongest)]
+    wanted += [t << 24 | d << 20 | strongest[t][0] << 10 | strongest[t + d][p] for d in (1, 2) for p in (0, 1) for t in range(len(frames) - d)]
+    assert strongest[0][0] == 37
+    assert media_columns.fingerprint(samples.tobytes()).tolist() == sorted(wanted)
+    monkeypatch.setattr(media_columns, "BLOCK", 2)
+    assert media_columns.fingerprint(samples.tobytes()).tolist() == sorted(wanted)
+
+
+def test_fingerprint_is_the_same_in_blocks(monkeypatch):
     data = bytes(random.Random(1).randrange(256) for _ in range(576 * 40))
     whole = media_columns.fingerprint(data)
+    for block in (1, 7, 40):
+        monkeypatch.setattr(media_columns, "BLOCK", block)
+        assert media_columns.fingerprint(data).tolist() == whole.tolist()
     assert (np.diff(whole >> 24) >= 0).all() and whole[-1] >> 24 == 39
 
 
