@@ -2,19 +2,20 @@
 
 Two generative models of hashed n-grams, runs of ``BYTES`` bytes and pairs of neighbouring words, are counted:
 the raw model over the whole text of every document, the target model over labelled documents of good quality.
-The importance weight of a document is the ratio of its probabilities under the two, per n-gram, times
-``EFFECTIVE`` n-grams, so that long and short documents compare; ``PRIOR`` n-grams of average good text are added to
-each, so that a few chance n-grams don't condemn a short one. A sample of k documents without replacement, in
+The importance weight of a document is the ratio of its probabilities under the two, so its logarithm is the sum of the
+log-ratios of all its n-grams, divided by ``temperature``. A sample of k documents without replacement, in
 proportion to weight, is drawn by the Gumbel top-k trick: the k largest sums of log-weight and Gumbel noise. The
 noise is a hash of the id, so a lost task draws the same. ``k`` is the number of documents whose weight passes
-the cut that separates the labelled documents best, or a share of all if ``share`` is given.
+the cut that separates the labelled documents best, or a share of all if ``share`` is given. At temperature 1 the draw
+decides among documents within a few units of the kth key only, since sums over whole texts spread over thousands; a
+higher temperature makes it decide more.
 
 The target model and the cut are fitted on ``FIT_DOCUMENTS`` labelled rows of each quality at most (the smallest
 hashes of ids): the model where crc32(id as text) mod 5 is 1 to 3, the cut where it is 4, so on texts that the
 model hasn't counted as good. Everything else covers all documents. The kth key is found by
 counting keys in ever narrower intervals, never by sorting all of them in one place; equal keys go by id.
 
-A null, empty or very short text has no n-grams and the log-weight of average good text. Repeated rows have equal keys, and are kept or
+A null, empty or very short text has no n-grams and the log-weight 0. Repeated rows have equal keys, and are kept or
 rejected together; k may then be exceeded. Rows with a null id draw the same noise. Without labels of both
 qualities every document is kept. Only the named columns are read; ``resample`` returns all columns.
 """
@@ -36,8 +37,7 @@ from sampleworks.llm._words import WEIGHTS, blocks, mix, word_hashes
 BYTES = 4
 BUCKETS = 1 << 16
 SLICES = 32
-EFFECTIVE = 200.0
-PRIOR = 60
+TEMPERATURE = 1.0
 LOSS = 12  # a rejected good document costs as much as so many kept bad ones
 FIT_DOCUMENTS = 20_000
 SEED = 20_240_601
@@ -75,8 +75,8 @@ def _fit_rows(labels: DataFrame, id_col: str, remainders: tuple[int, ...]) -> Da
     return parts[0].union(parts[1])  # 2 * FIT_DOCUMENTS rows at most
 
 
-def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, float]:
-    """log p(bucket | target) - log p(bucket | raw) of every bucket, from counts over all documents, and its target mean."""
+def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | raw) of every bucket, from counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 2 * BUCKETS), np.int64)
@@ -108,25 +108,30 @@ def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
             p = (raw[part] + 0.5) / (n + 0.5 * BUCKETS)
             q = (good[part] + 5.0 * p * BUCKETS) / (m + 5.0 * BUCKETS)
             ratio[part] = np.log(q / p)
-    return ratio, float(good @ ratio / max(good.sum(), 1))
+    return ratio
 
 
-def _weighted(df: DataFrame, ratio: tuple[np.ndarray, float], text_col: str) -> DataFrame:
-    """All columns of ``df`` and ``log_weight``."""
-    told = df.sparkSession.sparkContext.broadcast(ratio)
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no column of a frame has, in any case of letters."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _weighted(df: DataFrame, ratio: np.ndarray, text_col: str, name: str, temperature: float) -> DataFrame:
+    """All columns of ``df`` and the log-weight as ``name``."""
+    told = df.sparkSession.sparkContext.broadcast(ratio / temperature)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights = []
+            weights = [np.zeros(0)]
             for first, last, data, offsets in blocks(batch.column(at)):
                 bucket, owner = ngrams(data, offsets)
-                by_bucket, mean = told.value
-                sums = np.bincount(owner, by_bucket[bucket], minlength=last - first)
-                weights.append(EFFECTIVE * (sums + PRIOR * mean) / (np.bincount(owner, minlength=last - first) + PRIOR))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(weights) if weights else np.zeros(0))], names=[*batch.schema.names, "__log_weight"])
+                weights.append(np.bincount(owner, told.value[bucket], minlength=last - first))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(weights))], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__log_weight", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def gumbel(id_col: Column) -> Column:
@@ -169,11 +174,12 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 2048) -> float
     return low
 
 
-def _keyed(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float | None) -> tuple[tuple[np.ndarray, float], float]:
+def _keyed(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float | None, temperature: float) -> tuple[np.ndarray, float]:
     """The ratios, and the kth key: documents with that key or more are kept."""
     ratio = log_ratios(df, labels, id_col, text_col)
-    weights = _weighted(df.select(id_col, text_col), ratio, text_col)
-    keys = written(weights.select(F.col(id_col).alias("id"), F.col("__log_weight").alias("w"), (F.col("__log_weight") + gumbel(F.col(id_col))).alias("key")), "keys")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    weights = _weighted(rows, ratio, "text", "w", temperature)
+    keys = written(weights.select("id", "w", (F.col("w") + gumbel(F.col("id"))).alias("key")), "keys")
     if share is not None:
         k = round(share * keys.count())
     else:
@@ -185,16 +191,17 @@ def _keyed(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, share:
     return ratio, kth_largest(keys, "key", k)
 
 
-def weigh(df: DataFrame, labels: DataFrame, *, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weigh(df: DataFrame, labels: DataFrame, *, share: float | None = None, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, log_weight, key, kept`` for every document."""
-    rows = df.select(id_col, text_col)
-    ratio, least = _keyed(rows, labels, id_col, text_col, share)
-    found = _weighted(rows, ratio, text_col).withColumn("key", F.col("__log_weight") + gumbel(F.col(id_col)))
-    return found.select(id_col, F.col("__log_weight").alias("log_weight"), "key", (F.col("key") >= least).alias("kept"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ratio, least = _keyed(rows, labels.withColumnRenamed(id_col, "id"), "id", "text", share, temperature)
+    found = _weighted(rows, ratio, "text", "w", temperature).withColumn("key", F.col("w") + gumbel(F.col("id")))
+    return found.select(F.col("id").alias(id_col), F.col("w").alias("log_weight"), "key", (F.col("key") >= least).alias("kept"))
 
 
-def resample(df: DataFrame, labels: DataFrame, *, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, *, share: float | None = None, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with their columns."""
-    ratio, least = _keyed(df.select(id_col, text_col), labels, id_col, text_col, share)
-    kept = _weighted(df, ratio, text_col).filter(F.col("__log_weight") + gumbel(F.col(id_col)) >= least)
-    return kept.drop("__log_weight")
+    ratio, least = _keyed(df.select(id_col, text_col), labels, id_col, text_col, share, temperature)
+    weight = _free("log_weight", df.columns)
+    kept = _weighted(df, ratio, text_col, weight, temperature).filter(F.col(weight) + gumbel(F.col(id_col)) >= least)
+    return kept.drop(weight)
