@@ -1,17 +1,21 @@
-"""What several operators of this subpackage need: written tables and plain readers."""
+"""What several operators of this subpackage need: written tables, packed arrays and plain readers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='sampleworks-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -34,5 +38,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes: what neighbouring values have in common takes next to no room."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: str = "<u8", shape: tuple[int, ...] = (-1,)) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(shape)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

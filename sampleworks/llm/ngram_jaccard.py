@@ -6,8 +6,8 @@ similarity. In a block the overlaps are accumulated over groups of n-grams, and
 bound that follows from their sizes, whatever n-grams are left, are discarded on the way:
 
 1. Documents with the same set form one class, and a class is one row.
-2. All n-grams of all documents are counted by hash into ``BUCKETS`` counters, which put them in one order, the rare
-   ones first. Linked sets have so many n-grams in common that the first common one is among the first
+2. All n-grams of all documents are counted by hash, into a counter for eight bytes of text, ``BUCKETS`` at most, which
+   puts them in one order, the rare ones first; shared counters make the order worse, not the result. Linked sets have so many n-grams in common that the first common one is among the first
    ``n - ceil(n * percent / 100) + 1`` of either set. A row is dealt to the blocks that these n-grams name. Being rare, most
    name no other row, and passages that many documents share name a block only for texts that hold little else.
 3. In a block, rows in order of size are cut into runs where the next size is out of reach for a link. The first row of a
@@ -27,7 +27,6 @@ are dealt in portions, tiles are bounded. Only the named columns are read. N-gra
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.llm._components import components
-from sampleworks.llm._shared import discard, written
+from sampleworks.llm._shared import discard, packed, unpacked, written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
 TILE = 512
@@ -47,12 +46,13 @@ COLUMNS = 4096
 DIRECT = 1024
 FAMILY = 4096
 BROADCAST_USES = 500_000
-BUCKETS = 1 << 22  # counters of n-grams: 4 MB of levels are sent out, whatever the input
+BUCKETS = 1 << 24  # counters of n-grams at most: 16 MB of levels are sent out, whatever the input
 SLICES = 64
+HELD_GRAMS = 1 << 22  # that a task counts before it sends the counts
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -61,32 +61,43 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     if n == 0:
         return grams
     wanted = n - -(-n * percent // 100) + 1
-    return grams[np.lexsort((mix(grams), levels[_bucket(grams)]))[:wanted]] if wanted < n else grams
+    return grams[np.lexsort((mix(grams), levels[_bucket(grams, len(levels))]))[:wanted]] if wanted < n else grams
 
 
 def rarity(df: DataFrame, size: int, text_col: str) -> np.ndarray:
     """A level for each bucket of n-grams: four times the binary logarithm of how often documents hold one of them."""
-    per = BUCKETS // SLICES
+    octets = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = min(BUCKETS, max(1 << 12, 1 << (octets // 8).bit_length()))
+    per = max(1, buckets // SLICES)
+
+    def parts(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(found, np.arange(0, buckets + per, per))
+        rows = [(i, packed((found[a:b] - i * per).astype("<u4")), packed(times[a:b].astype("<u4"))) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        columns = list(zip(*rows)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["slice", "buckets", "times"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
+        held, n = [np.zeros(0, np.int64)], 0
         for batch in batches:
-            found = [grams for _, grams in _sets(batch, size, 0)]
-            if found:
-                counts += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS).astype(np.uint32)
-        blobs = [zlib.compress(counts[i * per : (i + 1) * per].tobytes(), 1) for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
-
-    def total(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, grams in _sets(batch, size, 0):
+                held.append(_bucket(grams, buckets))
+                n += len(grams)
+                if n >= HELD_GRAMS:
+                    yield parts(held)
+                    held, n = [np.zeros(0, np.int64)], 0
+        yield parts(held)
+
+    def total(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(per, np.int64)
-        for batch in parts:
-            for blob in batch.column(1):
-                counts += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
+        for batch in rows:
+            for at, times in zip(batch.column(1), batch.column(2)):
+                counts[unpacked(at.as_buffer(), "<u4")] += unpacked(times.as_buffer(), "<u4")
         level = np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
 
-    counted = df.select(text_col).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, level binary")
-    levels = np.zeros(BUCKETS, np.uint8)
+    counted = df.select(text_col).mapInArrow(count, "slice int, buckets binary, times binary").groupBy("slice").applyInArrow(total, "slice int, level binary")
+    levels = np.zeros(buckets, np.uint8)
     for row in counted.collect():  # SLICES rows at most, a byte for each bucket
         levels[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["level"], np.uint8)
     return levels
