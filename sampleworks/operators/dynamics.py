@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleworks.functions.values import is_finite
+
 
 def deduplicated(df: DataFrame, keys: list[str], epoch: str, seq: str) -> DataFrame:
     """The last record of each sample and epoch."""
@@ -48,20 +50,62 @@ def with_speed(dynamics: DataFrame) -> DataFrame:
     return joined.withColumn("speed", speed).drop("__cuts")
 
 
-def image_learning(dynamics: DataFrame, min_observations: int = 3) -> DataFrame:
-    """``category`` of each sample; here early is at or before the first quartile."""
-    bounds = dynamics.agg(F.max("observations").alias("__most"), F.percentile("learned_epoch", F.lit(0.25)).alias("__q1"), F.percentile("learned_epoch", F.lit(0.75)).alias("__q3"))
-    joined = dynamics.crossJoin(F.broadcast(bounds))  # one row
-    few = (F.col("observations") < min_observations) | (F.col("observations") < 0.5 * F.col("__most"))
+def image_scores(df: DataFrame, keys: list[str], epoch: str, score: str, good: float = 0.5) -> DataFrame:
+    """Rows with a finite score, with ``correct`` where it reaches ``good``, for :func:`sample_dynamics`."""
+    return df.filter(is_finite(F.col(score)) & F.col(epoch).isNotNull()).withColumn("correct", F.col(score) >= good)
+
+
+def image_learning(dynamics: DataFrame, min_observations: int = 3, unstable: int = 2) -> DataFrame:
+    """``category`` of each sample; a boolean column ``empty`` marks those without anything labelled or predicted.
+
+    The quartiles are those of samples that were learned for good, seen often enough and not empty. Early is at or
+    before the first; late is after the last, or at it where the last quarter all falls on the final round.
+    """
+    empty = F.coalesce(F.col("empty"), F.lit(False)) if "empty" in dynamics.columns else F.lit(False)
+    most = dynamics.agg(F.max("observations").alias("__most"))
+    judged = dynamics.crossJoin(F.broadcast(most))  # one row
+    few = (F.col("observations") < min_observations) | (F.col("observations") * 2 < F.col("__most"))
+    judged = judged.withColumn("category", F.when(empty, "empty").when(few, "insufficient"))
+    learned = F.when(F.col("category").isNull() & (F.col("forgetting") < unstable), F.col("learned_epoch"))
+    bounds = judged.agg(F.percentile(learned, F.lit(0.25)).alias("__q1"), F.percentile(learned, F.lit(0.75)).alias("__q3"), F.max(learned).alias("__end"))
+    joined = judged.crossJoin(F.broadcast(bounds))  # one row
+    final = (F.col("__q3") > F.col("__q1")) & (F.col("__q3") == F.col("__end")) & (F.col("learned_epoch") == F.col("__q3"))
     category = (
-        F.when(few, "insufficient")
+        F.when(F.col("category").isNotNull(), F.col("category"))
         .when(F.col("first_correct").isNull(), "never")
-        .when(F.col("learned_epoch").isNull() | (F.col("forgetting") >= 2), "forgotten")
+        .when(F.col("learned_epoch").isNull() | (F.col("forgetting") >= unstable), "forgotten")
         .when(F.col("learned_epoch") <= F.col("__q1"), "early")
-        .when(F.col("learned_epoch") > F.col("__q3"), "late")
+        .when((F.col("learned_epoch") > F.col("__q3")) | final, "late")
         .otherwise("steady")
     )
-    return joined.withColumn("category", category).drop("__most", "__q1", "__q3")
+    return joined.withColumn("category", category).drop("__most", "__q1", "__q3", "__end")
+
+
+def uncertainty(margin: Column, confidence: Column, narrow: float = 0.25, unsure: float = 0.6) -> Column:
+    """Whether a prediction was uncertain: by its margin where recorded, else by its confidence, else null."""
+    return F.when(is_finite(margin), margin < narrow).when(is_finite(confidence), confidence < unsure)
+
+
+def holds_from(df: DataFrame, keys: list[str], epoch: str, test: Column) -> DataFrame:
+    """``from_epoch`` of each sample: the first epoch of the last run of epochs that pass a test, null if the last fails."""
+    bad = F.max(F.when(~F.coalesce(test, F.lit(False)), F.col(epoch))).over(Window.partitionBy(*keys))
+    kept = df.withColumn("__bad", bad).withColumn("__good", F.col("__bad").isNull() | (F.col(epoch) > F.col("__bad")))
+    return kept.groupBy(*keys).agg(F.min(F.when(F.col("__good"), F.col(epoch))).alias("from_epoch"))
+
+
+def evaluation_round(df: DataFrame, keys: list[str], epoch: str, has_boxes: str, seq: str) -> DataFrame:
+    """One row for each sample of the round to be judged: the last epoch with stored boxes, else the last; of
+    repeated rows one with boxes wins, then the latest."""
+    last = df.agg(F.coalesce(F.max(F.when(F.col(has_boxes), F.col(epoch))), F.max(epoch)).alias("__round"))
+    inside = df.join(F.broadcast(last), F.col(epoch) == F.col("__round")).drop("__round")  # one row
+    first = Window.partitionBy(*keys).orderBy(F.desc(has_boxes), F.desc(seq))
+    return inside.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
+def round_history(df: DataFrame, sample: Column, epoch: str, seq: str) -> DataFrame:
+    """One sample's rows in order of epoch, the latest of each."""
+    latest = Window.partitionBy(epoch).orderBy(F.desc(seq))
+    return df.filter(sample).withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n").orderBy(epoch)
 
 
 def epoch_summary(df: DataFrame, dynamics: DataFrame, epoch: str, correct: str, p: str, confident: float = 0.6) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,25 @@ def weighted(df: DataFrame, n: int, *, weight: str = "weight", row: str = "_row"
     return df.filter(F.col(weight) > 0).orderBy(-F.log(_uniform(seed, row)) / F.col(weight), row).limit(n)
 
 
-def weighted_with_replacement(df: DataFrame, n: int, *, weight: str = "weight", row: str = "_row", seed: int = 0) -> DataFrame:
-    """About ``n`` draws: each row is repeated by its expected number of draws, the fraction by chance."""
-    total = df.agg(F.sum(weight)).first()[0] or 1.0
-    return repeated(df.withColumn("__w", F.col(weight) * n / total), weight="__w", row=row, seed=seed).drop("__w")
+def weighted_with_replacement(df: DataFrame, n: int | None = None, *, weight: str = "weight", row: str = "_row", seed: int = 0, stretch: int = 65_536, cells: int = 4096) -> DataFrame:
+    """``n`` independent draws (as many as there are rows of positive weight, if null), numbered by ``draw``.
+
+    Rows own stretches of the sum of weights, in order of ``row``; a draw is a point of it. Both are dealt to ``cells`` equal
+    pieces of the sum, so points meet only the rows there.
+    """
+    some = df.filter(F.col(weight) > 0).withColumn("__stretch", F.floor(F.col(row) / stretch))
+    inside = F.sum(weight).over(Window.partitionBy("__stretch").orderBy(row).rowsBetween(Window.unboundedPreceding, 0))
+    sums = some.groupBy("__stretch").agg(F.sum(weight).alias("__sum"), F.count("*").alias("__rows"))
+    before = sums.select("__stretch", (F.sum("__sum").over(Window.orderBy("__stretch")) - F.col("__sum")).alias("__before"))  # a row for each stretch
+    total, rows = sums.agg(F.sum("__sum"), F.sum("__rows")).first()
+    if not total:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    cell = lambda at: F.least(F.floor(at / total * cells), F.lit(cells - 1))
+    placed = some.withColumn("__high", inside).join(before, "__stretch").withColumn("__high", F.col("__high") + F.col("__before")).withColumn("__low", F.col("__high") - F.col(weight))
+    placed = placed.withColumn("__cell", F.explode(F.sequence(cell(F.col("__low")), cell(F.col("__high")))))
+    draws = df.sparkSession.range(rows if n is None else n).select(F.col("id").alias("draw"), (_uniform(seed, "id") * total).alias("__at")).withColumn("__cell", cell(F.col("__at")))
+    met = draws.join(placed, "__cell").filter((F.col("__at") >= F.col("__low")) & (F.col("__at") < F.col("__high")))
+    return met.select(*df.columns, "draw")
 
 
 def repeated(df: DataFrame, *, weight: str = "weight", row: str = "_row", seed: int = 0) -> DataFrame:

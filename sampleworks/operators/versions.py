@@ -8,25 +8,27 @@ from pyspark.sql import functions as F
 
 def lineage(spark: SparkSession, edges: DataFrame, start: str, depth: int = 100) -> DataFrame:
     """``version, depth`` from ``start`` up first parents; a version is visited once."""
-    edges.createOrReplaceTempView("__edges")
     return spark.sql(
-        f"""WITH RECURSIVE up(version, depth, path) AS (
-              SELECT '{start}', 0, array('{start}')
-              UNION ALL SELECT e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN __edges e ON e.child = u.version
-              WHERE e.place = 0 AND NOT array_contains(u.path, e.parent) AND u.depth < {depth})
-            SELECT version, depth FROM up"""
+        """WITH RECURSIVE up(version, depth, path) AS (
+              SELECT :start, 0, array(:start)
+              UNION ALL SELECT e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN {edges} e ON e.child = u.version
+              WHERE e.place = 0 AND NOT array_contains(u.path, e.parent) AND u.depth < :depth)
+            SELECT version, depth FROM up""",
+        args={"start": start, "depth": depth},
+        edges=edges,
     )
 
 
 def descendants(spark: SparkSession, edges: DataFrame, start: str, depth: int = 100) -> DataFrame:
     """``version, depth`` of everything derived from ``start``, itself included, at its greatest depth."""
-    edges.createOrReplaceTempView("__edges")
     return spark.sql(
-        f"""WITH RECURSIVE down(version, depth, path) AS (
-              SELECT '{start}', 0, array('{start}')
-              UNION ALL SELECT e.child, d.depth + 1, array_append(d.path, e.child) FROM down d JOIN __edges e ON e.parent = d.version
-              WHERE NOT array_contains(d.path, e.child) AND d.depth < {depth})
-            SELECT version, max(depth) AS depth FROM down GROUP BY version"""
+        """WITH RECURSIVE down(version, depth, path) AS (
+              SELECT :start, 0, array(:start)
+              UNION ALL SELECT e.child, d.depth + 1, array_append(d.path, e.child) FROM down d JOIN {edges} e ON e.parent = d.version
+              WHERE NOT array_contains(d.path, e.child) AND d.depth < :depth)
+            SELECT version, max(depth) AS depth FROM down GROUP BY version""",
+        args={"start": start, "depth": depth},
+        edges=edges,
     )
 
 
@@ -65,24 +67,43 @@ def review_cost(events: DataFrame, since: str, until: str, *, key: str, reviewer
     return inside.agg(F.count("*").alias("decisions"), F.count_distinct(key).alias("images"), F.count_distinct(reviewer).alias("reviewers"), (F.count("*") * seconds / 60).alias("minutes"))
 
 
+def rescaled(have: dict[str, int], targets: dict[str, int]) -> dict[str, int]:
+    """Wanted sizes that add up to what there is, by largest remainder; ties to the later name."""
+    unknown = sorted(set(targets) - set(have))
+    if unknown:
+        raise ValueError(f"no split named {unknown}")
+    asked = {s: max(0, int(targets.get(s, n))) for s, n in have.items()}
+    total, wanted = sum(have.values()), sum(asked.values())
+    if wanted <= 0:
+        raise ValueError("a plan must give some split rows")
+    share = {s: (n * total) // wanted for s, n in asked.items()}
+    left = {s: n * total / wanted - share[s] for s, n in asked.items()}
+    for s in sorted(left, key=lambda s: (left[s], s), reverse=True)[: total - sum(share.values())]:
+        share[s] += 1
+    return share
+
+
 def plan_splits(rows: DataFrame, split: str, order: str, targets: dict[str, int]) -> DataFrame:
     """``split -> target``: each split keeps its first rows up to its target; the surplus, in order of split,
-    fills the splits with room, in order of name. Rows beyond all targets go to the last split."""
+    fills the splits with room, in order of name. Targets are proportions if they don't add up to the rows there are; a split
+    without a target keeps its size; an unknown split is an error. Rows of no split aren't planned for and have no target."""
     numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(split).orderBy(order)))
-    have = {r[split]: r["n"] for r in rows.groupBy(split).agg(F.count("*").alias("n")).collect()}  # one row for each split
-    names = sorted({*have, *targets})
-    quota = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(min(targets.get(s, 0), have.get(s, 0))))])
+    have = {r[split]: r["n"] for r in rows.filter(F.col(split).isNotNull()).groupBy(split).agg(F.count("*").alias("n")).collect()}  # one row for each split
+    if not have:
+        return rows.withColumn("target", F.col(split))
+    wanted, names = rescaled(have, targets), sorted(have)
+    quota = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(min(wanted[s], have[s])))])
     kept = F.col("__n") <= F.element_at(quota, F.col(split))
     offset, surplus = {}, 0
     for s in names:
         offset[s] = surplus
-        surplus += max(0, have.get(s, 0) - targets.get(s, 0))
+        surplus += max(0, have[s] - wanted[s])
     room, edge = [], 0
     for s in names:
-        edge += max(0, targets.get(s, 0) - have.get(s, 0))
+        edge += max(0, wanted[s] - have[s])
         room.append((edge, s))
     place = F.element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.lit(offset[s]))]), F.col(split)) + F.col("__n") - F.element_at(quota, F.col(split))
-    target = F.when(kept, F.col(split))
+    target = F.when(F.col(split).isNull(), None).when(kept, F.col(split))
     for edge, s in room:
         target = target.when(place <= edge, s)
     return numbered.withColumn("target", target.otherwise(names[-1])).drop("__n")
@@ -94,6 +115,86 @@ def category_merge(categories: DataFrame) -> DataFrame:
     return categories.select("id", F.max_by("id", F.struct("boxes", -F.col("id"))).over(same).alias("merged"))
 
 
+# fixed values: category names that mark regions to ignore, and those that gather what fits no class
+IGNORE_NAMES = r"(?i)^(ignored?[ _-]*(regions?|areas?)?|dont[ _-]*care|don't[ _-]*care|void|crowd)$"
+CATCH_ALL_NAMES = r"(?i)^(others?|misc(ellaneous)?|unknown|background)$"
+# fixed values: how exporters name a copy of a picture, and frames of one capture
+EXPORTED = r"(?i)^(.+?)_(?:jpe?g|png|bmp|webp|tiff?)\.rf\.[0-9a-f]{16,}\.[A-Za-z]+$"
+EXPORTED_STEM = r"^(.+?)(?:_[A-Za-z0-9]+)?\.rf\.[0-9a-f]{16,}\.[A-Za-z0-9]+$"
+SEQUENCE = r"^([A-Za-z0-9]+)[_-][0-9]"
+
+
+def source_key(image: Column, augmented_from: Column | None = None) -> Column:
+    """Which picture an image is a copy of: where it says so, else the stem of an exported file's name without its folder,
+    else itself."""
+    stem = F.nullif(F.regexp_extract(F.element_at(F.split(F.replace(image, F.lit("\\"), F.lit("/")), "/"), -1), EXPORTED_STEM, 1), F.lit(""))
+    known = [F.nullif(augmented_from, F.lit(""))] if augmented_from is not None else []
+    return F.coalesce(*known, stem, image)
+
+
+def original_name(file_name: Column, named: Column | None = None) -> Column:
+    """The file that an exported image was made from, if its row or its name says so, else null."""
+    stem = F.nullif(F.regexp_extract(file_name, EXPORTED, 1), F.lit(""))
+    return F.coalesce(named, stem) if named is not None else stem
+
+
+def sequence_of(name: Column) -> Column:
+    """The leading token that frames of one capture share, or null."""
+    return F.nullif(F.regexp_extract(F.element_at(F.split(name, "/"), -1), SEQUENCE, 1), F.lit(""))
+
+
+def related_images(images: DataFrame) -> DataFrame:
+    """``images`` with ``source`` and ``sequence``; sequences only where most files have one, and some share it.
+
+    ``images`` has ``split, file_name`` and perhaps ``original``, a name that the export gives. A prefix counts as a sequence
+    if there are two or more, four of five images have one, and it has two images on average.
+    """
+    source = original_name(F.col("file_name"), F.col("original") if "original" in images.columns else None)
+    named = images.withColumn("source", source).withColumn("__sequence", sequence_of(F.coalesce("source", "file_name")))
+    seen = named.agg(F.count_distinct("__sequence").alias("k"), F.count("__sequence").alias("with_one"), F.count("*").alias("n")).first()
+    sequenced = seen.k >= 2 and seen.with_one >= 0.8 * seen.n and seen.with_one >= 2 * seen.k
+    return named.withColumn("sequence", F.col("__sequence") if sequenced else F.lit(None).cast("string")).drop("__sequence")
+
+
+def shared_groups(images: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` several splits hold: what a held-out score can't be trusted for."""
+    across = images.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split").alias("__k")).filter("__k > 1")
+    return images.join(across.select(key), key, "left_semi")
+
+
+def group_findings(images: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """``code, severity, split, n``: images that belong together by name, sequence or content.
+
+    ``digests`` has ``split, id, sha1`` of the files. Counts are of images.
+    """
+    related = related_images(images).filter("id IS NOT NULL")
+    parts = [
+        ("images.export_copies", "info", related.filter("source IS NOT NULL").withColumn("__k", F.count("*").over(Window.partitionBy("split", "source"))).filter("__k > 1")),
+        ("split.shared_source", "warn", shared_groups(related, "source")),
+        ("split.shared_sequence", "warn", shared_groups(related, "sequence")),
+    ]
+    found = [rows.groupBy("split").agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "split", "n") for code, severity, rows in parts]
+    if digests is not None:
+        same = digests.filter("sha1 IS NOT NULL").groupBy("sha1").agg(F.count("*").alias("__k"), F.count_distinct("split").alias("__s")).filter("__k > 1")
+        identical = digests.join(same, "sha1")
+        severity = F.when(F.max("__s").over(Window.partitionBy()) > 1, "warn").otherwise("info")
+        counted = identical.groupBy("split").agg(F.count("*").alias("n"), F.max("__s").alias("__s"))
+        found.append(counted.select(F.lit("media.identical_files").alias("code"), severity.alias("severity"), "split", "n"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def media_findings(images: DataFrame, media: DataFrame) -> DataFrame:
+    """``code, severity, split, n`` from what was seen of the files (``split, id, exists, readable, width, height``)."""
+    seen = images.filter("id IS NOT NULL").select("split", "id", F.col("width").alias("__w"), F.col("height").alias("__h")).join(media, ["split", "id"])
+    other = (F.col("__w") != F.col("width")) | (F.col("__h") != F.col("height"))
+    code = F.when(~F.col("exists"), "media.missing").when(~F.col("readable"), "media.unreadable").when(F.col("width").isNotNull() & other, "media.size_mismatch")
+    rows = seen.withColumn("code", code).filter("code IS NOT NULL")
+    return rows.groupBy("code", "split").agg(F.count("*").alias("n")).select("code", F.when(F.col("code") == "media.size_mismatch", "warn").otherwise("block").alias("severity"), "split", "n")
+
+
 def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """``code, severity, split, n`` for every finding with rows.
 
@@ -112,7 +213,7 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     both = distinct.join(used, "id", "left").fillna(0, ["boxes"])
     per_image = annotations.groupBy("split", "image_id").agg(F.count("*").alias("boxes"))
     repeated = annotations.groupBy("split", "id").agg((F.count("*") - 1).alias("more"))
-    source = images.filter("file_name IS NOT NULL").select("split", F.regexp_replace("file_name", r"\.rf\.[0-9a-f]{16,}", "").alias("source"))
+    source = images.filter("file_name IS NOT NULL").select("split", source_key(F.col("file_name")).alias("source"))
 
     def finding(code: str, severity: str, rows: DataFrame, n: Column = F.count("*"), split: str | None = "split") -> DataFrame:
         group = F.col(split) if split else F.lit("all")
@@ -124,8 +225,8 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
         finding("categories.conflict", "block", distinct.filter("names > 1"), split=None),
         finding("categories.duplicate_name", "warn", both.groupBy(folded.alias("f")).agg(F.count("*").alias("k")).filter("k > 1"), split=None),
         finding("categories.unused", "info", both.filter("boxes = 0"), split=None),
-        finding("categories.ignore_region", "warn", both.filter(folded.rlike(r"^(ignore(d)?([ _-]?regions?)?|don'?t[ _-]?care)$") & (F.col("boxes") > 0)), split=None),
-        finding("categories.catch_all", "info", both.filter(folded.rlike(r"^(others?|misc(ellaneous)?|unknown)$") & (F.col("boxes") > 0)), split=None),
+        finding("categories.ignore_region", "warn", both.filter(folded.rlike(IGNORE_NAMES) & (F.col("boxes") > 0)), split=None),
+        finding("categories.catch_all", "info", both.filter(folded.rlike(CATCH_ALL_NAMES) & (F.col("boxes") > 0)), split=None),
         finding("annotations.orphan", "block", annotations.join(known, ["split", "image_id"], "left_anti")),
         finding("annotations.unknown_category", "block", annotations.join(distinct.select(F.col("id").alias("category_id")), "category_id", "left_anti")),
         finding("annotations.invalid_bbox", "block", annotations.filter(invalid)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sampleworks.functions import filters
 from sampleworks.functions.calculations import Calculation, calculate
-from sampleworks.plans.registry import query, table
+from sampleworks.plans.register import query, table
 
 X, Y = "o_totalprice", "o_custkey"
 #: operation: (inputs, SQL of the value)

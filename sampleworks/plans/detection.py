@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sampleworks.operators import matching
-from sampleworks.plans.registry import query, table
+from sampleworks.plans.register import query, table
 
 _KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 

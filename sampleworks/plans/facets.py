@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sampleworks.functions import filters
 from sampleworks.operators import facets, joining
-from sampleworks.plans.registry import query, table
+from sampleworks.plans.register import query, table
 
 
 def joined(spark, sf_dir):

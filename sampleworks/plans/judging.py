@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from sampleworks.functions import geometry
 from sampleworks.operators import findings, sampling
 from sampleworks.plans.detection import images
-from sampleworks.plans.registry import query, table
+from sampleworks.plans.register import query, table
 
 
 @query("round_findings")
 def round_findings(spark, sf_dir):
-    return findings.round_findings(images(spark, sf_dir), ["image"])
+    return findings.round_findings(images(spark, sf_dir), ["image"]).drop("overlap")
 
 
 @query("finding_class_swaps")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sampleworks.operators import neighbours as op
-from sampleworks.plans.registry import query, table
+from sampleworks.plans.register import query, table
 
 NEAR = 0.65
 

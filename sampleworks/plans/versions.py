@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
+from sampleworks.operators import sampling
 from sampleworks.operators import versions as op
-from sampleworks.plans.registry import query, table
-
+from sampleworks.plans.register import query, table
 
 
 def _edges(spark, sf_dir):
@@ -159,13 +158,13 @@ def preflight(spark, sf_dir):
 
 @query("export_copies_key", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.rf\\.[0-9a-f]{16,}') THEN regexp_replace(url, '\\.rf\\.[0-9a-f]{16,}', '') ELSE url END AS source FROM pages")
 def export_copies_key(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"\.rf\.[0-9a-f]{16,}", "").alias("source"))
+    return table(spark, sf_dir, "pages").select("page_id", op.source_key(F.col("url")).alias("source"))
 
 
 @query("repeat_by_weight", "SELECT l_orderkey, l_linenumber, copy::int AS copy FROM (SELECT l_orderkey, l_linenumber, unnest(range(1, (l_quantity % 4)::int + 1)) AS copy FROM lineitem)")
 def repeat_by_weight(spark, sf_dir):
-    n = (F.col("l_quantity") % 4).cast("int")
-    return table(spark, sf_dir, "lineitem").filter(n > 0).select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), n)).alias("copy"))
+    weighted = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") % 4).cast("double").alias("weight"))
+    return sampling.repeated(weighted, row="l_orderkey", seed=7).select("l_orderkey", "l_linenumber", "copy")
 
 
 @query("stream_log_fold", f"SELECT image, arg_max(status, seq) AS status FROM {_LOG} WHERE status IS NOT NULL GROUP BY 1")

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
-import re
+import tempfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "_row"
 
 
+SAFE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._- ")
+
+
 def sanitized(name: str) -> str:
-    """A name fit for a path; empty names are errors."""
-    clean = re.sub(r"[^A-Za-z0-9._\- ]+", "-", name).strip()
+    """A name fit for one step of a path: each run of other characters becomes a dash, spaces, dots and dashes at the
+    ends go, so no name leads upwards; what is empty then is an error."""
+    parts = "".join(c if c in SAFE else "\0" for c in name.strip()).split("\0")
+    clean = "-".join([p for n, p in enumerate(parts) if p or n in (0, len(parts) - 1)]).strip(" .-")
     if not clean:
         raise ValueError("a name needs a letter or digit")
     return clean
@@ -26,16 +31,30 @@ def table_path(root: str, project: str, dataset: str, table: str) -> str:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``_row`` from 0 in an order: counts of range partitions plus a running number inside each."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    """``_row`` from 0 in an order: counts of range partitions plus a running number inside each.
 
+    The placed rows are checkpointed, so that counts and numbers are of the same partitions however often a
+    lost executor makes Spark work them out. Without a checkpoint folder in the session that is an error.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.checkpoint()
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy("__at")) - 1
     return placed.withColumn("__inside", inside).join(before, "__part").withColumn(ROW, F.col("__before") + F.col("__inside")).drop("__part", "__at", "__inside", "__before")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='sampleworks-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sampleworks.sources.tables import shared_folder
+
 
 def fold(new: DataFrame, state: DataFrame | None, key: str, seq: str, status: str) -> DataFrame:
     """State after a batch: the event with the largest sequence number of each key."""
@@ -33,8 +34,7 @@ def stream_fold(source: DataFrame, folder: str, key: str, seq: str, status: str)
 def fold_once(log: DataFrame, key: str, seq: str, status: str, files: int = 4) -> DataFrame:
     """Write a log as files, stream them one by one, and return the final state."""
     spark = log.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sampleworks-')}"
-    folder = f"{base}/log-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     log.repartition(files).write.parquet(f"{folder}/log")
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
     stream = stream_fold(source, folder, key, seq, status)
