@@ -51,15 +51,15 @@ DIGEST = 16  # bytes that stand for a string of a hot anchor
 RANGE_BYTES, ROW_BYTES, BROADCAST_BYTES = 16, 48, 64 << 20  # of the ranges that are broadcast
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, key, first string and end of last string for each run of strings with one anchor; places count from each text's start."""
-    parts = [_stretch(data, offsets, at) for at in range(0, max(len(data) - LENGTH + 1, 0), STRETCH)]
+def anchors(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key of ``bits``, first string and end of last string for each run of strings with one anchor; places count from each text's start."""
+    parts = [_stretch(data, offsets, at, bits) for at in range(0, max(len(data) - LENGTH + 1, 0), STRETCH)]
     if not parts:
         return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def _stretch(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stretch(data: np.ndarray, offsets: np.ndarray, at: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     piece = data[at : at + STRETCH + LENGTH - 1]
     n = len(piece) - ANCHOR + 1
     code = np.zeros(n, np.uint64)
@@ -83,8 +83,8 @@ def _stretch(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.ndarray
     last = np.concatenate((begin[1:], [len(least)])) - 1
     own = owner[begin]
     base = offsets[own]
-    key = hashes[(least[begin] & np.uint64((1 << 24) - 1)).astype(np.int64)].view(np.int64)
-    return own, key, place[begin] - base, place[last[: len(begin)]] + LENGTH - base
+    key = hashes[(least[begin] & np.uint64((1 << 24) - 1)).astype(np.int64)] >> np.uint64(64 - bits)
+    return own, key.view(np.int64), place[begin] - base, place[last[: len(begin)]] + LENGTH - base
 
 
 def _smaller_before(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -149,7 +149,12 @@ def _digest(string: bytes) -> bytes:
     return hashlib.blake2b(string, digest_size=DIGEST).digest()
 
 
-def _shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
+def _key_bits(octets: int) -> int:
+    """Bits of an anchor's key, in whole bytes: a few hundred times as many keys as there can be anchors."""
+    return min(64, -(-((octets // 16).bit_length() + 8) // 8) * 8)
+
+
+def _shared_anchors(rows: DataFrame, hot: int, bits: int) -> DataFrame:
     """``doc, keys, hot``: the anchors of each document that others have too, and those with more than ``hot`` occurrences."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +162,44 @@ def _shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
             docs = batch.column(0).to_numpy()
             keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for first, _, data, offsets in blocks(batch.column(1)):
-                owner, key, _, _ = anchors(data, offsets)
+                owner, key, _, _ = anchors(data, offsets, bits)
                 keys.append(key)
                 owners.append(docs[first + owner])
             key, doc = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
+            order = np.argsort(key, kind="stable")
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = key[order][1:] != key[order][:-1]
             begin = np.flatnonzero(new)
             times = np.diff(np.concatenate((begin, [len(key)])))
-            once = new.copy()
-            once[1:] |= doc[1:] != doc[:-1]
-            kept = doc[once]  # the documents of each key
-            ends = np.concatenate((np.cumsum(once)[begin] - 1, [len(kept)])).astype(np.int32)
-            single = np.diff(ends) == 1
-            values = kept[np.repeat(~single, np.diff(ends))]
-            sizes = np.where(single, 0, np.diff(ends))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values), mask=pa.array(single))
-            yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(kept[ends[:-1]]), pa.array(kept[ends[1:] - 1], pa.int64(), mask=single), pa.array(times.astype(np.int32)), lists], names=["key", "doc", "last", "n", "docs"])
+            alone = np.zeros(len(key), bool)
+            alone[order[begin[times == 1]]] = True
+            # in the order of texts, which keeps documents together
+            yield out(key[alone], doc[alone], pa.nulls(int(alone.sum()), pa.list_(pa.int64())))
+            rest = order[np.repeat(times > 1, times)]
+            key, doc = key[rest], doc[rest]
+            order = np.lexsort((doc, key))
+            key, doc, times = key[order], doc[order], times[times > 1]
+            begin = np.cumsum(times) - times
+            # last document, occurrences and the documents of each key
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            n = np.add.reduceat(once, begin) if len(begin) else begin
+            starts = np.cumsum(n + 2) - (n + 2)
+            values = np.zeros(int((n + 2).sum()), np.int64)
+            values[starts], values[starts + 1] = doc[begin + times - 1], times
+            values[np.repeat(starts + 2, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = doc[once]
+            ends = np.concatenate((starts, [len(values)])).astype(np.int32)
+            yield out(key[begin], doc[begin], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+
+    def out(key: np.ndarray, doc: np.ndarray, more: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), more], names=["key", "doc", "more"])
 
     here = Window.partitionBy("key")
-    found = rows.select("doc", "text").mapInArrow(find, "key long, doc long, last long, n int, docs array<long>")
-    found = found.withColumns({"low": F.min("doc").over(here), "high": F.max(F.coalesce("last", "doc")).over(here), "all": F.sum("n").over(here)}).filter("low <> high")
-    each = found.select("key", "all", F.explode(F.coalesce("docs", F.array("doc"))).alias("doc"))
+    found = rows.select("doc", "text").mapInArrow(find, "key long, doc long, more array<long>")
+    last, times = F.coalesce(F.col("more")[0], F.col("doc")), F.coalesce(F.col("more")[1], F.lit(1))
+    found = found.withColumns({"low": F.min("doc").over(here), "high": F.max(last).over(here), "all": F.sum(times).over(here)}).filter("low <> high")
+    docs = F.coalesce(F.slice("more", 3, F.size("more") - 2), F.array("doc"))
+    each = found.select("key", "all", F.explode(docs).alias("doc"))
     return each.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("all") > hot, F.col("key"))).alias("hot"))
 
 
@@ -239,13 +258,14 @@ def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
 
     ``more`` holds further places of the same context in the same text.
     """
+    bits = _key_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = _Folded()
         for batch in batches:
             docs, texts, keys, hots = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
             for first, _, data, offsets in blocks(batch.column(2)):
-                owner, key, low, high = anchors(data, offsets)
+                owner, key, low, high = anchors(data, offsets, bits)
                 edges = np.searchsorted(owner, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     part = slice(edges[i], edges[i + 1])
@@ -263,7 +283,7 @@ def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
                         yield from folded.rows(len(folded.least) >= FOLDED)
         yield from folded.rows(True)
 
-    lists = _shared_anchors(rows, HOT if hot is None else hot)
+    lists = _shared_anchors(rows, HOT if hot is None else hot, bits)
     return rows.join(lists, "doc").select("doc", "t", "text", "keys", "hot").mapInArrow(contexts, CANDIDATE)
 
 
