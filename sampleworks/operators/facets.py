@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sampleworks.functions.filters import failures
 from sampleworks.functions.values import finite, is_finite
+from sampleworks.sources.tables import checkpoints
 
 BINS = 24
 GROUPS = 24
@@ -112,11 +113,7 @@ def field_sorted(df: DataFrame, column: str, descending: bool, tie: str) -> Data
 
 def positioned(ordered: DataFrame, name: str = "position") -> DataFrame:
     """Every row of an ordered frame with its place from 0: the place in its range of the sort and the rows of the ranges before."""
-    spark = ordered.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sampleworks-"))
+    checkpoints(ordered.sparkSession)
     place = F.monotonically_increasing_id()  # number of the range above 33 bits for the place in it
     placed = ordered.withColumn("__place", place).checkpoint().withColumn("__range", F.shiftright("__place", 33))
     ranges = placed.groupBy("__range").agg(F.count("*").alias("__n"))

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleworks.sources.tables import checkpoints
+
 PACKET = 2048
 
 
@@ -126,11 +128,7 @@ def duplicate_groups(graph: DataFrame, limit: float) -> DataFrame:
     """``id, group``: components of near neighbours by least label; the loop ends when no label changes."""
     edges = graph.filter(F.col("dist") <= limit).select("src", "dst")
     edges = edges.union(edges.select("dst", "src")).distinct().persist()
-    spark = graph.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sampleworks-"))
+    checkpoints(graph.sparkSession)
     labels = edges.select(F.col("src").alias("id")).distinct().withColumn("group", F.col("id")).checkpoint()
     while True:
         near = edges.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("group").alias("near"))
@@ -143,6 +141,92 @@ def duplicate_groups(graph: DataFrame, limit: float) -> DataFrame:
             return labels
 
 
+def typical_distance(df: DataFrame, *, pairs: int = 4000, seed: int = 0, row: str = "_row", vector_col: str = "embedding") -> float:
+    """How far apart two rows usually are: the median cosine distance of random pairs of positions, not below 1e-6; 1
+    where there is no pair. Which pairs are drawn follows from the seed and the number of rows alone. ``row`` counts from 0."""
+    n = df.count()
+    draw = np.random.default_rng(seed)
+    left, right = (draw.integers(0, n, pairs) for _ in "ab") if n > 1 else (np.zeros(0, int),) * 2
+    chosen = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(left, right)) if a != b]
+    if not chosen:
+        return 1.0
+    ends = F.broadcast(df.sparkSession.createDataFrame(chosen, "i int, a long, b long"))  # ``pairs`` rows
+    side = lambda end: df.join(ends, F.col(row) == F.col(end)).select("i", F.col(vector_col).cast("array<double>").alias(f"v{end}"))
+    dist = side("a").join(side("b"), "i").select(_distance("va", "vb").alias("d"))
+    return max(float(dist.agg(F.percentile("d", F.lit(0.5))).first()[0]), 1e-6)
+
+
+def _distance(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+    return 1 - dot(F.col(a), F.col(b)) / (norm(F.col(a)) * norm(F.col(b)))
+
+
+def split_chains(groups: DataFrame, most: int = 40) -> DataFrame:
+    """``id, group, size, kind``: groups of more than ``most`` are chains, runs of rows each close to the next; others copies."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    return groups.join(sizes, "group").select("id", "group", "size", F.when(F.col("size") > most, "chain").otherwise("copies").alias("kind"))
+
+
+def group_spread(df: DataFrame, groups: DataFrame, scale: float, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``group, spread``: the largest distance within each group, as a share of ``scale``.
+
+    Members of a group are compared in tiles of ``PACKET`` rows; for groups that chains are split from there is one.
+    """
+    rows = groups.join(df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "id")
+    tiles = groups.groupBy("group").agg(F.ceil(F.count("*") / PACKET).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+
+    def furthest(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["v"].tolist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        side = frame["tile"].to_numpy() == frame["i"].to_numpy()
+        y = x if side.all() else x[~side]
+        dist = 1 - x[side] @ y.T if side.any() and len(y) else np.zeros((1, 1))
+        return pd.DataFrame({"group": frame["group"].iloc[:1], "far": [float(dist.max())]})
+
+    pairs = dealt.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v")
+    far = pairs.groupBy("group", "i", "j").applyInPandas(furthest, "group long, far double")
+    return far.groupBy("group").agg((F.max("far") / scale).alias("spread"))
+
+
+def graph_summary(groups: DataFrame, sources: DataFrame, crossing: DataFrame, outlying: DataFrame, *, most: int = 40, alone: float = 0.9) -> DataFrame:
+    """One row: images in copy groups, what could go of them, exported pictures, chains, leaks and isolated images.
+
+    A group of one source is the exporter's own copies and isn't counted as repeated; of others, all but one source can go.
+    """
+    kinds = split_chains(groups, most).join(sources.select("id", "source"), "id", "left").withColumn("source", F.coalesce("source", F.concat(F.lit("id:"), F.col("id").cast("string"))))
+    by_group = kinds.groupBy("group", "kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    copies = (F.col("kind") == "copies") & (F.col("sources") > 1)
+    total = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0)).cast("long")
+    first = by_group.agg(total(copies, F.lit(1)).alias("groups"), total(copies, F.col("n")).alias("images"), total(copies, F.col("sources") - 1).alias("redundant"), total(F.col("kind") == "chain", F.lit(1)).alias("chains"))
+    families = sources.filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"))
+    second = families.agg(F.count("*").alias("sources"), total(F.col("n") > 1, F.lit(1)).alias("repeated"), total(F.col("n") > 1, F.col("n")).alias("exported"))
+    third = crossing.agg(F.count("*").alias("leaks"))
+    fourth = outlying.agg(F.count_if(F.col("score") >= alone).alias("alone"))
+    return first.crossJoin(F.broadcast(second)).crossJoin(F.broadcast(third)).crossJoin(F.broadcast(fourth))  # one row each
+
+
+def removable_copies(groups: DataFrame, sources: DataFrame) -> DataFrame:
+    """``id, group``: members of copy groups that could go: all that aren't copies of the picture that the first member is of."""
+    placed = groups.join(sources.select("id", "source"), "id", "left").withColumn("source", F.coalesce("source", F.concat(F.lit("id:"), F.col("id").cast("string"))))
+    keeper = F.min_by("source", "id").over(Window.partitionBy("group"))
+    return placed.withColumn("__keeper", keeper).filter("source <> __keeper").select("id", "group")
+
+
+def leaks_by_set(crossing: DataFrame) -> DataFrame:
+    """``set, images``: how many images of each set leak into another."""
+    sides = crossing.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("set_a").alias("set")), F.struct(F.col("b").alias("id"), F.col("set_b").alias("set")))).alias("s")).select("s.*")
+    return sides.groupBy("set").agg(F.count_distinct("id").alias("images"))
+
+
+def embedding_drift(current: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """One row: images not embedded yet (``missing``) and embedded ones that are gone (``stale``)."""
+    missing = current.select(key).distinct().join(stored.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
+    stale = stored.select(key).distinct().join(current.select(key), key, "left_anti").agg(F.count("*").alias("stale"))
+    return missing.crossJoin(F.broadcast(stale))  # one row each
+
+
 def softmax_metrics(df: DataFrame, logits: str, label: str) -> DataFrame:
     """Loss, class, confidence, accuracy, probability of the label and margin of the two best, from logits."""
     x = F.col(logits).cast("array<double>")

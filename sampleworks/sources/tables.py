@@ -37,6 +37,7 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     lost executor makes Spark work them out. Without a checkpoint folder in the session that is an error.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    checkpoints(df.sparkSession)
     placed = placed.checkpoint()
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
@@ -55,6 +56,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See that ``checkpoint()`` has a folder: the session's, else the shared one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
