@@ -5,8 +5,8 @@ judged on the input and never cross documents.
 
 1. Of equal texts only the first (smallest id) is looked into; the others go whole if they hold one such string.
 2. Every string has an anchor, the run of ``ANCHOR`` bytes in it with the smallest hash, so equal strings
-   have equal anchors. Anchors found in one document only are done with. A task sends one row for an anchor that several
-   of its documents hold.
+   have equal anchors. Anchors found in one document only are done with. A task sends one row for an anchor that many of its
+   documents hold.
 3. For the others the context, all bytes of the strings of one anchor occurrence, is sent to where its anchor
    is. Equal contexts are folded inside each task first: all but the one with the smallest id go.
 4. The strings of the contexts of an anchor are put into suffix order, with the common prefixes of neighbours. The
@@ -45,6 +45,7 @@ ANCHOR = 20
 STRETCH = 1 << 22
 BROADCAST_ROWS = 1_000_000
 HOT = 8192  # occurrences above which an anchor is split into strings
+MANY = 16  # occurrences of an anchor in a batch above which they make one row
 FOLDED = 500_000  # contexts and strings that a task folds before it sends them
 PLACE_BITS = np.uint64(24)  # low bits hold the place in a stretch while the smallest hash is looked for
 DIGEST = 16  # bytes that stand for a string of a hot anchor
@@ -171,14 +172,14 @@ def _shared_anchors(rows: DataFrame, hot: int, bits: int) -> DataFrame:
             new[1:] = key[order][1:] != key[order][:-1]
             begin = np.flatnonzero(new)
             times = np.diff(np.concatenate((begin, [len(key)])))
-            alone = np.zeros(len(key), bool)
-            alone[order[begin[times == 1]]] = True
+            rest = order[np.repeat(times > MANY, times)]
+            plain = np.ones(len(key), bool)
+            plain[rest] = False
             # in the order of texts, which keeps documents together
-            yield out(key[alone], doc[alone], pa.nulls(int(alone.sum()), pa.list_(pa.int64())))
-            rest = order[np.repeat(times > 1, times)]
+            yield out(key[plain], doc[plain], pa.nulls(int(plain.sum()), pa.list_(pa.int64())))
             key, doc = key[rest], doc[rest]
             order = np.lexsort((doc, key))
-            key, doc, times = key[order], doc[order], times[times > 1]
+            key, doc, times = key[order], doc[order], times[times > MANY]
             begin = np.cumsum(times) - times
             # last document, occurrences and the documents of each key
             once = np.ones(len(key), bool)
