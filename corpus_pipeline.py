@@ -21,6 +21,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _recounted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``changed`` with ``n_chars``, if there is such a column, counted anew; 0 for a null text."""
+    if "n_chars" not in docs.columns:
+        return changed.select(*docs.columns)
+    count = F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return changed.withColumn("n_chars", count).select(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws."""
     return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,13 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 bytes or more that start in an earlier document; ``n_chars`` follows."""
     cut = suffix_dedup.deduplicated(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _recounted(cut, docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind; ``n_chars`` follows."""
     redacted = pii.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _recounted(redacted, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
