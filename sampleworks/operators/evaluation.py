@@ -156,7 +156,7 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "sum": F.sum
 def aggregated(metrics: DataFrame, names: Sequence[str] = ("mean",), others: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """One row: each number or boolean column but ``example_id`` and lists, by each aggregate; the mean has the plain name.
 
-    ``others`` adds aggregates, a function from a column to an aggregate each, among them grouped Pandas functions.
+    ``others`` adds aggregates, a function from a column to an aggregate each; grouped Pandas functions are asked for on their own.
     """
     known = {**AGGREGATES, **(others or {})}
     fields = [f for f in metrics.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType)) and f.name != "example_id"]
