@@ -31,9 +31,9 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _file() -> Column:
+def _file(path: str = "_metadata.file_path") -> Column:
     """Path of the file that a row is read from, as it is spelled on disk."""
-    return _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    return _plain(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))))
 
 
 def _plain(path: Column) -> Column:
@@ -72,9 +72,10 @@ def _lines(spark: SparkSession, folder: str, glob: str = "*.txt") -> tuple[DataF
     """(``file`` of every text file, ``file, at, line`` of its lines that aren't blank)."""
     texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True).select(_file().alias("file"), "value")
     lines = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    # a file without a byte has no row as text
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select(_plain(F.col("path")).alias("file")), lines.withColumn("line", F.trim("line")).filter("line <> ''")
+    # a file without a byte has no row; the names are those that Spark's own listing holds
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).inputFiles()
+    files = spark.createDataFrame([(f,) for f in listed], "path string")
+    return files.select(_file("path").alias("file")), lines.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
 def _fault(when: Column, what: str) -> Column:
