@@ -196,3 +196,35 @@ def test_line_repeated_within_documents(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect())
     assert found == removed_brute(rows)
+
+
+def test_ball_tree_leaves_out_what_cannot_reach(monkeypatch):
+    """On vectors in clusters most products are never computed; scores beyond 64 bits count as the largest that fits."""
+    draw = np.random.RandomState(2)
+    centres = draw.randn(40, 16) * 300
+    points = np.floor(np.repeat(centres, 60, axis=0) + draw.randn(2400, 16) * 10)
+    ids = draw.permutation(2400).astype(np.int64)
+    queries = points[::60]
+    computed, plain = [], topk_search.exact_products
+    monkeypatch.setattr(topk_search, "exact_products", lambda q, p: computed.append(len(q) * len(p)) or plain(q, p))
+    scores, found = topk_search.search(topk_search.BallTree(points, ids), queries, ids[::60], np.full(40, topk_search.NONE), 5)
+    for i, q in enumerate(queries):
+        wanted = sorted((-int(q @ p), int(n)) for p, n in zip(points, ids) if n != ids[60 * i])[:5]
+        assert [(-int(s), int(n)) for s, n in zip(scores[i], found[i])] == wanted
+    assert sum(computed) < 0.25 * 40 * 2400
+    large = np.array([[1e12, 1e12], [-1e12, 1e12]])
+    assert plain(large, np.array([[1e12, 1e12], [1e12, 0.0]])).tolist() == [[2**63 - 1, 2**63 - 1], [0, topk_search.NONE + 1]]
+
+
+def test_top_k_over_many_shards(spark):
+    draw = np.random.RandomState(8)
+    centres = draw.randn(12, 8) * 3
+    vectors = [(i, (centres[i % 12] + draw.randn(8) * 0.2).round(3).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    found = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, query_rows=3).collect()))
+    whole = np.floor(256 * np.array([v for _, v in vectors])).astype(np.int64)
+    wanted = []
+    for q in range(0, 1500, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert found == sorted(wanted)
