@@ -48,7 +48,7 @@ FAMILY = 4096
 BROADCAST_USES = 500_000
 BUCKETS = 1 << 24  # counters of n-grams at most: 16 MB of levels are sent out, whatever the input
 SLICES = 64
-HELD_GRAMS = 1 << 22  # that a task counts before it sends the counts
+HELD_GRAMS = 1 << 20  # that a task counts before it sends the counts
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
