@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,109 @@ def keypoint_oks(predicted: Column, truth: Column, area: Column, sigmas: list[fl
 
     scores = F.filter(F.transform(F.sequence(F.lit(0), F.size(truth) - 1), one), lambda s: s.isNotNull())
     return F.when((F.size(truth) > 0) & (F.size(scores) > 0), F.aggregate(scores, F.lit(0.0), lambda a, b: a + b) / F.size(scores))
+
+
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def points_of(flat: Column) -> Column:
+    """``[x0, y0, x1, y1, ...]`` as an array of points."""
+    n = F.floor(F.size(flat) / 2).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.element_at(flat, 2 * i + 1).alias("x"), F.element_at(flat, 2 * i + 2).alias("y")))).otherwise(F.array().cast(POINTS))
+
+
+def _cut(points: Column, distance: Callable[[Column], Column]) -> Column:
+    """The part of a polygon on the side of a line where the distance isn't negative."""
+    ahead = F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1))
+
+    def edge(p: Column, q: Column) -> Column:
+        a, b = distance(p), distance(q)
+        t = a / F.nullif(a - b, F.lit(0.0))
+        met = F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"), (p["y"] + (q["y"] - p["y"]) * t).alias("y"))
+        none = F.array().cast(POINTS)
+        return F.concat(F.when(a >= 0, F.array(p).cast(POINTS)).otherwise(none), F.when((a < 0) != (b < 0), F.array(met).cast(POINTS)).otherwise(none))
+
+    return F.coalesce(F.flatten(F.zip_with(points, ahead, edge)), F.array().cast(POINTS))
+
+
+def clip_to_frame(df: DataFrame, points: str, width: Column, height: Column) -> DataFrame:
+    """``df`` with the polygons of ``points`` cut to their pictures; what lies outside becomes empty. One side is cut at a time."""
+    sides: list[Callable[[Column], Column]] = [lambda p: p["x"], lambda p: width - p["x"], lambda p: p["y"], lambda p: height - p["y"]]
+    for distance in sides:
+        df = df.withColumn(points, _cut(F.col(points), distance))
+    return df
+
+
+def area_of(points: Column) -> Column:
+    """Signed area of a polygon: positive where points run from x to y."""
+    ahead = F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1))
+    return F.coalesce(F.aggregate(F.zip_with(points, ahead, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, v: s + v), F.lit(0.0)) / 2
+
+
+def with_oriented_iou(df: DataFrame, predicted: str, truth: str, name: str = "iou", crowd: Column | None = None, corners: int = 4) -> DataFrame:
+    """``df`` with the overlap of two convex polygons of points over their union; where ``crowd``, over the prediction's own area."""
+    steps = df.withColumns({"__a": area_of(F.col(predicted)), "__b": area_of(F.col(truth))})
+    turned = lambda c, area: F.when(F.col(area) < 0, F.reverse(c)).otherwise(F.col(c))
+    steps = steps.withColumns({"__p": turned(predicted, "__a").cast(POINTS), "__t": turned(truth, "__b").cast(POINTS)})
+    for i in range(corners):
+        a, b = F.col("__t")[i], F.col("__t")[(i + 1) % corners]
+        steps = steps.withColumn("__p", _cut(F.col("__p"), _side(a, b)))
+    shared, own = F.abs(area_of(F.col("__p"))), F.abs(F.col("__a"))
+    whole = own + F.abs(F.col("__b")) - shared
+    over = F.when(crowd, own).otherwise(whole) if crowd is not None else whole
+    return steps.withColumn(name, F.coalesce(F.try_divide(shared, over), F.lit(0.0))).drop("__a", "__b", "__p", "__t")
+
+
+def _side(a: Column, b: Column) -> Callable[[Column], Column]:
+    return lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
+def runs_of(counts: Column) -> Column:
+    """Half-open runs of ones of a run-length mask, whose counts alternate between zeros and ones, zeros first."""
+    ends = F.slice(F.aggregate(counts, F.array(F.lit(0).cast("long")), lambda e, c: F.concat(e, F.array(F.element_at(e, -1) + c))), 2, 1 << 30)
+    pairs = F.zip_with(counts, ends, lambda c, e: F.struct((e - c).alias("start"), e.alias("end")))
+    return F.filter(pairs, lambda r, i: (i % 2 == 1) & (r["end"] > r["start"]))
+
+
+def mask_area(counts: Column) -> Column:
+    return F.aggregate(F.filter(counts, lambda _, i: i % 2 == 1), F.lit(0).cast("long"), lambda s, c: s + c)
+
+
+def mask_scores(a: Column, b: Column, area_a: Column, area_b: Column) -> Column:
+    """``intersection, union, iou, dice`` of two masks as runs; two empty masks agree wholly."""
+    zero = F.lit(0).cast("long")
+    shared = F.aggregate(a, zero, lambda s, r: s + F.aggregate(b, zero, lambda t, q: t + F.greatest(F.least(r["end"], q["end"]) - F.greatest(r["start"], q["start"]), zero)))
+    union = area_a + area_b - shared
+    one = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(1.0))
+    return F.struct(shared.alias("intersection"), union.alias("union"), one(shared, union).alias("iou"), one(2 * shared, area_a + area_b).alias("dice"))
+
+
+def geometry_faults(instances: Column, classes: list[int] | None = None) -> Column:
+    """What is wrong with instances of boxes: ``place, fault`` of each box with a number that isn't finite, corners that are
+    crossed, or an unknown class."""
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+
+    def fault(i: Column) -> Column:
+        numbers = bad(i["x0"]) | bad(i["y0"]) | bad(i["x1"]) | bad(i["y1"])
+        unknown = ~F.coalesce(i["label"].isin(*classes), F.lit(False)) if classes is not None else F.lit(False)
+        return F.when(numbers, "not finite").when((i["x1"] < i["x0"]) | (i["y1"] < i["y0"]), "crossed corners").when(unknown, "unknown class")
+
+    told = F.transform(instances, lambda i, n: F.struct(n.alias("place"), fault(i).alias("fault")))
+    return F.filter(told, lambda t: t["fault"].isNotNull())
+
+
+def fractions(instances: Column, width: Column, height: Column) -> Column:
+    """Boxes as shares of the picture, to three places, without regions to ignore; none without a size."""
+    share = lambda v, whole: F.round(v / whole, 3)
+    shown = F.transform(F.filter(instances, lambda i: F.coalesce(i["iscrowd"] != 1, F.lit(True))), lambda i: F.struct(share(i["x0"], width).alias("x0"), share(i["y0"], height).alias("y0"), share(i["x1"], width).alias("x1"), share(i["y1"], height).alias("y1"), i["label"].alias("label")))
+    return F.when((width > 0) & (height > 0), shown)
+
+
+def box_roles(truth: Column, predicted: Column, gt_match: Column, confidence: Column) -> Column:
+    """``side, place, role`` of every box: truth is matched, missed or skipped; a prediction is matched, unmatched, ignored, or hidden
+    below the confidence. ``gt_match`` holds for each truth box the place of its prediction, -1 or -2."""
+    own = lambda p, i: F.when(p["score"] < confidence, "hidden").when(F.coalesce(p["ignored"], F.lit(False)), "ignored").when(F.array_contains(gt_match, i), "matched").otherwise("unmatched")
+    sure = lambda m: F.coalesce(F.try_element_at(predicted, m + 1)["score"] >= confidence, F.lit(False))
+    shown = F.transform(truth, lambda t, i: F.element_at(gt_match, i + 1))
+    labels = F.transform(shown, lambda m, i: F.struct(F.lit("truth").alias("side"), i.alias("place"), F.when(m == -2, "skipped").when((m >= 0) & sure(F.greatest(m, F.lit(0))), "matched").otherwise("missed").alias("role")))
+    return F.concat(labels, F.transform(predicted, lambda p, i: F.struct(F.lit("predicted").alias("side"), i.alias("place"), own(p, i).alias("role"))))
