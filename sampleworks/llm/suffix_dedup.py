@@ -196,7 +196,8 @@ def _shared_anchors(rows: DataFrame, hot: int, bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), more], names=["key", "doc", "more"])
 
     here = Window.partitionBy("key")
-    found = rows.select("doc", "text").mapInArrow(find, "key long, doc long, more array<long>")
+    # dealt before the window, so that what the window takes from a row is worked out after rows have travelled
+    found = rows.select("doc", "text").mapInArrow(find, "key long, doc long, more array<long>").repartition("key")
     last, times = F.coalesce(F.col("more")[0], F.col("doc")), F.coalesce(F.col("more")[1], F.lit(1))
     found = found.withColumns({"low": F.min("doc").over(here), "high": F.max(last).over(here), "all": F.sum(times).over(here)}).filter("low <> high")
     docs = F.coalesce(F.slice("more", 3, F.size("more") - 2), F.array("doc"))
