@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +72,15 @@ def unknown_classes(df: DataFrame, column: str, classes: Sequence[int]) -> DataF
     return used.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def _grown(fresh: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    def one(i: Column) -> Column:
+        for name, kind in fresh:
+            i = i.withField(name, F.lit(None).cast(kind))
+        return i
+
+    return one
+
+
 def apply_edits(
     df: DataFrame, *, new_columns: Mapping[str, tuple[str, Any]] | None = None, instance_properties: Mapping[str, Mapping[str, str]] | None = None, class_maps: Mapping[str, Mapping[int, Any]] | None = None,
     values: Mapping[str, DataFrame] | None = None, read_only: Sequence[str] = (), row: str = "_row",
@@ -97,12 +106,7 @@ def apply_edits(
         if any(there.get(p, k) != k for p, k in added.items()):
             raise EditError(f"{name!r} has a property of another kind")
 
-        def grown(i: Column, fresh: dict[str, str] = {p: k for p, k in added.items() if p not in there}) -> Column:
-            for p, k in fresh.items():
-                i = i.withField(p, F.lit(None).cast(k))
-            return i
-
-        out = out.withColumn(name, F.transform(name, grown))
+        out = out.withColumn(name, F.transform(name, _grown([(p, k) for p, k in added.items() if p not in there])))
     for name, classes in (class_maps or {}).items():
         out = with_class_map(out, name, classes)
     for name, cells in (values or {}).items():
