@@ -120,5 +120,23 @@ def calculate(df: DataFrame, specs: list[Calculation], row: str = "_row") -> Dat
     if len(specs) > MAX_COLUMNS:
         raise ValueError(f"at most {MAX_COLUMNS} calculated columns")
     for spec in specs:
-        df = df.withColumn(spec.name, calculated(df, spec, row))
+        whole = _of_all_rows(df, spec)
+        df = whole if whole is not None else df.withColumn(spec.name, calculated(df, spec, row))
     return df
+
+
+def _of_all_rows(df: DataFrame, spec: Calculation) -> DataFrame | None:
+    """What a calculation over all rows gives, from one row of sums sent to every task; None for calculations of other kinds."""
+    if spec.group or spec.operation not in (*GROUP, "group_count", "standardize"):
+        return None
+    kinds = dict(df.dtypes)
+    calculated(df, spec)  # checks operation and inputs
+    if spec.operation == "group_count":
+        return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(spec.name))))  # one row
+    given = F.col(spec.inputs[0])
+    x = finite(given.cast("double")) if kinds[spec.inputs[0]] not in ("string", "boolean") else given
+    if spec.operation != "standardize":
+        return df.crossJoin(F.broadcast(df.agg(GROUP[spec.operation](x).alias(spec.name))))  # one row
+    told = df.agg(F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__spread"))
+    value = F.when(x.isNotNull(), F.when(F.col("__spread") == 0, 0.0).otherwise(finite(F.try_divide(x - F.col("__mean"), F.col("__spread")))))
+    return df.crossJoin(F.broadcast(told)).withColumn(spec.name, value).drop("__mean", "__spread")  # one row

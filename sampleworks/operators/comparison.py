@@ -5,15 +5,13 @@ Images that only one side has take no part in slices; null arrays count as empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampleworks.functions.values import f1_score, is_finite, ratio
-from sampleworks.operators import evaluation, matching
+from sampleworks.operators import evaluation, matching, sampling
 
 TOLERANCE, FEW = 0.02, 30
 # fixed values: areas of small, medium and large objects
@@ -144,24 +142,5 @@ def paired_bootstrap(compared: DataFrame, delta: str = "delta", example: str = "
     are: a task returns two sums for each sample.
     """
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, draws))
-        for frame in frames:
-            values = frame["d"].to_numpy()
-            for low in range(0, len(values), 1024):
-                keys = frame["k"].to_numpy()[low : low + 1024].astype(np.uint64)
-                x = keys[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
-                weight = np.searchsorted(_POISSON, uniform, "right")
-                total += np.stack(((weight * values[low : low + 1024, None]).sum(axis=0), weight.sum(axis=0)))
-        yield pd.DataFrame({"draw": range(draws), "total": total[0], "n": total[1]})
-
-    rows = compared.filter(is_finite(F.col(delta))).select(F.col(delta).cast("double").alias("d"), F.xxhash64(F.lit(seed), example).alias("k"))
-    means = rows.mapInPandas(sums, "draw int, total double, n double").groupBy("draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean"))
-    return tuple(means.agg(F.percentile("mean", F.array(*map(F.lit, levels)))).first()[0] or [None] * len(levels))
-
-
-# how probable at most 0, 1, 2 ... draws are
-_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 20.0)))))
+    found = sampling.bootstrap_means(compared, delta, draws=draws, row=example, seed=seed)
+    return tuple(found.agg(F.percentile("m", F.array(*map(F.lit, levels)))).first()[0] or [None] * len(levels))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleworks.functions.values import is_finite
+
 
 def _uniform(seed: int, *keys: str | Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
@@ -95,9 +101,36 @@ def projected(df: DataFrame, vector: str, mean: list[float], axes: list[list[flo
 
 
 def bootstrap_interval(df: DataFrame, value: str, *, draws: int = 500, row: str = "_row", seed: int = 0) -> DataFrame:
-    """``mean, low, high``: 2.5 and 97.5 per cent of Poisson bootstrap means, in one pass with map-side sums."""
-    u = _uniform(seed, row, "draw")
-    times = sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    rows = df.select(row, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("times", times)
-    means = rows.groupBy("draw").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("m"))
+    """``mean, low, high``: 2.5 and 97.5 per cent of the means of :func:`bootstrap_means`."""
+    means = bootstrap_means(df, value, draws=draws, row=row, seed=seed)
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def bootstrap_means(df: DataFrame, value: str, *, draws: int = 500, row: str = "_row", seed: int = 0) -> DataFrame:
+    """``draw, m``: Poisson bootstrap means. A task returns two sums for each sample; rows stay where they are, and a row's
+    number of draws follows from its id. Values that aren't finite take no part."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, draws))
+        for frame in frames:
+            for low in range(0, len(frame), 1024):
+                part = frame.iloc[low : low + 1024]
+                weight = poisson_draws(part["k"].to_numpy().astype(np.uint64), draws)
+                total += np.stack(((weight * part["v"].to_numpy()[:, None]).sum(axis=0), weight.sum(axis=0)))
+        yield pd.DataFrame({"draw": range(draws), "total": total[0], "n": total[1]})
+
+    rows = df.filter(is_finite(F.col(value))).select(F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), row).alias("k"))
+    return rows.mapInPandas(sums, "draw int, total double, n double").groupBy("draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+
+
+# how probable at most 0, 1, 2 ... draws are
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 20.0)))))
+
+
+def poisson_draws(keys: np.ndarray, draws: int) -> np.ndarray:
+    """How often each key is drawn in each of ``draws`` samples: Poisson numbers of mean 1 that key and sample decide."""
+    x = keys[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+    return np.searchsorted(_POISSON, uniform, "right")
