@@ -81,8 +81,9 @@ def usable_fields(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def group_by_value(df: DataFrame, column: str, limit: int = GROUPS) -> DataFrame:
     """``group, n``: the commonest values, the tail folded into one group, missing values last."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.when(F.col(column).isNotNull(), F.row_number().over(Window.partitionBy(F.col(column).isNull()).orderBy(F.desc("n"), column))))
-    named = ranked.withColumn("group", F.when(F.col(column).isNull(), "No value").when(F.col("rank") <= limit, F.col(column).cast("string")).otherwise("more values"))
+    top = counts.filter(F.col(column).isNotNull()).orderBy(F.desc("n"), column).limit(limit).select(F.col(column).alias("__top"))
+    marked = counts.join(F.broadcast(top), F.col(column) == F.col("__top"), "left")  # ``limit`` rows
+    named = marked.withColumn("group", F.when(F.col(column).isNull(), "No value").when(F.col("__top").isNotNull(), F.col(column).cast("string")).otherwise("more values"))
     return named.groupBy("group").agg(F.sum("n").alias("n"))
 
 

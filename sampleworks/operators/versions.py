@@ -206,7 +206,6 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     invalid = bad_number(box[0]) | bad_number(box[1]) | bad_number(box[2]) | bad_number(box[3]) | (box[2] < 0) | (box[3] < 0)
     first = images.withColumn("__n", F.row_number().over(Window.partitionBy("split", "id").orderBy("seq")))
     known = first.filter("__n = 1 AND id IS NOT NULL").select("split", F.col("id").alias("image_id"), "width", "height")
-    with_image = annotations.join(known, ["split", "image_id"])
     folded = F.lower(F.trim("name"))
     used = annotations.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("boxes"))
     distinct = categories.groupBy("id").agg(F.min("name").alias("name"), F.count_distinct("name").alias("names"))
@@ -219,6 +218,19 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
         group = F.col(split) if split else F.lit("all")
         return rows.groupBy(group.alias("split")).agg(n.alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "split", "n")
 
+    # what is asked of single annotations, in one pass
+    placed = annotations.join(known.withColumn("has_image", F.lit(True)), ["split", "image_id"], "left").join(distinct.select(F.col("id").alias("category_id"), F.lit(True).alias("has_category")), "category_id", "left")
+    outside = (box[0] < -1) | (box[1] < -1) | (box[0] + box[2] > F.col("width") + 1) | (box[1] + box[3] > F.col("height") + 1)
+    asked = {
+        ("annotations.orphan", "block"): F.col("has_image").isNull(),
+        ("annotations.unknown_category", "block"): F.col("has_category").isNull(),
+        ("annotations.invalid_bbox", "block"): invalid,
+        ("annotations.zero_area", "warn"): ~invalid & ((box[2] == 0) | (box[3] == 0)),
+        ("annotations.out_of_bounds", "warn"): F.col("has_image") & ~invalid & outside,
+        ("annotations.tiny", "info"): ~invalid & (box[2] > 0) & (box[3] > 0) & (F.least(box[2], box[3]) < 8),
+    }
+    codes = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for (code, severity), when in asked.items()]))
+    single = placed.select("split", F.explode(codes).alias("c")).groupBy("c", "split").agg(F.count("*").alias("n")).select("c.code", "c.severity", "split", "n")
     parts = [
         finding("images.malformed", "block", images.filter("id IS NULL OR file_name IS NULL")),
         finding("images.duplicate_id", "block", first.filter("id IS NOT NULL AND __n > 1")),
@@ -227,19 +239,13 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
         finding("categories.unused", "info", both.filter("boxes = 0"), split=None),
         finding("categories.ignore_region", "warn", both.filter(folded.rlike(IGNORE_NAMES) & (F.col("boxes") > 0)), split=None),
         finding("categories.catch_all", "info", both.filter(folded.rlike(CATCH_ALL_NAMES) & (F.col("boxes") > 0)), split=None),
-        finding("annotations.orphan", "block", annotations.join(known, ["split", "image_id"], "left_anti")),
-        finding("annotations.unknown_category", "block", annotations.join(distinct.select(F.col("id").alias("category_id")), "category_id", "left_anti")),
-        finding("annotations.invalid_bbox", "block", annotations.filter(invalid)),
-        finding("annotations.zero_area", "warn", annotations.filter(~invalid & ((box[2] == 0) | (box[3] == 0)))),
-        finding("annotations.out_of_bounds", "warn", with_image.filter(~invalid & ((box[0] < -1) | (box[1] < -1) | (box[0] + box[2] > F.col("width") + 1) | (box[1] + box[3] > F.col("height") + 1)))),
         finding("annotations.duplicate_id", "warn", repeated.filter("more > 0"), F.sum("more")),
-        finding("annotations.tiny", "info", annotations.filter(~invalid & (box[2] > 0) & (box[3] > 0) & (F.least(box[2], box[3]) < 8))),
         finding("images.unannotated", "info", known.join(annotations, ["split", "image_id"], "left_anti")),
         finding("images.crowded", "info", per_image.filter("boxes >= 300")),
         finding("images.export_copies", "info", source.groupBy("split", "source").agg(F.count("*").alias("k")).filter("k > 1")),
         finding("split.shared_source", "warn", source.groupBy("source").agg(F.count_distinct("split").alias("k")).filter("k > 1"), split=None),
     ]
-    out = parts[0]
-    for part in parts[1:]:
+    out = single
+    for part in parts:
         out = out.unionByName(part)
     return out
