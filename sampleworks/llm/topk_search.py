@@ -37,6 +37,7 @@ LEAF = 32
 PIVOTS = 256
 FIT_ROWS = 8192
 NEAR = 4
+GROUP_BLOCKS = 32
 SUMMARIES = 512
 NONE, LAST = -(2**63 - 1), 2**63 - 1
 PACKED = "dim int, packet long, cell int, ids binary, vectors binary"
@@ -223,31 +224,28 @@ def top_k(
     shards = written(_packed(_dealt(rows.select("id", "v"), fitted), shard_rows), "topk-shards")
     blocks = written(_packed(_dealt(rows.filter("q").select("id", "v"), fitted), query_rows), "topk-queries")
 
-    def found_in(frame: pd.DataFrame) -> pd.DataFrame:
-        """Results of blocks in one shard, whose columns are repeated beside each block."""
+    side = shards.select("dim", F.col("packet").alias("shard"), F.col("ids").alias("s_ids"), F.col("vectors").alias("s_vectors"))
+    parts = max(1, math.ceil(blocks.count() / GROUP_BLOCKS))
+    with_part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("packet"), F.lit(parts)))
+
+    def in_shard(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"packet": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
-        tree = None
-        for r in frame.itertuples():
-            tree = tree or BallTree(_matrix_of(r.s_ids, r.s_vectors, r.dim)[1], np.frombuffer(r.s_ids, np.int64))
-            own, queries = _matrix_of(r.ids, r.vectors, r.dim)
-            floor = np.frombuffer(r.floor, np.int64) if r.floor is not None else np.full(len(own), NONE)
-            scores, best = search(tree, queries, own, floor, k)
-            real = (scores > NONE) & (scores >= floor[:, None])
-            out.append(pd.DataFrame({"packet": r.packet, "query_id": np.repeat(own, k)[real.ravel()], "vec_id": best[real], "score": scores[real]}))
+        for s in shard.itertuples():
+            ids, vectors = _matrix_of(s.s_ids, s.s_vectors, s.dim)
+            tree = BallTree(vectors, ids)
+            for r in asked.itertuples():
+                own, queries = _matrix_of(r.ids, r.vectors, r.dim)
+                floor = np.frombuffer(r.floor, np.int64) if r.floor is not None else np.full(len(own), NONE)
+                scores, best = search(tree, queries, own, floor, k)
+                real = (scores > NONE) & (scores >= floor[:, None])
+                out.append(pd.DataFrame({"packet": r.packet, "query_id": np.repeat(own, k)[real.ravel()], "vec_id": best[real], "score": scores[real]}))
         return pd.concat(out)
 
-    side = shards.select("dim", F.col("packet").alias("shard"), F.col("ids").alias("s_ids"), F.col("vectors").alias("s_vectors"))
-
     def searched(pairs: DataFrame, floors: DataFrame) -> DataFrame:
-        """Results of pairs of a block and a shard: each pair is a row of its own, and rows of a shard meet in batches."""
-        met = pairs.join(floors, "packet").join(side.drop("dim"), "shard")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for _, own in frame.groupby("shard", sort=False):
-                    yield found_in(own)
-
-        return met.repartition("shard", F.pmod(F.xxhash64("packet"), F.lit(8))).sortWithinPartitions("shard").mapInPandas(run, "packet long, query_id long, vec_id long, score long")
+        """Results of pairs of a block and a shard: a shard is sent once for each ``GROUP_BLOCKS`` blocks or so that it meets."""
+        asked = with_part(pairs).join(floors, "packet")
+        dealt = side.join(with_part(pairs).select("shard", "part").distinct(), "shard")
+        return dealt.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(in_shard, "packet long, query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -312,6 +310,6 @@ def top_k(
     near = written(able.withColumn("place", F.row_number().over(ahead)).filter(F.col("place") <= NEAR).select("packet", "shard"), "topk-near")
     found = written(start.unionByName(searched(near, floors)), "topk-found-1")
     floors = written(floors_of(found), "topk-floors-1")
-    rest = reachable(floors).select("packet", "shard").join(first.unionByName(near), ["packet", "shard"], "left_anti")
+    rest = written(reachable(floors).select("packet", "shard").join(first.unionByName(near), ["packet", "shard"], "left_anti"), "topk-rest")
     whole = found.unionByName(searched(rest, floors))
     return leading(whole).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
