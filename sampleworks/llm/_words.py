@@ -13,7 +13,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: what stands between words: space, tab, line feed, vertical tab, form feed, carriage return
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True

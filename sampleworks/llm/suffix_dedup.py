@@ -45,7 +45,8 @@ ANCHOR = 20
 STRETCH = 1 << 22
 BROADCAST_ROWS = 1_000_000
 HOT = 8192  # occurrences above which an anchor is split into strings
-MANY = 16  # occurrences of an anchor in a batch above which they make one row
+MANY = 16  # occurrences of an anchor, among those that a task holds at once, above which they make one row
+HELD_ANCHORS = 300_000
 FOLDED = 500_000  # contexts and strings that a task folds before it sends them
 PLACE_BITS = np.uint64(24)  # low bits hold the place in a stretch while the smallest hash is looked for
 DIGEST = 16  # bytes that stand for a string of a hot anchor
@@ -161,36 +162,42 @@ def _shared_anchors(rows: DataFrame, hot: int, bits: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            keys, owners, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             for first, _, data, offsets in blocks(batch.column(1)):
                 owner, key, _, _ = anchors(data, offsets, bits)
                 keys.append(key)
                 owners.append(docs[first + owner])
-            key, doc = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(key, kind="stable")
-            new = np.ones(len(key), bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            begin = np.flatnonzero(new)
-            times = np.diff(np.concatenate((begin, [len(key)])))
-            rest = order[np.repeat(times > MANY, times)]
-            plain = np.ones(len(key), bool)
-            plain[rest] = False
-            # in the order of texts, which keeps documents together
-            yield out(key[plain], doc[plain], pa.nulls(int(plain.sum()), pa.list_(pa.int64())))
-            key, doc = key[rest], doc[rest]
-            order = np.lexsort((doc, key))
-            key, doc, times = key[order], doc[order], times[times > MANY]
-            begin = np.cumsum(times) - times
-            # last document, occurrences and the documents of each key
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            n = np.add.reduceat(once, begin) if len(begin) else begin
-            starts = np.cumsum(n + 2) - (n + 2)
-            values = np.zeros(int((n + 2).sum()), np.int64)
-            values[starts], values[starts + 1] = doc[begin + times - 1], times
-            values[np.repeat(starts + 2, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = doc[once]
-            ends = np.concatenate((starts, [len(values)])).astype(np.int32)
-            yield out(key[begin], doc[begin], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                n += len(key)
+                if n >= HELD_ANCHORS:
+                    yield from rows_of(np.concatenate(keys), np.concatenate(owners))
+                    keys, owners, n = keys[:1], owners[:1], 0
+            yield from rows_of(np.concatenate(keys), np.concatenate(owners))
+
+    def rows_of(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        begin = np.flatnonzero(new)
+        times = np.diff(np.concatenate((begin, [len(key)])))
+        rest = order[np.repeat(times > MANY, times)]
+        plain = np.ones(len(key), bool)
+        plain[rest] = False
+        # in the order of texts, which keeps documents together
+        yield out(key[plain], doc[plain], pa.nulls(int(plain.sum()), pa.list_(pa.int64())))
+        key, doc = key[rest], doc[rest]
+        order = np.lexsort((doc, key))
+        key, doc, times = key[order], doc[order], times[times > MANY]
+        begin = np.cumsum(times) - times
+        # last document, occurrences and the documents of each key
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        n = np.add.reduceat(once, begin) if len(begin) else begin
+        starts = np.cumsum(n + 2) - (n + 2)
+        values = np.zeros(int((n + 2).sum()), np.int64)
+        values[starts], values[starts + 1] = doc[begin + times - 1], times
+        values[np.repeat(starts + 2, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = doc[once]
+        ends = np.concatenate((starts, [len(values)])).astype(np.int32)
+        yield out(key[begin], doc[begin], pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
 
     def out(key: np.ndarray, doc: np.ndarray, more: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), more], names=["key", "doc", "more"])
