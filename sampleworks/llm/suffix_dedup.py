@@ -47,7 +47,7 @@ BROADCAST_ROWS = 1_000_000
 HOT = 8192  # occurrences above which an anchor is split into strings
 MANY = 16  # occurrences of an anchor, among those that a task holds at once, above which they make one row
 HELD_ANCHORS = 300_000
-FOLDED = 500_000  # contexts and strings that a task folds before it sends them
+FOLDED = 100_000  # contexts and strings that a task folds before it sends them
 PLACE_BITS = np.uint64(24)  # low bits hold the place in a stretch while the smallest hash is looked for
 DIGEST = 16  # bytes that stand for a string of a hot anchor
 RANGE_BYTES, ROW_BYTES, BROADCAST_BYTES = 16, 48, 64 << 20  # of the ranges that are broadcast

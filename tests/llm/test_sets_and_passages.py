@@ -228,3 +228,12 @@ def test_top_k_over_many_shards(spark):
         best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
         wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert found == sorted(wanted)
+
+
+def test_passages_folded_in_portions(spark, monkeypatch):
+    """A task that sends its candidates early gives the same result."""
+    monkeypatch.setattr(suffix_dedup, "FOLDED", 3)
+    monkeypatch.setattr(suffix_dedup, "HELD_ANCHORS", 2)
+    rows = passages()
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert found == removed_brute(rows)
