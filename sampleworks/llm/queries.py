@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sampleworks.llm import media_columns, ngram_jaccard, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk_search, toxicity
+from sampleworks.llm import concat_packing, media_columns, merkle, ngram_jaccard, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, target_resampling, topk_search, toxicity
 from sampleworks.llm._shared import documents
+from sampleworks.llm._sql import MERKLE, TARGET_RESAMPLING
 
 
 def tokenizer(name: str) -> str:
@@ -58,6 +59,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_packing.concatenate(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_topk_search": op10_topk_search,
+    "op11_merkle": op11_merkle,
+    "op12_concat_packing": op12_concat_packing,
+    "op13_target_resampling": op13_target_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -82,6 +98,8 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_merkle": MERKLE,
+    "op13_target_resampling": TARGET_RESAMPLING,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
