@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleworks.functions.values import finite, group_key, half_up, is_finite
+from sampleworks.operators import ranges
 
 MAX_COLUMNS = 64
 ROW: dict[str, Callable[..., Column]] = {
@@ -120,14 +121,15 @@ def calculate(df: DataFrame, specs: list[Calculation], row: str = "_row") -> Dat
     if len(specs) > MAX_COLUMNS:
         raise ValueError(f"at most {MAX_COLUMNS} calculated columns")
     for spec in specs:
-        whole = _of_all_rows(df, spec)
+        whole = _of_all_rows(df, spec, row)
         df = whole if whole is not None else df.withColumn(spec.name, calculated(df, spec, row))
     return df
 
 
-def _of_all_rows(df: DataFrame, spec: Calculation) -> DataFrame | None:
-    """What a calculation over all rows gives, from one row of sums sent to every task; None for calculations of other kinds."""
-    if spec.group or spec.operation not in (*GROUP, "group_count", "standardize"):
+def _of_all_rows(df: DataFrame, spec: Calculation, row: str) -> DataFrame | None:
+    """A calculation over all rows without one task for them: from one row of sums sent to every task, or over ranges of the order
+    or of the values, which are written to the shared folder. None for calculations of other kinds."""
+    if spec.group or spec.operation not in (*GROUP, *ORDERED, "group_count", "standardize", "rank"):
         return None
     kinds = dict(df.dtypes)
     calculated(df, spec)  # checks operation and inputs
@@ -135,8 +137,40 @@ def _of_all_rows(df: DataFrame, spec: Calculation) -> DataFrame | None:
         return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(spec.name))))  # one row
     given = F.col(spec.inputs[0])
     x = finite(given.cast("double")) if kinds[spec.inputs[0]] not in ("string", "boolean") else given
+    if spec.operation in ORDERED:
+        return _along_all_rows(df, spec, x, row)
+    if spec.operation == "rank":
+        return _ranked(df, spec, x)
     if spec.operation != "standardize":
         return df.crossJoin(F.broadcast(df.agg(GROUP[spec.operation](x).alias(spec.name))))  # one row
     told = df.agg(F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__spread"))
     value = F.when(x.isNotNull(), F.when(F.col("__spread") == 0, 0.0).otherwise(finite(F.try_divide(x - F.col("__mean"), F.col("__spread")))))
     return df.crossJoin(F.broadcast(told)).withColumn(spec.name, value).drop("__mean", "__spread")  # one row
+
+
+def _along_all_rows(df: DataFrame, spec: Calculation, x: Column, row: str) -> DataFrame:
+    """Neighbours and running sums along an order of all rows; rows without a place in it get null."""
+    at = finite(F.col(spec.order).cast("double"))
+    placed = ranges.in_ranges(df.withColumns({"__at_all": at, "__value": x}), ["__at_all", row], "calculated")
+    kind = {"previous": "previous", "next": "next", "difference": "previous", "cumulative_sum": "sum"}[spec.operation]
+    on_order = F.when(F.col("__at_all").isNotNull(), F.col("__value"))  # rows without a place come first
+    if kind == "previous":  # the last row without a place is no neighbour
+        found = ranges.along(placed, {"__found": (kind, F.struct(on_order.alias("v")))}).withColumn("__found", F.col("__found.v"))
+    elif kind == "next":
+        found = ranges.along(placed, {"__found": (kind, F.struct(F.col("__value").alias("v")))}).withColumn("__found", F.col("__found.v"))
+    else:
+        found = ranges.along(placed, {"__found": (kind, on_order)})
+    value = F.col("__found")
+    if spec.operation == "difference":
+        value = finite(F.col("__value") - value)
+    elif spec.operation == "cumulative_sum":
+        value = F.when(F.col("__value").isNotNull(), value)
+    return found.select(*df.columns, F.when(F.col("__at_all").isNotNull(), value).alias(spec.name))
+
+
+def _ranked(df: DataFrame, spec: Calculation, x: Column) -> DataFrame:
+    """Ranks from 1 with ties at their mean, from the rows of each value and a running sum over ranges of values."""
+    values = df.select(x.alias("__value")).filter("__value IS NOT NULL").groupBy("__value").agg(F.count("*").alias("__n"))
+    placed = ranges.along(ranges.in_ranges(values, ["__value"], "ranked"), {"__upto": ("sum", F.col("__n"))})
+    rank = F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2
+    return df.withColumn("__x", x).join(placed.select(F.col("__value").alias("__x"), rank.alias(spec.name)), "__x", "left").select(*df.columns, spec.name)

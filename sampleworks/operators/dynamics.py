@@ -44,10 +44,24 @@ def sample_dynamics(df: DataFrame, keys: list[str], epoch: str, correct: str, p:
 
 def with_speed(dynamics: DataFrame) -> DataFrame:
     """``speed`` by the run's quartiles of learned epochs: early and late are strictly outside them."""
-    cuts = dynamics.agg(F.percentile("learned_epoch", F.array(F.lit(0.25), F.lit(0.75))).alias("__cuts"))
+    cuts = _quartiles(dynamics.groupBy("learned_epoch").agg(F.count("*").alias("n")))
     joined = dynamics.crossJoin(F.broadcast(cuts))  # one row
-    speed = F.when(F.col("learned_epoch").isNull(), "never").when(F.col("learned_epoch") < F.col("__cuts")[0], "early").when(F.col("learned_epoch") > F.col("__cuts")[1], "late").otherwise("middle")
-    return joined.withColumn("speed", speed).drop("__cuts")
+    speed = F.when(F.col("learned_epoch").isNull(), "never").when(F.col("learned_epoch") < F.col("__q1"), "early").when(F.col("learned_epoch") > F.col("__q3"), "late").otherwise("middle")
+    return joined.withColumn("speed", speed).drop("__q1", "__q3", "__end")
+
+
+def _quartiles(epochs: DataFrame) -> DataFrame:
+    """One row ``__q1, __q3, __end`` of learned epochs (``learned_epoch, n``): linear quartiles by counting epochs, of which there are
+    as many as a run has, and the last epoch; null without any."""
+    placed = epochs.filter("learned_epoch IS NOT NULL").select("learned_epoch", "n", (F.sum("n").over(Window.orderBy("learned_epoch")) - 1).alias("last"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    at = lambda position: F.min(F.when(F.col("last") >= position, F.col("learned_epoch"))).cast("double")
+    ends = []
+    for name, share in (("q1", 0.25), ("q3", 0.75)):
+        position = F.lit(share) * (F.col("all") - 1)
+        ends += [at(F.floor(position)).alias(f"{name}a"), at(F.ceil(position)).alias(f"{name}b"), F.max(position - F.floor(position)).alias(f"{name}s")]
+    found = placed.agg(*ends, F.max("learned_epoch").alias("__end"))
+    cut = lambda name: (F.col(f"{name}a") + (F.col(f"{name}b") - F.col(f"{name}a")) * F.col(f"{name}s")).alias(f"__{name}")
+    return found.select(cut("q1"), cut("q3"), "__end")
 
 
 def image_scores(df: DataFrame, keys: list[str], epoch: str, score: str, good: float = 0.5) -> DataFrame:
@@ -67,7 +81,7 @@ def image_learning(dynamics: DataFrame, min_observations: int = 3, unstable: int
     few = (F.col("observations") < min_observations) | (F.col("observations") * 2 < F.col("__most"))
     judged = judged.withColumn("category", F.when(empty, "empty").when(few, "insufficient"))
     learned = F.when(F.col("category").isNull() & (F.col("forgetting") < unstable), F.col("learned_epoch"))
-    bounds = judged.agg(F.percentile(learned, F.lit(0.25)).alias("__q1"), F.percentile(learned, F.lit(0.75)).alias("__q3"), F.max(learned).alias("__end"))
+    bounds = _quartiles(judged.groupBy(learned.alias("learned_epoch")).agg(F.count("*").alias("n")))
     joined = judged.crossJoin(F.broadcast(bounds))  # one row
     final = (F.col("__q3") > F.col("__q1")) & (F.col("__q3") == F.col("__end")) & (F.col("learned_epoch") == F.col("__q3"))
     category = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sampleworks.functions.filters import failures
 from sampleworks.functions.values import finite, is_finite
+from sampleworks.operators.ranges import quantiles as exact_quantiles
 from sampleworks.sources.tables import checkpoints
 
 BINS = 24
@@ -45,8 +46,12 @@ def categorical_counts(df: DataFrame, column: str, filters: dict[str, Column]) -
 
 
 def numeric_summary(df: DataFrame, column: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Counts, extremes, mean, population deviation and linear quantiles of the finite values."""
+    """Counts, extremes, mean, population deviation and linear quantiles of the finite values; without one, only counts aren't null.
+
+    Quantiles are exact and found by counting, so the column is never gathered.
+    """
     x = finite(F.col(column).cast("double"))
+    cuts = exact_quantiles(df, [column], quantiles)
     return df.agg(
         F.count("*").alias("count"),
         F.count(x).alias("present"),
@@ -57,7 +62,7 @@ def numeric_summary(df: DataFrame, column: str, quantiles: Sequence[float] = (0.
         F.sum(x).alias("sum"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
-        *[F.percentile(x, F.lit(q)).alias(f"q{round(100 * q)}") for q in quantiles],
+        *[F.lit(cuts[column, q]).cast("double").alias(f"q{round(100 * q)}") for q in quantiles],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleworks.functions.values import f1_score, ratio
+from sampleworks.operators import ranges
 
 
 def area(b: Column) -> Column:
@@ -92,19 +93,18 @@ def per_class(scored: DataFrame, support: DataFrame, confidence: float) -> DataF
 def average_precision(scored: DataFrame, support: DataFrame, order: list[str]) -> DataFrame:
     """101-point interpolated precision of each label; NaN without truth, 0 without predictions.
 
-    The grid is numpy's ``linspace(0, 1, 101)``. ``order`` breaks ties of score.
+    The grid is numpy's ``linspace(0, 1, 101)``. ``order`` breaks ties of score. Counts along the scores and the envelope are worked
+    out over ranges of (label, score), so a class of any size uses all tasks.
     """
     import numpy as np
 
-    along = Window.partitionBy("label").orderBy(F.desc("score"), *order)
-    ranked = scored.join(support, "label").withColumn("k", F.row_number().over(along)).withColumn("tp", F.sum(F.col("hit").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    curve = ranked.select("label", "k", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    # from the last row back: a frame that only grows is kept up row by row, one that shrinks is evaluated anew for each
-    back = Window.partitionBy("label").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = curve.withColumn("envelope", F.max("precision").over(back))
+    columns = ["label", "support", "score", "hit", *[c for c in order if c not in ("label", "score")]]
+    placed = ranges.in_ranges(scored.join(F.broadcast(support), "label").select(*columns), ["label", F.desc("score"), *order], "precision")  # one row for each class
+    ranked = ranges.along(placed, {"k": ("number", None), "tp": ("sum", F.col("hit").cast("int"))}, ["label"])
+    curve = ranges.staged(ranked.select("label", "k", "__range", "__place", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision")), "curve")
+    curve = ranges.along(curve, {"envelope": ("max_after", F.col("precision")), "before": ("previous", F.col("recall"))}, ["label"])
     # the grid points that a row is the first to reach lie between the recall before it and its own
     grid = F.array(*[F.lit(float(g)) for g in np.linspace(0, 1, 101)])
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy("label").orderBy("k")), F.lit(-1.0))
 
     def passed(recall):
         """How many grid points are not above a recall: those below its hundredth, and the two that rounding decides."""
@@ -112,7 +112,7 @@ def average_precision(scored: DataFrame, support: DataFrame, order: list[str]) -
         at = lambda i: F.coalesce((F.try_element_at(grid, i) <= recall).cast("int"), F.lit(0))
         return F.when(recall < 0, 0).otherwise(k + at(k + 1) + at(k + 2))
 
-    reached = curve.withColumn("before", before).withColumn("points", passed(F.col("recall")) - passed(F.col("before")))
+    reached = curve.withColumn("before", F.coalesce("before", F.lit(-1.0))).withColumn("points", passed(F.col("recall")) - passed(F.col("before")))
     total = reached.groupBy("label").agg((F.sum(F.col("points") * F.col("envelope")) / 101).alias("ap"))
     return support.join(total, "label", "left").select("label", F.when(F.col("support") == 0, F.lit(float("nan"))).otherwise(F.coalesce("ap", F.lit(0.0))).alias("ap"))
 

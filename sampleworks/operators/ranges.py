@@ -21,7 +21,7 @@ from sampleworks.functions.values import finite
 from sampleworks.sources.tables import shared_folder
 
 CELLS = 200_000  # rows for ranges and groups up to which they are broadcast
-SMALL = 50_000  # values of an interval that are put in order by one aggregate
+SMALL = 200_000  # values of an interval that are put in order by one aggregate
 ACCURACY = 10_000  # of the sketches: their rank is off by the interval's rows over this at most
 PLACES = 33  # bits of a place in its range
 
@@ -105,51 +105,51 @@ def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]], *, small:
     ``df`` is read once for each narrowing, by a factor of some thousands, so two or three times.
     """
     columns = list(wanted)
-    x = {c: finite(F.col(c).cast("double")) for c in columns}
     if not columns:
         return {}
-    first = df.agg(*[f(x[c]).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.count, F.min, F.max)]).first()
-    targets = []  # column, position, bounds of the values it lies in, rows below them, rows inside
+    x = {c: finite(F.col(c).cast("double")) for c in columns}
+    sizes = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    # column and position; the open interval its value lies in, rows at or below the lower end, rows inside
+    targets: list[list] = []
     for i, c in enumerate(columns):
-        n = first[f"count{i}"]
         for k in sorted(set(wanted[c])):
-            if not 0 <= k < n:
-                raise IndexError(f"{c} has {n} values, none at {k}")
-            targets.append([c, k, first[f"min{i}"], first[f"max{i}"], 0, n])
+            if not 0 <= k < sizes[i]:
+                raise IndexError(f"{c} has {sizes[i]} values, none at {k}")
+            targets.append([c, k, -math.inf, math.inf, 0, sizes[i]])
+    part = lambda t: F.when((x[t[0]] > t[2]) & (x[t[0]] < t[3]), x[t[0]])
     found: dict[tuple[str, int], float] = {}
-    while True:
-        found.update({(t[0], t[1]): t[2] for t in targets if t[2] == t[3]})
-        targets = [t for t in targets if t[2] != t[3]]
-        large = [t for t in targets if t[5] > small]
-        if not large:
-            break
-        part = lambda t: F.when(x[t[0]].between(t[2], t[3]), x[t[0]])
+    while large := [t for t in targets if t[5] > small]:
         share = lambda t, by: min(1.0, max(0.0, (t[1] - t[4] + 0.5) / t[5] + by / ACCURACY))
         ends = df.agg(*[F.percentile_approx(part(t), [share(t, -3), share(t, 3)], ACCURACY).alias(f"p{i}") for i, t in enumerate(large)]).first()
-        counts = df.agg(*[f for i, t in enumerate(large) for f in (F.count_if(part(t) < ends[i][0]).alias(f"a{i}"), F.count_if(part(t) <= ends[i][1]).alias(f"b{i}"))]).first()
+        tests = lambda i, t: (part(t) < ends[i][0], part(t) <= ends[i][0], part(t) < ends[i][1], part(t) <= ends[i][1])
+        counts = df.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, t in enumerate(large) for j, test in enumerate(tests(i, t))]).first()
         for i, t in enumerate(large):
-            low, high = ends[i]
-            under, upto, k = counts[f"a{i}"], counts[f"b{i}"], t[1] - t[4]
-            if under <= k < upto:
-                t[2], t[3], t[4], t[5] = low, high, t[4] + under, upto - under
-            elif k < under:  # a sketch that missed: the rest holds it
-                t[3], t[5] = low, under
+            (low, high), k = ends[i], t[1] - t[4]
+            under, upto_low, under_high, upto = counts[4 * i : 4 * i + 4]
+            if under <= k < upto_low or under_high <= k < upto:
+                found[t[0], t[1]] = low if k < upto_low else high
+                targets.remove(t)
+            elif upto_low <= k < under_high:
+                t[2:] = low, high, t[4] + upto_low, under_high - upto_low
+            elif k < under:  # the sketch missed; what is left is narrower all the same
+                t[2:] = t[2], low, t[4], under
             else:
-                t[2], t[4], t[5] = high, t[4] + under, t[5] - under
+                t[2:] = high, t[3], t[4] + upto, t[5] - upto
     if targets:
-        lists = df.agg(*[F.array_sort(F.collect_list(F.when(x[c].between(low, high), x[c])))[k - below].alias(f"v{i}") for i, (c, k, low, high, below, _) in enumerate(targets)]).first()
+        lists = df.agg(*[F.array_sort(F.collect_list(part(t)))[t[1] - t[4]].alias(f"v{i}") for i, t in enumerate(targets)]).first()
         found.update({(t[0], t[1]): lists[i] for i, t in enumerate(targets)})
     return found
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *, nearest: bool = False) -> dict[tuple[str, float], float | None]:
-    """Exact quantiles of the finite values: linear between neighbours, or the nearest rank upwards; None without values."""
+    """Exact quantiles of the finite values: linear between neighbours, or at the nearest rank (of two, the even one from 0);
+    None without values."""
     sizes = df.agg(*[F.count(finite(F.col(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     ends: dict[tuple[str, float], tuple[int, int, float]] = {}
     for i, c in enumerate(columns):
         n = sizes[i]
         for q in shares if n else ():
-            at = max(0, math.ceil(q * n) - 1) if nearest else q * (n - 1)
+            at = round(q * (n - 1)) if nearest else q * (n - 1)
             ends[c, q] = math.floor(at), min(n - 1, math.ceil(at)), at - math.floor(at)
     values = order_statistics(df, {c: [k for (name, _), (a, b, _) in ends.items() if name == c for k in (a, b)] for c in columns if any(name == c for name, _ in ends)})
     out: dict[tuple[str, float], float | None] = {(c, q): None for c in columns for q in shares}
