@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: of an Arrow batch that Spark sends to a Python worker while a table is written; the default of 64 MB is held several times on either side
+BATCH_BYTES = "8m"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage. Texts go to Python in small batches."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before) if before is not None else spark.conf.unset(limit)
     return spark.read.schema(df.schema).parquet(path)
 
 
