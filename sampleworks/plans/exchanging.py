@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sampleworks.plans.register import query, table
 from sampleworks.sources import exchange, runs
 from sampleworks.sources.tables import shared_folder
+from sampleworks.streaming import live
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 _I = "(SELECT l_orderkey AS image, (l_partkey % 97)::double AS x0, (l_suppkey % 89)::double AS y0, (l_partkey % 97 + l_quantity)::double AS x1, (l_suppkey % 89 + 10 * l_linenumber)::double AS y1, (l_partkey % 5)::int AS label, l_suppkey % 6 = 0 AS crowd, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)"
@@ -86,6 +87,26 @@ def run_joined(spark, sf_dir):
     return joined.select("_src", "example_id", "epoch", F.round("loss", 4).alias("loss"), "extra", "sample", "geometry")
 
 
+@query(
+    "live_run",
+    """WITH m AS (SELECT o_custkey % 200 AS example_id, o_orderkey % 3 AS part, o_orderkey % 2 AS s, sum(o_totalprice) AS loss, CASE WHEN o_orderkey % 3 = 1 THEN max(o_orderkey) END AS extra FROM orders GROUP BY 1, 2, 3, o_orderkey % 3)
+        SELECT (part * 2 + s)::int AS metrics_id, s::varchar AS source, example_id, round(loss, 2) AS loss, extra, 's' || (s * 1000 + example_id) AS sample FROM m""",
+)
+def live_run(spark, sf_dir):
+    """Metrics added to a run in three steps while a stream joins them to two tables of samples."""
+    run, folder = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("run", "live"))
+    k = F.col("o_orderkey")
+    base = table(spark, sf_dir, "orders").groupBy((k % 3).alias("part"), (k % 2).alias("s"), (F.col("o_custkey") % 200).alias("example_id")).agg(F.sum("o_totalprice").alias("loss"), F.max("o_orderkey").alias("extra"))
+    samples = {str(s): spark.range(200).select(F.col("id").alias("_row"), F.concat(F.lit("s"), (F.col("id") + 1000 * s).cast("string")).alias("sample")) for s in (0, 1)}
+    schema = base.select("example_id", "loss", "extra", F.lit("").alias("source")).schema
+    for part in range(3):
+        for s in (0, 1):
+            own = base.filter((F.col("part") == part) & (F.col("s") == s)).select("example_id", "loss", "extra")
+            runs.add_metrics(own if part == 1 else own.drop("extra"), run, constants={"source": str(s)})
+        live.live_view(spark, run, samples, schema, folder, trigger=None).awaitTermination()
+    return live.live_rows(spark, folder).select("metrics_id", "source", "example_id", F.round("loss", 2).alias("loss"), "extra", "sample")
+
+
 @query("merged_counts", "SELECT event_type, count(*) AS tp, sum(event_id % 3)::bigint AS fp FROM events GROUP BY 1")
 def merged_counts(spark, sf_dir):
     parts = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).alias("worker")).agg(F.count("*").alias("tp"), F.sum(F.col("event_id") % 3).alias("fp"))
