@@ -13,7 +13,8 @@ Components become floor(256 x). Scores are exact integers: products are summed i
 they fit into 53 bits, in int64 while they fit into 63 bits, and in Python integers beyond; a score
 outside 64 bits counts as the largest or smallest that fits. Vectors that are null, empty, or hold a null or non-finite component take no
 part; vectors of unlike lengths aren't compared. Ties go to the smaller id. Queries and candidates are rows,
-so repeated ids are separate candidates, but rows with the id of the query are left out.
+so repeated ids are separate candidates, but rows with the id of the query are left out. Each query row has its own k rows,
+also where several have one id: inside, a query is known by its block and its place there.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import discard, written
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 512
@@ -229,7 +230,7 @@ def top_k(
     with_part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("packet"), F.lit(parts)))
 
     def in_shard(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"packet": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        out = [pd.DataFrame({"packet": [], "place": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
         for s in shard.itertuples():
             ids, vectors = _matrix_of(s.s_ids, s.s_vectors, s.dim)
             tree = BallTree(vectors, ids)
@@ -238,31 +239,33 @@ def top_k(
                 floor = np.frombuffer(r.floor, np.int64) if r.floor is not None else np.full(len(own), NONE)
                 scores, best = search(tree, queries, own, floor, k)
                 real = (scores > NONE) & (scores >= floor[:, None])
-                out.append(pd.DataFrame({"packet": r.packet, "query_id": np.repeat(own, k)[real.ravel()], "vec_id": best[real], "score": scores[real]}))
+                asks = np.repeat(np.arange(len(own)), k)[real.ravel()]
+                out.append(pd.DataFrame({"packet": r.packet, "place": asks, "query_id": own[asks], "vec_id": best[real], "score": scores[real]}))
         return pd.concat(out)
 
     def searched(pairs: DataFrame, floors: DataFrame) -> DataFrame:
         """Results of pairs of a block and a shard: a shard is sent once for each ``GROUP_BLOCKS`` blocks or so that it meets."""
         asked = with_part(pairs).join(floors, "packet")
         dealt = side.join(with_part(pairs).select("shard", "part").distinct(), "shard")
-        return dealt.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(in_shard, "packet long, query_id long, vec_id long, score long")
+        return dealt.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(in_shard, "packet long, place long, query_id long, vec_id long, score long")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("packet", "place").orderBy(F.desc("score"), "vec_id")
 
     def leading(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def floors_of(found: DataFrame) -> DataFrame:
         """Blocks with the kth score that each of their queries has so far."""
-        kth = leading(found).filter(F.col("rank") == k).groupBy("packet").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
+        kth = leading(found).filter(F.col("rank") == k).groupBy("packet").agg(F.collect_list(F.struct("place", "score")).alias("known"))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 floors = []
                 for r in frame.itertuples():
-                    ids = np.frombuffer(r.ids, np.int64)
-                    told = {x["query_id"]: x["score"] for x in r.known} if r.known is not None else {}
-                    floors.append(np.array([told.get(i, NONE) for i in ids.tolist()], np.int64).tobytes())
+                    floor = np.full(len(r.ids) // 8, NONE)
+                    for told in r.known if r.known is not None else ():
+                        floor[told["place"]] = told["score"]
+                    floors.append(floor.tobytes())
                 yield frame.drop(columns="known").assign(floor=floors)
 
         return blocks.join(kth, "packet", "left").select(*blocks.columns, "known").mapInPandas(run, f"{PACKED}, floor binary")
@@ -277,26 +280,35 @@ def top_k(
             yield pd.DataFrame(rows, columns=["dim", "shard", "centre", "radius", "least"])
 
     summary = shards.mapInPandas(summarise, "dim int, shard long, centre binary, radius double, least long")
-    packs = F.pmod(F.xxhash64("shard"), F.lit(max(1, math.ceil(sum(r["n"] for r in n) / shard_rows / SUMMARIES))))
-    packed = written(summary.groupBy("dim", packs.alias("pack")).agg(*[F.collect_list(c).alias(c) for c in ("shard", "centre", "radius", "least")]), "topk-summaries")
+    packs = max(1, math.ceil(sum(r["n"] for r in n) / shard_rows / SUMMARIES))
+    pack = F.pmod(F.xxhash64("shard"), F.lit(packs)).cast("int").alias("pack")
+    packed = written(summary.groupBy("dim", pack).agg(*[F.collect_list(c).alias(c) for c in ("shard", "centre", "radius", "least")]), "topk-summaries")
+
+    def bounded(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"packet": np.zeros(0, np.int64), "shard": np.zeros(0, np.int64), "gain": np.zeros(0)})]
+        for s in told.itertuples():
+            centres, radius, shard = np.stack([np.frombuffer(c, np.float64) for c in s.centre]), np.asarray(s.radius), np.asarray(s.shard)
+            for r in asked.itertuples():
+                _, queries = _matrix_of(r.ids, r.vectors, r.dim)
+                floor = np.frombuffer(r.floor, np.int64).astype(float)
+                norms = np.sqrt((queries**2).sum(axis=1))
+                top = queries @ centres.T + norms[:, None] * radius[None, :]
+                top += np.abs(top) * 1e-9 + 1e-6 * (1 + norms[:, None])
+                gain = (top - floor[:, None]).max(axis=0)
+                able = gain >= 0
+                out.append(pd.DataFrame({"packet": r.packet, "shard": shard[able], "gain": gain[able]}))
+        return pd.concat(out)
 
     def reachable(floors: DataFrame) -> DataFrame:
-        """``packet, shard, place``: shards that can hold a better row for some query of a block, best bound first."""
+        """``packet, shard, gain``: shards that can hold a better row for some query of a block.
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for r in frame.itertuples():
-                    _, queries = _matrix_of(r.ids, r.vectors, r.dim)
-                    floor = np.frombuffer(r.floor, np.int64).astype(float)
-                    norms = np.sqrt((queries**2).sum(axis=1))
-                    centres = np.stack([np.frombuffer(c, np.float64) for c in r.centre])
-                    top = queries @ centres.T + norms[:, None] * np.asarray(r.radius)[None, :]
-                    top += np.abs(top) * 1e-9 + 1e-6 * (1 + norms[:, None])
-                    gain = (top - floor[:, None]).max(axis=0)
-                    able = gain >= 0
-                    yield pd.DataFrame({"packet": r.packet, "shard": np.asarray(r.shard)[able], "gain": gain[able]})
-
-        return floors.join(packed, "dim").mapInPandas(run, "packet long, shard long, gain double")
+        Each group of blocks meets each pack of summaries in a task of its own, to which either is sent once.
+        """
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        asked = with_part(floors).withColumn("part", F.col("part").cast("int")).withColumn("pack", every(packs))
+        told = packed.withColumn("part", every(parts))
+        keys = ["dim", "part", "pack"]
+        return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(bounded, "packet long, shard long, gain double")
 
     # a shard of the block's own pivot, or any, gives the first kth scores
     own = shards.groupBy("dim", "cell").agg(F.min_by("packet", F.struct(-F.length("ids"), "packet")).alias("mine"))
@@ -309,6 +321,8 @@ def top_k(
     ahead = Window.partitionBy("packet").orderBy(F.desc("gain"), "shard")
     near = written(able.withColumn("place", F.row_number().over(ahead)).filter(F.col("place") <= NEAR).select("packet", "shard"), "topk-near")
     found = written(start.unionByName(searched(near, floors)), "topk-found-1")
+    for over in (start, floors, able):
+        discard(over)
     floors = written(floors_of(found), "topk-floors-1")
     rest = written(reachable(floors).select("packet", "shard").join(first.unionByName(near), ["packet", "shard"], "left_anti"), "topk-rest")
     whole = found.unionByName(searched(rest, floors))

@@ -237,3 +237,21 @@ def test_passages_folded_in_portions(spark, monkeypatch):
     rows = passages()
     found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert found == removed_brute(rows)
+
+
+def test_query_rows_with_one_id_keep_their_own_results(spark, monkeypatch):
+    """Repeated ids among queries: each row gets its own best rows; several packs of summaries and groups of blocks meet."""
+    monkeypatch.setattr(topk_search, "SUMMARIES", 2)
+    monkeypatch.setattr(topk_search, "GROUP_BLOCKS", 2)
+    draw = random.Random(17)
+    rows = [(i, [draw.gauss(0, 1), draw.gauss(0, 1), draw.gauss(0, 1)]) for i in range(1, 400)]
+    rows += [(100, [1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0]), (100, [0.0, 1.0, 0.0]), (150, [0.0, 0.0, -1.0]), (7, [9.0, 9.0, 9.0]), (7, [9.0, 9.0, 9.0])]
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v in rows]
+    expected = []
+    for i, v in whole:
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)
+            expected += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = topk_search.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=32, query_rows=3)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
