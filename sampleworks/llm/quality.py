@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,6 @@ from sampleworks.llm._words import WEIGHTS, blocks, mix, word_hashes
 
 BYTES = 4
 BUCKETS = 1 << 16
-SLICES = 32
 TEMPERATURE = 1.0
 LOSS = 12  # a rejected good document costs as much as so many kept bad ones
 FIT_DOCUMENTS = 20_000
@@ -86,19 +84,15 @@ def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
                 bucket, owner = ngrams(data, offsets)
                 totals[0] += np.bincount(bucket, minlength=2 * BUCKETS)
                 totals[1] += np.bincount(bucket[target[first:last][owner]], minlength=2 * BUCKETS)
-        parts = totals.reshape(2, SLICES, -1).swapaxes(0, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.ascontiguousarray(p).tobytes() for p in parts])], names=["slice", "counts"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in frame["counts"])
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
+        held = np.flatnonzero(totals[0])
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(t[held]) for t in totals)], names=["bucket", "raw", "good"])
 
     target = F.broadcast(_fit_rows(labels, id_col, (1, 2, 3)).filter("quality = 1").select("id", F.lit(True).alias("target")))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    summed = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    # added up row by row, whatever the number of tasks; what comes back is a row for each bucket
+    summed = rows.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     totals = np.zeros((2, 2 * BUCKETS))
-    for r in summed:
-        totals.reshape(2, SLICES, -1)[:, r.slice] = np.frombuffer(r.counts, np.int64).reshape(2, -1)
+    totals[:, summed.column("bucket").to_numpy()] = summed.column("raw").to_numpy(), summed.column("good").to_numpy()
     raw, good = totals
     ratio = np.zeros(2 * BUCKETS)
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):

@@ -74,3 +74,11 @@ def test_draws_follow_weights(spark):
     noise = spark.range(20_000).select(quality.gumbel(F.col("id")).alias("a"), quality.gumbel(F.col("id") + 1_000_000).alias("b"))
     first = noise.filter(F.col("a") + math.log(3.0) > F.col("b")).count() / 20_000
     assert abs(first - 0.75) < 0.015
+
+
+def test_counts_are_added_up_row_by_row(spark):
+    """What a group of the sum holds is one row for each task and bucket, whatever the texts; the counts are those of one task."""
+    docs = spark.createDataFrame([(i, f"word{i} and more of it") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one, many = (quality.log_ratios(docs.repartition(n), labels, "doc_id", "text") for n in (1, 12))
+    assert (one == many).all() and one.any()
