@@ -1,48 +1,28 @@
 """The neighbour graph of an embedding store: cosine neighbours, copies, leaks, uniqueness and outliers.
 
-Exact neighbours are found in blocks: vectors are packed into packets, each packet of queries meets each packet of
-candidates, and a task multiplies two matrices of bounded size.
+Exact neighbours are found in packets of near vectors, of which a task multiplies two; pairs of packets that are too far apart are
+left out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleworks.operators import balls
+from sampleworks.operators.balls import PACKET
 from sampleworks.sources.tables import checkpoints
 
-PACKET = 2048
 
 
 def neighbours(df: DataFrame, k: int = 15, *, id_col: str = "vec_id", vector_col: str = "embedding", packet: int = PACKET) -> DataFrame:
-    """``src, dst, rank, dist``: the k nearest by cosine distance without itself, ties to the smaller id."""
-    n = df.count()
-    packets = max(1, math.ceil(n / packet))
-    number = F.pmod(F.xxhash64(id_col), F.lit(packets))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), number.alias("p"))
-    packed = rows.groupBy("p").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    left = packed.select(F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(packets - 1))).alias("b"), F.col("ids").alias("q"), F.col("vs").alias("qv"))
-    pairs = left.join(packed.select(F.col("p").alias("b"), "ids", "vs"), "b").repartition("a", "b")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q, c = np.asarray(r.q), np.asarray(r.ids)
-                x, y = (np.asarray(v, float).reshape(len(i), -1) for v, i in ((r.qv, q), (r.vs, c)))
-                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-                dist = 1 - x @ y.T
-                dist[q[:, None] == c[None, :]] = np.inf
-                best = np.lexsort((np.broadcast_to(c, dist.shape), np.round(dist, 12)), axis=1)[:, :k]
-                found = np.take_along_axis(dist, best, 1)
-                real = np.isfinite(found)
-                yield pd.DataFrame({"src": np.repeat(q, best.shape[1])[real.ravel()], "dst": c[best][real], "dist": found[real]})
-
-    near = pairs.select("q", "qv", "ids", "vs").mapInPandas(search, "src long, dst long, dist double")
+    """``src, dst, rank, dist``: the k nearest by cosine distance without itself, ties to the smaller id.
+
+    Packets that can't hold one of a packet's k nearest are never sent to it; see :mod:`balls`.
+    """
+    near = balls.nearest(df, k, id_col=id_col, vector_col=vector_col, rows=packet)
     order = Window.partitionBy("src").orderBy(F.round("dist", 12), "dst")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -67,25 +47,7 @@ def near_pairs(df: DataFrame, limit: float, *, id_col: str = "vec_id", vector_co
     vectors = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     reps = vectors.groupBy("v").agg(F.min("id").alias("rep"))
     members = vectors.join(reps, "v").select("id", "rep")
-    packets = max(1, math.ceil(reps.count() / packet))
-    packed = reps.groupBy(F.pmod(F.xxhash64("rep"), F.lit(packets)).alias("p")).agg(F.collect_list("rep").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    left = packed.select(F.col("p").alias("a"), F.explode(F.sequence(F.col("p"), F.lit(packets - 1).cast("long"))).alias("b"), F.col("ids").alias("q"), F.col("vs").alias("qv"))
-    pairs = left.join(packed.select(F.col("p").alias("b"), "ids", "vs"), "b").repartition("a", "b")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q, c = np.asarray(r.q), np.asarray(r.ids)
-                x, y = (np.asarray(v, float).reshape(len(i), -1) for v, i in ((r.qv, q), (r.vs, c)))
-                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-                dist = 1 - x @ y.T
-                near = dist <= limit
-                if r.a == r.b:
-                    near &= q[:, None] <= c[None, :]
-                i, j = np.nonzero(near)
-                yield pd.DataFrame({"a": np.minimum(q[i], c[j]), "b": np.maximum(q[i], c[j]), "dist": dist[i, j]})
-
-    return pairs.select("a", "b", "q", "qv", "ids", "vs").mapInPandas(search, "a long, b long, dist double"), members
+    return balls.within(reps, limit, id_col="rep", vector_col="v", rows=packet), members
 
 
 def leaks(df: DataFrame, sets: DataFrame, limit: float, *, same_image: float = 0.12, sources: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
