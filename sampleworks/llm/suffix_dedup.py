@@ -47,6 +47,7 @@ BROADCAST_ROWS = 1_000_000
 HOT = 8192  # occurrences above which an anchor is split into strings
 MANY = 16  # occurrences of an anchor, among those that a task holds at once, above which they make one row
 HELD_ANCHORS = 300_000
+PART_ROWS = 1_000  # rows whose strings are put into suffix order at once, if their anchors don't have more
 FOLDED = 100_000  # contexts and strings that a task folds before it sends them
 PLACE_BITS = np.uint64(24)  # low bits hold the place in a stretch while the smallest hash is looked for
 DIGEST = 16  # bytes that stand for a string of a hot anchor
@@ -312,15 +313,28 @@ def _ranges(rows: DataFrame) -> DataFrame:
                 key = batch.column(0)
                 cut = key.null_count + int(np.searchsorted(key.drop_null().to_numpy(), last))
             if cut:
-                yield from _group_factors(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from _in_parts(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from _group_factors(pa.Table.from_batches(held))
+            yield from _in_parts(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
 
     return placed.mapInArrow(factors, RANGE)
 
 
+def _in_parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """:func:`_group_factors` over runs of whole groups of about ``PART_ROWS`` rows: a row becomes some fifty strings while it is compared."""
+    key = table.column("key").combine_chunks()
+    none = key.null_count  # they come first, and each is a group of its own
+    groups = np.concatenate((np.arange(0, none, PART_ROWS), none + np.flatnonzero(np.diff(key.drop_null().to_numpy(), prepend=np.int64(0)) != 0), [len(key)]))
+    at = 0
+    while at < len(key):
+        end = max(int(groups[np.searchsorted(groups, at + PART_ROWS, "right") - 1]), int(groups[np.searchsorted(groups, at, "right")]))
+        yield from _group_factors(table.slice(at, end - at))
+        at = end
+
+
 def _group_factors(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Ranges that go, for whole groups of contexts sorted by key, context and document (no key: the range as it is)."""
     if not table.num_rows:
