@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "_row"
-
+FORMAT = 1  # of bodies; a reader refuses others
 
 SAFE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._- ")
 
@@ -75,12 +75,25 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 def write_version(df: DataFrame, path: str, *, parents: list[str] | None = None, producer: dict | None = None, base_name: str = "", description: str = "") -> str:
     """Write a new version: rows first, the body last. A path that exists is refused, so versions never change."""
     df.write.mode("errorifexists").parquet(f"{path}/rows")
-    body = {"path": path, "base_name": base_name or path.rpartition("/")[2], "description": description, "created": datetime.now(timezone.utc).isoformat(), "parents": parents or [], "producer": producer or {}, "schema": json.loads(df.schema.json())}
+    body = {"format_version": FORMAT, "path": path, "base_name": base_name or path.rpartition("/")[2], "description": description, "created": datetime.now(timezone.utc).isoformat(), "parents": parents or [], "producer": producer or {}, "schema": json.loads(df.schema.json())}
     _write_text(df.sparkSession, f"{path}/body.json", json.dumps(body))
     return path
 
 
+def read_body(spark: SparkSession, path: str) -> dict:
+    """The body of a version. One of another format, and a version whose body isn't written yet, are errors."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/body.json")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(f"no version at {path}")
+    body = json.loads(spark.read.text(f"{path}/body.json", wholetext=True).first()[0])
+    if body.get("format_version", FORMAT) != FORMAT:
+        raise ValueError(f"a body of format {body['format_version']} at {path}")
+    return body
+
+
 def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a committed version."""
+    read_body(spark, path)
     return spark.read.parquet(f"{path}/rows")
 
 
