@@ -5,9 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: spreads of the seventeen keypoints of a person in the COCO tools
+PERSON_SIGMAS = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
+
 
 def polygon_area(flat: Column) -> Column:
     """Area of ``[x0, y0, x1, y1, ...]`` by the shoelace rule; fewer than three points have none."""
@@ -36,12 +41,16 @@ def oriented_corners(cx: Column, cy: Column, width: Column, height: Column, angl
 
 
 def keypoint_oks(predicted: Column, truth: Column, area: Column, sigmas: list[float] | None = None) -> Column:
-    """Mean similarity of keypoints ``struct<x, y, v>``; unlabelled points (v 0) are left out, null if none is labelled."""
+    """Mean similarity of keypoints ``struct<x, y, v>``; unlabelled points (v 0) are left out, null if none is labelled.
+
+    Without ``sigmas`` each keypoint's spread is one over their number, and of a person's seventeen one of its own.
+    """
+    person = F.array(*map(F.lit, PERSON_SIGMAS))
     spread = F.array(*[F.lit(float(s)) for s in sigmas]) if sigmas else None
 
     def one(i: Column) -> Column:
         p, t = F.element_at(predicted, i + 1), F.element_at(truth, i + 1)
-        sigma = F.element_at(spread, i + 1) if spread is not None else F.lit(0.05)
+        sigma = F.element_at(spread, i + 1) if spread is not None else F.when(F.size(truth) == len(PERSON_SIGMAS), F.try_element_at(person, i + 1)).otherwise(1 / F.size(truth))
         d2 = (p["x"] - t["x"]) * (p["x"] - t["x"]) + (p["y"] - t["y"]) * (p["y"] - t["y"])
         return F.when(t["v"] > 0, F.exp(-d2 / (2 * F.pow(2 * sigma, F.lit(2.0)) * F.greatest(area, F.lit(math.ulp(1.0))))))
 
@@ -52,6 +61,62 @@ def keypoint_oks(predicted: Column, truth: Column, area: Column, sigmas: list[fl
 POINTS = "array<struct<x:double,y:double>>"
 
 
+def smallest_rectangle(flat: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Corners ``[x0, y0, ...]`` of the smallest rectangle, turned any way, around the outline ``flat``; null without an area.
+
+    One side lies along an edge of the convex hull, so those are tried. With a picture's size the rectangle must lie in it: the
+    upright one counts too, and corners are brought into the picture from within rounding.
+    """
+
+    @F.pandas_udf("array<double>")
+    def fit(outlines: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        found = [None if o is None else _smallest(np.asarray(o, float), None if pd.isna(a) or pd.isna(b) else (float(a), float(b))) for o, a, b in zip(outlines, w, h)]
+        return pd.Series(found, dtype=object)
+
+    none = F.lit(None).cast("double")
+    return fit(flat, none if width is None else width.cast("double"), none if height is None else height.cast("double"))
+
+
+def _hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, from x to y, without points on its edges."""
+    points = np.unique(points, axis=0)
+    chains = []
+    for side in (points, points[::-1]):
+        chain: list[np.ndarray] = []
+        for p in side:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        chains += chain[:-1]
+    return np.array(chains).reshape(-1, 2)
+
+
+def _smallest(flat: np.ndarray, bounds: tuple[float, float] | None) -> list[float] | None:
+    if len(flat) < 6 or len(flat) % 2 or not np.isfinite(flat).all():
+        return None
+    hull = _hull(flat.reshape(-1, 2))
+    if len(hull) < 3:
+        return None
+    along = np.roll(hull, -1, axis=0) - hull
+    if bounds is not None:
+        if (hull < -1e-7).any() or (hull > np.asarray(bounds) + 1e-7).any():
+            return None
+        along = np.vstack((along, [1.0, 0.0]))
+    along = along / np.linalg.norm(along, axis=1, keepdims=True)
+    across = np.column_stack((-along[:, 1], along[:, 0]))
+    u, v = hull @ along.T, hull @ across.T  # of each corner along and across each edge
+    sides = np.stack((u.min(axis=0), u.max(axis=0), v.min(axis=0), v.max(axis=0)))
+    area = (sides[1] - sides[0]) * (sides[3] - sides[2])
+    for i in np.argsort(area, kind="stable"):
+        a, b, c, d = sides[:, i]
+        corners = np.array([x * along[i] + y * across[i] for x, y in ((a, c), (b, c), (b, d), (a, d))])
+        if bounds is None:
+            return corners.ravel().tolist()
+        if (corners >= -1e-7).all() and (corners <= np.asarray(bounds) + 1e-7).all():
+            return np.clip(corners, 0, bounds).ravel().tolist()
+    return None
+
+
 def points_of(flat: Column) -> Column:
     """``[x0, y0, x1, y1, ...]`` as an array of points."""
     n = F.floor(F.size(flat) / 2).cast("int")
@@ -80,6 +145,16 @@ def clip_to_frame(df: DataFrame, points: str, width: Column, height: Column) ->
     return df
 
 
+def clipped(points: Column, width: Column, height: Column) -> Column:
+    """A polygon cut to its picture, as one expression for use inside arrays; what lies outside becomes empty."""
+    sides: list[Callable[[Column], Column]] = [lambda p: p["x"], lambda p: width - p["x"], lambda p: p["y"], lambda p: height - p["y"]]
+    # each cut in a lambda of its own, so that the polygon before it is worked out once
+    cut_by = lambda distance: lambda whole: _cut(whole, distance)
+    for distance in sides:
+        points = F.transform(F.array(points), cut_by(distance))[0]
+    return points
+
+
 def area_of(points: Column) -> Column:
     """Signed area of a polygon: positive where points run from x to y."""
     ahead = F.concat(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), F.slice(points, 1, 1))

@@ -76,6 +76,53 @@ def matches(df: DataFrame, truth: str = "truth", predicted: str = "predicted", t
     return m.select(*keys, F.inline(F.concat(hits, missed)))
 
 
+def accepted(df: DataFrame, truth: str, predicted: str, *, replace_overlap: float = 0.5, name: str = "accepted") -> DataFrame:
+    """``df`` with the labels as they are once predictions are accepted, one after the other.
+
+    A prediction takes the place of the label it overlaps most, by ``replace_overlap`` or more and of any class (ties to the later
+    one), unless a prediction did before; else it is added behind. Other fields of a label stay; an added one has none. A null
+    array is empty.
+    """
+    kind = df.schema[truth].dataType
+    fields = kind.elementType.fieldNames()
+    types = {f.name: f.dataType for f in kind.elementType}
+    shape = ("x0", "y0", "x1", "y1", "label")
+    start = F.transform(F.coalesce(F.col(truth), F.array().cast(kind)), lambda t: F.struct(t.alias("o"), F.lit(False).alias("done")))
+
+    def fresh(p: Column, old: Column | None) -> Column:
+        return F.struct(*[(p[f].cast(types[f]) if f in shape else old[f] if old is not None else F.lit(None).cast(types[f])).alias(f) for f in fields])
+
+    def take(state: Column, p: Column) -> Column:
+        told = F.transform(state, lambda s, i: F.struct(F.when(~s["done"], iou(s["o"], p)).alias("u"), i.alias("i")))
+        best = F.array_max(F.filter(told, lambda x: x["u"] >= replace_overlap))["i"]
+        replaced = F.transform(state, lambda s, i: F.when(i == best, F.struct(fresh(p, s["o"]).alias("o"), F.lit(True).alias("done"))).otherwise(s))
+        return F.when(best.isNull(), F.concat(state, F.array(F.struct(fresh(p, None).alias("o"), F.lit(False).alias("done"))))).otherwise(replaced)
+
+    own = F.coalesce(F.col(predicted), F.array().cast(df.schema[predicted].dataType))
+    return df.withColumn(name, F.transform(F.aggregate(own, start, take), lambda s: s["o"]))
+
+
+def object_metrics(objects: Column, width: Column, height: Column, *, small_area: float = 1024, border: float = 1) -> Column:
+    """``objects, small, border, max_iou, fault``: objects of a picture without crowds, those of less than ``small_area``, those within
+    ``border`` of the picture's edge, and the largest overlap of two. A picture without a size, and one with an empty box or one
+    with a number that isn't finite, has a ``fault`` and no counts. A null array has no objects.
+    """
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    own = F.filter(F.coalesce(objects, F.array()), lambda o: ~F.coalesce(o["iscrowd"].cast("boolean"), F.lit(False)))
+    wrong = F.exists(own, lambda o: bad(o["x0"]) | bad(o["y0"]) | bad(o["x1"]) | bad(o["y1"]) | (o["x1"] <= o["x0"]) | (o["y1"] <= o["y0"]))
+    fault = F.when(~F.coalesce((width > 0) & (height > 0), F.lit(False)), "no size").when(wrong, "empty or unreal box")
+    pairs = F.flatten(F.transform(own, lambda a, i: F.transform(F.slice(own, i + 2, F.greatest(F.size(own), F.lit(1))), lambda b: iou(a, b))))
+    at_edge = lambda o: (o["x0"] <= border) | (o["y0"] <= border) | (o["x1"] >= width - border) | (o["y1"] >= height - border)
+    count = lambda when: F.when(fault.isNull(), F.size(F.filter(own, when)).cast("long"))
+    return F.struct(
+        count(lambda o: F.lit(True)).alias("objects"),
+        count(lambda o: area(o) < small_area).alias("small"),
+        count(at_edge).alias("border"),
+        F.when(fault.isNull(), F.coalesce(F.array_max(pairs), F.lit(0.0))).alias("max_iou"),
+        fault.alias("fault"),
+    )
+
+
 def confusion(matched: DataFrame) -> DataFrame:
     """Counts by (true label, predicted label); null on one side is missed or background."""
     return matched.groupBy(F.col("truth_label"), F.col("label").alias("predicted_label")).agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from sampleworks.functions.values import is_finite
 
 
 def _uniform(seed: int, *keys: str | Column) -> Column:
+    """A number between 0 and 1 that seed and keys decide."""
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
 
 

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.functions import masks
+from sampleworks.functions.geometry import PERSON_SIGMAS
 from sampleworks.functions.values import ratio
 from sampleworks.operators.ranges import staged
 
-# fixed values: spreads of the seventeen keypoints of a person in the COCO tools
-PERSON_SIGMAS = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
 TILE = 512  # predictions that are held against all labels of a picture at once
 
 

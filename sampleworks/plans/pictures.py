@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampleworks.functions import geometry, masks
-from sampleworks.operators import similarity
-from sampleworks.plans.detection import images
+from sampleworks.operators import augmenting, matching, similarity
+from sampleworks.plans.detection import _ROWS, images
 from sampleworks.plans.evaluation import match_sql
 from sampleworks.plans.register import query, table
 
@@ -90,3 +90,60 @@ def oriented_counts(spark, sf_dir):
     """Matches of rectangles as oriented boxes."""
     shape = lambda b: F.array(b["x0"], b["y0"], b["x1"], b["y0"], b["x1"], b["y1"], b["x0"], b["y1"]).alias("corners")
     return similarity.task_counts(_shapes(spark, sf_dir, shape), "obb", ["image"]).select("image", "tp", "fp", "fn")
+
+
+_FIRST = f"""r AS (SELECT * FROM {_ROWS}), p AS (SELECT image, plabel, x0 + s AS x0, y0 + s AS y0, x1 + s AS x1, y1 + s AS y1 FROM r WHERE i = 1),
+    u AS (SELECT r.image, r.i, w * h / ((r.x1 - r.x0) * (r.y1 - r.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) - w * h) AS u FROM (SELECT r.*, greatest(least(r.x1, p.x1) - greatest(r.x0, p.x0), 0) AS w, greatest(least(r.y1, p.y1) - greatest(r.y0, p.y0), 0) AS h FROM r JOIN p ON r.image = p.image) r JOIN p ON r.image = p.image),
+    b AS (SELECT image, arg_max(i, u * 1e6 + i) AS best FROM u WHERE u >= 0.5 GROUP BY 1)"""
+
+
+@query(
+    "accepted_predictions",
+    f"""WITH {_FIRST}, l AS (SELECT r.image, CASE WHEN r.i = best THEN p.plabel ELSE r.label END AS label FROM r JOIN p ON p.image = r.image LEFT JOIN b ON b.image = r.image UNION ALL SELECT p.image, p.plabel FROM p LEFT JOIN b ON b.image = p.image WHERE best IS NULL)
+        SELECT image, count(*) AS objects, list_sort(list(label))::varchar AS labels FROM l GROUP BY 1""",
+)
+def accepted_predictions(spark, sf_dir):
+    """The first prediction of each picture accepted into its labels."""
+    found = matching.accepted(images(spark, sf_dir).withColumn("predicted", F.slice("predicted", 1, 1)), "truth", "predicted")
+    return found.select("image", F.size("accepted").cast("long").alias("objects"), F.array_sort(F.transform("accepted", lambda o: o["label"])).cast("string").alias("labels"))
+
+
+@query(
+    "object_metrics",
+    f"""WITH r AS (SELECT * FROM {_ROWS} WHERE label <> 4), m AS (SELECT a.image, max(w * h / ((a.x1 - a.x0) * (a.y1 - a.y0) + ob - w * h)) AS most FROM (SELECT a.*, (b.x1 - b.x0) * (b.y1 - b.y0) AS ob, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) AS w, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS h
+        FROM r a JOIN r b ON a.image = b.image AND a.i < b.i) a GROUP BY 1), i AS (SELECT DISTINCT l_orderkey AS image FROM lineitem)
+        SELECT i.image, count(r.i) AS objects, count(*) FILTER ((x1 - x0) * (y1 - y0) < 1024) AS small, count(*) FILTER (x0 <= 1 OR y0 <= 1 OR x1 >= 119 OR y1 >= 119) AS border, round(coalesce(any_value(most), 0), 6) AS max_iou, NULL::varchar AS fault
+        FROM i LEFT JOIN r ON r.image = i.image LEFT JOIN m ON m.image = i.image GROUP BY 1""",
+)
+def object_metrics(spark, sf_dir):
+    shown = F.transform("truth", lambda t: F.struct(t["x0"].alias("x0"), t["y0"].alias("y0"), t["x1"].alias("x1"), t["y1"].alias("y1"), (t["label"] == 4).alias("iscrowd")))
+    found = images(spark, sf_dir).select("image", matching.object_metrics(shown, F.lit(120), F.lit(120)).alias("m")).select("image", "m.*")
+    return found.withColumn("max_iou", F.round("max_iou", 6))
+
+
+@query("smallest_rectangles", "SELECT p_partkey, round((p_size + 1.0) * (p_partkey % 9 + 2), 4) AS area, true AS holds FROM part")
+def smallest_rectangles(spark, sf_dir):
+    """Rectangles turned by any angle, with the middle of each side as a corner more, are their own smallest ones."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    around = geometry.oriented_corners(k.cast("double"), s.cast("double"), s + 1.0, (k % 9 + 2).cast("double"), 0.3 * (k % 21).cast("double"))
+    at = lambda i: F.element_at("around", (i % 8) + 1)
+    outline = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(at(2 * i), at(2 * i + 1), (at(2 * i) + at(2 * i + 2)) / 2, (at(2 * i + 1) + at(2 * i + 3)) / 2)))
+    found = table(spark, sf_dir, "part").select("p_partkey", around.alias("around")).withColumn("outline", outline).withColumn("fit", geometry.smallest_rectangle(F.col("outline")))
+    bounds = lambda c: geometry.polygon_bounds(F.col(c))
+    same = F.abs(bounds("fit")["x0"] - bounds("around")["x0"]) < 1e-6
+    return found.select("p_partkey", F.round(geometry.polygon_area(F.col("fit")), 4).alias("area"), same.alias("holds"))
+
+
+@query(
+    "augmented_boxes",
+    f"""SELECT image, 3 * count(*) AS boxes, round(3 * sum((x1 - x0) * (y1 - y0)), 2) AS area, 3 AS copies, true AS inside, true AS sized FROM {_ROWS} GROUP BY 1""",
+)
+def augmented_boxes(spark, sf_dir):
+    """Copies that are flipped and turned: every box stays, with its area, inside the picture."""
+    found = images(spark, sf_dir).select("image", F.col("image").alias("_row"), F.lit(240).alias("width"), F.lit(200).alias("height"), F.col("truth").alias("objects"))
+    recipe = {"flip": {"horizontal": True, "vertical": True}, "rotate90": {"clockwise": True, "counterclockwise": True, "upside_down": True}}
+    made = augmenting.augmented(found, recipe, 3, seed=11)
+    total = F.aggregate("objects", F.lit(0.0), lambda s, o: s + (o["x1"] - o["x0"]) * (o["y1"] - o["y0"]))
+    inside = ~F.exists("objects", lambda o: (o["x0"] < 0) | (o["y0"] < 0) | (o["x1"] > F.col("width")) | (o["y1"] > F.col("height")))
+    sized = F.greatest("width", "height") == 240
+    return made.groupBy("image").agg(F.sum(F.size("objects")).alias("boxes"), F.round(F.sum(total), 2).alias("area"), F.count("*").cast("int").alias("copies"), F.min(inside).alias("inside"), F.min(sized & (F.least("width", "height") == 200)).alias("sized"))
