@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,7 +210,7 @@ def _members(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, fields: str) -> DataFrame:
-    """Rows of ``wanted`` (id, uses: array of structs) unfolded, each with the n-grams of its document.
+    """Rows of ``wanted`` (id, uses: array of structs with a ``node``) unfolded, each with the n-grams of its document.
 
     ``wanted`` is broadcast if its counted uses are few enough, else both sides are shuffled.
     """
@@ -223,6 +224,8 @@ def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_co
             column = batch.column(1)
             for i, grams in _sets(batch, size, 0):
                 rows = column.slice(i, 1).flatten()
+                # of several texts with one id each has the uses of its own class
+                rows = rows.filter(pc.equal(rows.field("node"), class_of(grams)))
                 blob = pa.array([grams.tobytes()], pa.binary())
                 for at in range(0, len(rows), 64):
                     part = rows.slice(at, 64)

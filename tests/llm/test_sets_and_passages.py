@@ -255,3 +255,24 @@ def test_query_rows_with_one_id_keep_their_own_results(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     found = topk_search.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=32, query_rows=3)
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("direct", [1024, 2])
+def test_one_id_on_unlike_texts_links_each_text_for_itself(spark, monkeypatch, direct):
+    """Rows of one id whose texts differ keep the n-grams of their own text, whichever way a family goes."""
+    monkeypatch.setattr(ngram_jaccard, "DIRECT", direct)
+    draw = random.Random(23)
+    base = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(40)) for _ in range(60)) for _ in range(4)]
+    near = lambda k, n: base[k] + " " + " ".join(f"x{n}{i}" for i in range(2))
+    rows = [(1, base[0]), (2, base[0] + " tail"), (2, base[1]), (3, near(1, 3)), (4, base[2]), (4, base[3]), (4, base[3]), (5, near(3, 5)), (6, near(2, 6)), (7, near(3, 7)), (8, near(1, 8))]
+    grams = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
+    component = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if 100 * len(grams[i] & grams[j]) >= 90 * len(grams[i] | grams[j]):
+                    component[i] = component[j] = min(component[i], component[j])
+    least = {c: min(rows[i][0] for i in range(len(rows)) if component[i] == c) for c in component}
+    expected = sorted((i, len(grams[n]), least[component[n]]) for n, (i, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_jaccard.join_components(df, size=3, percent=90).collect())) == expected
