@@ -115,6 +115,7 @@ def category_merge(categories: DataFrame) -> DataFrame:
     return categories.select("id", F.max_by("id", F.struct("boxes", -F.col("id"))).over(same).alias("merged"))
 
 
+KNOWN_CATEGORIES = 100_000  # category rows up to which they are sent to every task
 # fixed values: category names that mark regions to ignore, and those that gather what fits no class
 IGNORE_NAMES = r"(?i)^(ignored?[ _-]*(regions?|areas?)?|dont[ _-]*care|don't[ _-]*care|void|crowd)$"
 CATCH_ALL_NAMES = r"(?i)^(others?|misc(ellaneous)?|unknown|background)$"
@@ -204,48 +205,82 @@ def preflight(images: DataFrame, annotations: DataFrame, categories: DataFrame)
     box = [F.col(c) for c in "xywh"]
     bad_number = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     invalid = bad_number(box[0]) | bad_number(box[1]) | bad_number(box[2]) | bad_number(box[3]) | (box[2] < 0) | (box[3] < 0)
-    first = images.withColumn("__n", F.row_number().over(Window.partitionBy("split", "id").orderBy("seq")))
-    known = first.filter("__n = 1 AND id IS NOT NULL").select("split", F.col("id").alias("image_id"), "width", "height")
-    folded = F.lower(F.trim("name"))
-    used = annotations.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("boxes"))
-    distinct = categories.groupBy("id").agg(F.min("name").alias("name"), F.count_distinct("name").alias("names"))
-    both = distinct.join(used, "id", "left").fillna(0, ["boxes"])
-    per_image = annotations.groupBy("split", "image_id").agg(F.count("*").alias("boxes"))
-    repeated = annotations.groupBy("split", "id").agg((F.count("*") - 1).alias("more"))
-    source = images.filter("file_name IS NOT NULL").select("split", source_key(F.col("file_name")).alias("source"))
-
-    def finding(code: str, severity: str, rows: DataFrame, n: Column = F.count("*"), split: str | None = "split") -> DataFrame:
-        group = F.col(split) if split else F.lit("all")
-        return rows.groupBy(group.alias("split")).agg(n.alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "split", "n")
-
-    # what is asked of single annotations, in one pass
-    placed = annotations.join(known.withColumn("has_image", F.lit(True)), ["split", "image_id"], "left").join(distinct.select(F.col("id").alias("category_id"), F.lit(True).alias("has_category")), "category_id", "left")
-    outside = (box[0] < -1) | (box[1] < -1) | (box[0] + box[2] > F.col("width") + 1) | (box[1] + box[3] > F.col("height") + 1)
-    asked = {
-        ("annotations.orphan", "block"): F.col("has_image").isNull(),
-        ("annotations.unknown_category", "block"): F.col("has_category").isNull(),
+    outside = (box[0] < -1) | (box[1] < -1) | (box[0] + box[2] > F.col("__size.width") + 1) | (box[1] + box[3] > F.col("__size.height") + 1)
+    named = categories.groupBy("id").agg(F.min("name").alias("name"), F.count_distinct("name").alias("names"))
+    known = named.select(F.col("id").alias("category_id"), F.lit(True).alias("__named"))
+    if categories.count() <= KNOWN_CATEGORIES:
+        known = F.broadcast(known)
+
+    # images and annotations meet by picture; what is counted of either stays on the same partitions
+    by_id = images.groupBy("split", F.col("id").alias("image_id")).agg(
+        F.min_by(F.struct("width", "height"), "seq").alias("__size"), F.count("*").alias("__times"), F.count_if(F.col("id").isNull() | F.col("file_name").isNull()).alias("__malformed")
+    )
+    boxes = annotations.select("split", "image_id", "category_id", *"xywh", F.lit(True).alias("__box")).join(known, "category_id", "left")
+    both = by_id.withColumn("__picture", F.lit(True)).join(boxes, ["split", "image_id"], "full_outer")
+    box_there, picture = F.col("__box").isNotNull(), F.col("__picture").isNotNull()
+    of_boxes = {
+        ("annotations.orphan", "block"): ~picture,
+        ("annotations.unknown_category", "block"): F.col("__named").isNull(),
         ("annotations.invalid_bbox", "block"): invalid,
         ("annotations.zero_area", "warn"): ~invalid & ((box[2] == 0) | (box[3] == 0)),
-        ("annotations.out_of_bounds", "warn"): F.col("has_image") & ~invalid & outside,
+        ("annotations.out_of_bounds", "warn"): picture & ~invalid & outside,
         ("annotations.tiny", "info"): ~invalid & (box[2] > 0) & (box[3] > 0) & (F.least(box[2], box[3]) < 8),
     }
-    codes = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for (code, severity), when in asked.items()]))
-    single = placed.select("split", F.explode(codes).alias("c")).groupBy("c", "split").agg(F.count("*").alias("n")).select("c.code", "c.severity", "split", "n")
-    parts = [
-        finding("images.malformed", "block", images.filter("id IS NULL OR file_name IS NULL")),
-        finding("images.duplicate_id", "block", first.filter("id IS NOT NULL AND __n > 1")),
-        finding("categories.conflict", "block", distinct.filter("names > 1"), split=None),
-        finding("categories.duplicate_name", "warn", both.groupBy(folded.alias("f")).agg(F.count("*").alias("k")).filter("k > 1"), split=None),
-        finding("categories.unused", "info", both.filter("boxes = 0"), split=None),
-        finding("categories.ignore_region", "warn", both.filter(folded.rlike(IGNORE_NAMES) & (F.col("boxes") > 0)), split=None),
-        finding("categories.catch_all", "info", both.filter(folded.rlike(CATCH_ALL_NAMES) & (F.col("boxes") > 0)), split=None),
-        finding("annotations.duplicate_id", "warn", repeated.filter("more > 0"), F.sum("more")),
-        finding("images.unannotated", "info", known.join(annotations, ["split", "image_id"], "left_anti")),
-        finding("images.crowded", "info", per_image.filter("boxes >= 300")),
-        finding("images.export_copies", "info", source.groupBy("split", "source").agg(F.count("*").alias("k")).filter("k > 1")),
-        finding("split.shared_source", "warn", source.groupBy("source").agg(F.count_distinct("split").alias("k")).filter("k > 1"), split=None),
-    ]
-    out = single
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    named_id = F.col("image_id").isNotNull()
+    per_picture = both.groupBy("split", "image_id").agg(
+        *[F.count_if(box_there & when).alias(code) for (code, _), when in of_boxes.items()], F.count("__box").alias("__boxes"), F.max("__times").alias("__times"), F.max("__malformed").alias("__malformed")
+    )
+    of_pictures = {
+        ("images.malformed", "block"): F.coalesce("__malformed", F.lit(0)),
+        ("images.duplicate_id", "block"): F.when(named_id, F.col("__times") - 1),
+        ("images.unannotated", "info"): F.when(named_id & F.col("__times").isNotNull() & (F.col("__boxes") == 0), 1),
+        ("images.crowded", "info"): F.when(F.col("__boxes") >= 300, 1),
+    }
+    sums = per_picture.groupBy("split").agg(*[F.sum(F.col(f"`{code}`")).alias(code) for code, _ in of_boxes], *[F.sum(value).alias(code) for (code, _), value in of_pictures.items()])
+    told = [F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("split"), F.coalesce(F.col(f"`{code}`"), F.lit(0)).cast("long").alias("n")) for code, severity in (*of_boxes, *of_pictures)]
+    single = sums.select(F.inline(F.array(*told)))
+
+    repeated = annotations.groupBy("split", "id").agg((F.count("*") - 1).alias("n")).filter("n > 0").groupBy("split").agg(F.sum("n").alias("n"))
+    repeated = repeated.select(F.lit("annotations.duplicate_id").alias("code"), F.lit("warn").alias("severity"), "split", "n")
+
+    # pictures by what they are copies of, each with the splits that hold it
+    source = images.filter("file_name IS NOT NULL").groupBy(source_key(F.col("file_name")).alias("source"), "split").agg(F.count("*").alias("k"))
+    held = source.groupBy("source").agg(F.collect_list(F.struct("split", "k")).alias("held"))  # as many as there are splits
+    copies = F.transform(F.filter("held", lambda h: h["k"] > 1), lambda h: F.struct(F.lit("images.export_copies").alias("code"), F.lit("info").alias("severity"), h["split"].alias("split")))
+    across = F.when(F.size(F.filter("held", lambda h: h["split"].isNotNull())) > 1, F.array(F.struct(F.lit("split.shared_source").alias("code"), F.lit("warn").alias("severity"), F.lit("all").alias("split"))))
+    shared = held.select(F.inline(F.concat(copies, F.coalesce(across, F.slice(copies, 1, 0))))).groupBy("code", "severity", "split").agg(F.count("*").alias("n"))
+
+    # categories, of which there are few
+    folded = F.lower(F.trim("name"))
+    used = annotations.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("boxes"))
+    counted = named.join(used, "id", "left").fillna(0, ["boxes"]).withColumn("__f", folded)
+    counted = counted.withColumn("__first", F.row_number().over(Window.partitionBy("__f").orderBy("id")))
+    judged = counted.agg(
+        F.count_if(F.col("names") > 1).alias("categories.conflict"),
+        F.count_if(F.col("__first") == 2).alias("categories.duplicate_name"),
+        F.count_if(F.col("boxes") == 0).alias("categories.unused"),
+        F.count_if(F.col("__f").rlike(IGNORE_NAMES) & (F.col("boxes") > 0)).alias("categories.ignore_region"),
+        F.count_if(F.col("__f").rlike(CATCH_ALL_NAMES) & (F.col("boxes") > 0)).alias("categories.catch_all"),
+    )
+    severity = {"categories.conflict": "block", "categories.duplicate_name": "warn", "categories.unused": "info", "categories.ignore_region": "warn", "categories.catch_all": "info"}
+    of_names = judged.select(F.inline(F.array(*[F.struct(F.lit(code).alias("code"), F.lit(s).alias("severity"), F.lit("all").alias("split"), F.col(f"`{code}`").alias("n")) for code, s in severity.items()])))
+    return single.unionByName(repeated).unionByName(shared).unionByName(of_names).filter("n > 0")
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """``code, severity, split, n``: annotation files (``split, text``) that aren't JSON objects with lists of images, annotations and categories."""
+    kinds = "images array<string>, annotations array<string>, categories array<string>"
+    read = F.from_json("text", kinds)
+    whole = read["images"].isNotNull() & read["annotations"].isNotNull() & read["categories"].isNotNull()
+    bad = documents.filter(~F.coalesce(whole, F.lit(False)))
+    return bad.groupBy("split").agg(F.count("*").alias("n")).select(F.lit("coco.unreadable").alias("code"), F.lit("block").alias("severity"), "split", "n")
+
+
+def preflight_report(images: DataFrame, annotations: DataFrame, categories: DataFrame, *, media: DataFrame | None = None, digests: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """All findings as ``code, severity, split, n``: of :func:`preflight`, of groups (:func:`group_findings`, whose counts of images take
+    the place of counts of sources), of the files that were looked at, and of documents that can't be read."""
+    grouped = group_findings(images, digests)
+    out = preflight(images, annotations, categories).filter(~F.col("code").isin("images.export_copies", "split.shared_source")).unionByName(grouped)
+    if media is not None:
+        out = out.unionByName(media_findings(images, media))
+    return out if documents is None else out.unionByName(unreadable(documents))
