@@ -110,7 +110,23 @@ def packets(df: DataFrame, *, id_col: str = "id", vector_col: str = "v", rows: i
 def packet_pairs(balls: DataFrame, *, ordered: bool = False) -> DataFrame:
     """``a, b``: packets with a row of ``a`` that may be within its ``reach`` (a cosine distance) of a row of ``b``; with
     ``ordered`` each pair once, itself included, else without a packet and itself. ``balls`` has ``packet, centre, radius, reach``."""
-    many = max(1, math.ceil(balls.count() / PACK))
+    n = balls.count()
+
+    def able(a: np.ndarray, x: np.ndarray, radius: np.ndarray, reach: np.ndarray, b: np.ndarray, y: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+        apart = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
+        least = np.maximum(apart - radius[:, None] - other - 1e-7, 0)
+        good = least**2 / 2 <= reach[:, None] + SLACK
+        good &= (a[:, None] <= b) if ordered else (a[:, None] != b)
+        i, j = np.nonzero(good)
+        return pd.DataFrame({"a": a[i], "b": b[j]})
+
+    stacked = lambda blobs: np.stack([np.frombuffer(c, np.float64) for c in blobs])
+    if n <= PACK:  # one pack of summaries: no need of a job for them
+        told = balls.select("packet", "centre", "radius", "reach").toPandas()
+        packet, radius, reach = (told[c].to_numpy() for c in ("packet", "radius", "reach"))
+        centre = stacked(told["centre"]) if n else np.zeros((0, 1))
+        return balls.sparkSession.createDataFrame(able(packet, centre, radius, reach, packet, centre, radius), "a long, b long")
+    many = math.ceil(n / PACK)
     pack = F.pmod(F.xxhash64("packet"), F.lit(many)).cast("int")
     packs = balls.groupBy(pack.alias("p")).agg(*[F.collect_list(c).alias(c) for c in ("packet", "centre", "radius", "reach")])
     packs = staged(packs, "packs")
@@ -120,14 +136,7 @@ def packet_pairs(balls: DataFrame, *, ordered: bool = False) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                a, b = np.asarray(r.a_packet), np.asarray(r.packet)
-                x, y = (np.stack([np.frombuffer(c, np.float64) for c in side]) for side in (r.a_centre, r.centre))
-                apart = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
-                least = np.maximum(apart - np.asarray(r.a_radius)[:, None] - np.asarray(r.radius) - 1e-7, 0)
-                able = least**2 / 2 <= np.asarray(r.a_reach)[:, None] + SLACK
-                able &= (a[:, None] <= b) if ordered else (a[:, None] != b)
-                i, j = np.nonzero(able)
-                yield pd.DataFrame({"a": a[i], "b": b[j]})
+                yield able(np.asarray(r.a_packet), stacked(r.a_centre), np.asarray(r.a_radius), np.asarray(r.a_reach), np.asarray(r.packet), stacked(r.centre), np.asarray(r.radius))
 
     columns = ["a_packet", "a_centre", "a_radius", "a_reach", "packet", "centre", "radius"]
     return staged(both.select(*columns).mapInPandas(run, "a long, b long"), "packet-pairs")

@@ -140,27 +140,27 @@ def per_class(scored: DataFrame, support: DataFrame, confidence: float) -> DataF
 def average_precision(scored: DataFrame, support: DataFrame, order: list[str]) -> DataFrame:
     """101-point interpolated precision of each label; NaN without truth, 0 without predictions.
 
-    The grid is numpy's ``linspace(0, 1, 101)``. ``order`` breaks ties of score. Counts along the scores and the envelope are worked
-    out over ranges of (label, score), so a class of any size uses all tasks.
+    The grid is numpy's ``linspace(0, 1, 101)``. ``order`` breaks ties of score. Counts along the scores are worked out over
+    ranges of (label, score), so a class of any size uses all tasks; the envelope is needed at the points of the grid only.
     """
     import numpy as np
 
-    columns = ["label", "support", "score", "hit", *[c for c in order if c not in ("label", "score")]]
-    placed = ranges.in_ranges(scored.join(F.broadcast(support), "label").select(*columns), ["label", F.desc("score"), *order], "precision")  # one row for each class
+    placed = ranges.in_ranges(scored.join(F.broadcast(support), "label"), ["label", F.desc("score"), *order], "precision", keep=["label", "support", "hit"])  # one row for each class
     ranked = ranges.along(placed, {"k": ("number", None), "tp": ("sum", F.col("hit").cast("int"))}, ["label"])
-    curve = ranges.staged(ranked.select("label", "k", "__range", "__place", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision")), "curve")
-    curve = ranges.along(curve, {"envelope": ("max_after", F.col("precision")), "before": ("previous", F.col("recall"))}, ["label"])
-    # the grid points that a row is the first to reach lie between the recall before it and its own
+    curve = ranked.select("label", (F.col("tp") / F.col("support")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     grid = F.array(*[F.lit(float(g)) for g in np.linspace(0, 1, 101)])
 
     def passed(recall):
         """How many grid points are not above a recall: those below its hundredth, and the two that rounding decides."""
         k = F.floor(recall * 100).cast("int")
         at = lambda i: F.coalesce((F.try_element_at(grid, i) <= recall).cast("int"), F.lit(0))
-        return F.when(recall < 0, 0).otherwise(k + at(k + 1) + at(k + 2))
+        return k + at(k + 1) + at(k + 2)
 
-    reached = curve.withColumn("before", F.coalesce("before", F.lit(-1.0))).withColumn("points", passed(F.col("recall")) - passed(F.col("before")))
-    total = reached.groupBy("label").agg((F.sum(F.col("points") * F.col("envelope")) / 101).alias("ap"))
+    # the best precision of the rows that pass as many points, then of those that pass as many or more: the envelope at each point
+    best = curve.groupBy("label", passed(F.col("recall")).alias("points")).agg(F.max("precision").alias("precision"))  # 102 rows a class at most
+    back = Window.partitionBy("label").orderBy(F.desc("points"))
+    steps = best.select("label", (F.col("points") - F.coalesce(F.lead("points").over(back), F.lit(0))).alias("points"), F.max("precision").over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("envelope"))
+    total = steps.groupBy("label").agg((F.sum(F.col("points") * F.col("envelope")) / 101).alias("ap"))
     return support.join(total, "label", "left").select("label", F.when(F.col("support") == 0, F.lit(float("nan"))).otherwise(F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 

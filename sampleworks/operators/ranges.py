@@ -14,6 +14,7 @@ import math
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +34,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_ranges(df: DataFrame, order: Sequence[str | Column], label: str = "ranges") -> DataFrame:
-    """Rows in ranges of an order: ``__range`` ascends with it, ``__place`` counts from 0 inside. Nulls come first.
+def df_of(rows: pa.Table, like: DataFrame) -> DataFrame:
+    """A few collected rows as a frame of the same schema."""
+    return like.sparkSession.createDataFrame(rows, like.schema)
+
+
+def in_ranges(df: DataFrame, order: Sequence[str | Column], label: str = "ranges", keep: Sequence[str] | None = None) -> DataFrame:
+    """Rows in ranges of an order: ``__range`` ascends with it, ``__place`` counts from 0 inside. Nulls come first. Of the columns
+    those to ``keep`` are written, or all.
 
     Rows that are equal in all of ``order`` fall in one range, so its last column should tell rows apart.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = staged(ordered.withColumn("__at", F.monotonically_increasing_id()), label)
+    placed = staged(ordered.select(*(df.columns if keep is None else keep), F.monotonically_increasing_id().alias("__at")), label)
     return placed.withColumn("__range", F.shiftright("__at", PLACES)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << PLACES) - 1))).drop("__at")
 
 
@@ -90,9 +97,10 @@ def along(placed: DataFrame, columns: dict[str, tuple[str, Column | None]], grou
             carried.append(F.lead(t).over(over))
             inside.append(F.when(F.row_number().over(ahead) == 1, c).otherwise(F.lead(x).over(here)).alias(name))
     cells = of.groupBy("__range", *group).agg(*totals)
-    cells = staged(cells.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[c.alias(f"__c{i}") for i, c in enumerate(carried)]), "carried")
-    if cells.count() <= CELLS:
-        cells = F.broadcast(cells)
+    cells = cells.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *[c.alias(f"__c{i}") for i, c in enumerate(carried)])
+    few = cells.limit(CELLS + 1).toArrow()
+    if few.num_rows <= CELLS:
+        cells = F.broadcast(df_of(few, cells))
     same = F.col("__range") == F.col("__r")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))

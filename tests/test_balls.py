@@ -29,8 +29,14 @@ def _distances(rows):
     return 1 - x @ x.T
 
 
+@pytest.fixture(params=[512, 3])
+def pack(request, monkeypatch):
+    """Summaries of packets in one pack, and in several that meet in tasks."""
+    monkeypatch.setattr(balls, "PACK", request.param)
+
+
 @pytest.mark.parametrize("packet", [16, 4096])
-def test_nearest_rows_are_those_of_all_pairs(spark, packet):
+def test_nearest_rows_are_those_of_all_pairs(spark, pack, packet):
     rows = _vectors(300, 12)
     dist = _distances(rows)
     found: dict = {}
@@ -49,7 +55,7 @@ def test_nearest_rows_are_those_of_all_pairs(spark, packet):
 
 @pytest.mark.parametrize("packet", [16, 4096])
 @pytest.mark.parametrize("limit", [0.0005, 0.3, 1.0])
-def test_pairs_within_a_limit_are_those_of_all_pairs(spark, packet, limit):
+def test_pairs_within_a_limit_are_those_of_all_pairs(spark, pack, packet, limit):
     rows = _vectors(200, 9, seed=3)
     found = {(r.a, r.b) for r in balls.within(_frame(spark, rows), limit, rows=packet).collect()}
     dist = _distances(rows)
