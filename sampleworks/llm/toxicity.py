@@ -12,9 +12,11 @@ toxic texts hold the word or pair, in powers of two), which no length dilutes. A
 probability.
 
 Labels come only from rows whose crc32(id as text) mod 5 isn't 0. Remainders 1 to 3 fit the language models,
-remainder 4 fits the logistic function on texts that the models haven't seen. Either fit uses the labelled texts
-with the smallest hashes of their ids, ``FIT_DOCUMENTS`` of each class and ``FIT_BYTES`` at most, so the models are of bounded size;
-every document is scored, over its whole text. Equal texts count once and a pair counts once for each text. Words and
+remainder 4 fits the logistic function on texts that the models haven't seen. Either fit uses every labelled text, whole, and
+every document is scored, over its whole text. The models are of bounded size all the same, as their words are
+hashed: a word is one of ``WORDS`` numbers, the word before one of ``HEADS``, and the counts of a pair of these stand in one of
+``SLOTS`` places. What falls together is counted together, nothing is left out. How many different pairs a word or a word before
+has is counted over the pairs of numbers, before they share places. Equal texts count once and a pair counts once for each text. Words and
 pairs are discounted by D1, D2 and D3+ of modified Kneser-Ney smoothing, from the counts of counts of their class,
 so what is discounted doesn't grow with the sample; how far each level of support is to be believed, chance words
 among them, is left to the logistic fit.
@@ -36,15 +38,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleworks.llm._shared import packed, unpacked
+from sampleworks.llm._shared import discard, packed, unpacked, written
 from sampleworks.llm._words import LOWER, blocks, mix, word_hashes
 
-FIT_DOCUMENTS = {1: 4_000, 0: 12_000}  # of toxic and of ordinary texts; below 2 ** 16
-FIT_BYTES = {1: 64 << 20, 0: 192 << 20}  # of their texts, in the same order, so that very long texts don't make large models
+FIT_DOCUMENTS = {1: 4_000, 0: 12_000}  # of toxic and of ordinary texts that _fit_rows gives, which no fit uses
+FIT_BYTES = {1: 64 << 20, 0: 192 << 20}  # of their texts, in the same order
+WORDS, HEADS, SLOTS = 1 << 22, 1 << 19, 1 << 24  # numbers of words, of words before, and places of pairs
+RANGES = 16  # groups in which the counts of words, words before and places are added up
+LABEL_ROWS = 1_000_000  # labels are broadcast up to so many, and shuffled beyond
 LEVELS = 8  # of support: 0 or 1, 2 and 3, 4 to 7 ... 128 and more
 ALPHA = 0.5
-FIT_PARTS = 256  # groups of words in which pairs are counted, at least
-PART_BYTES = 1 << 25  # of text for each group of words in which the pairs of all documents are counted
+FIT_PARTS = 256  # groups in which pairs are counted, at least
+PART_BYTES = 1 << 25  # of text for each group in which the pairs of all documents are counted
 FREQUENT = 2_000  # a word with one in so many of the contexts of the fitted texts is dealt by word and neighbour
 HELD_KEYS = 1 << 22  # distinct pairs that a task folds before it sends them
 SEPARATORS = np.ones(256, bool)
@@ -64,26 +69,29 @@ def _pairs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, last, np.repeat(np.arange(last - first), np.diff(counts)), before, hashes
 
 
-def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted value in sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _word(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(42)).astype(np.int64)
+
+
+def _head(before: np.ndarray) -> np.ndarray:
+    """The number of a word before, by other bits than a word's own; ``HEADS`` for none."""
+    return np.where(before == 0, HEADS, before & np.uint64(HEADS - 1)).astype(np.int64)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """The place of the counts of a pair: word << 32 | word before."""
+    return (mix(keys) >> np.uint64(40)).astype(np.int64)
 
 
 @dataclass
 class Models:
-    """Sorted hashes of words, and pairs of their places, with what gives log-probabilities under either class."""
+    """What gives log-probabilities under either class, by the numbers of words and the places of pairs."""
 
-    words: np.ndarray
     word_p: np.ndarray  # words x 2
-    word_level: np.ndarray  # level of support of each word
-    unseen: np.ndarray  # 2
-    head_back: np.ndarray  # words x 2: mass left to the word model after a word
-    head_sum: np.ndarray  # words x 2: pairs that begin with a word
-    pairs: np.ndarray  # place of the word << 32 | place of the word before
-    pair_kind: np.ndarray  # row of kinds
+    word_level: np.ndarray  # level of support of each word; -1 for one that no fitted text holds
+    head_back: np.ndarray  # words before x 2: mass left to the word model after a word
+    head_sum: np.ndarray  # words before x 2: pairs that begin with a word
+    pair_kind: np.ndarray  # row of kinds for each place
     kinds: np.ndarray  # the distinct counts x 2: texts of either class with a pair
     of_pairs: np.ndarray  # 2 x discounts
 
@@ -95,20 +103,15 @@ class Models:
 
     def probabilities(self, before: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """p(word) and p(word | word before), each x 2, with the support of word and pair in toxic texts; 0 before a first word."""
-        i, known = found_in(self.words, hashes)
-        h, has_head = found_in(self.words, before)
-        has_head &= before != 0
-        if not len(self.words):
-            alone = np.broadcast_to(self.unseen, (len(hashes), 2))
-            return alone, alone, np.zeros(len(hashes), np.int8), np.zeros(len(hashes), np.int64)
-        alone = np.where(known[:, None], self.word_p[i].astype(float), self.unseen)
-        j, has_pair = found_in(self.pairs, i.astype(np.uint64) << np.uint64(32) | h.astype(np.uint64))
-        has_pair &= known & has_head
-        c = np.where(has_pair[:, None], self.kinds[self.pair_kind[j]], 0) if len(self.pairs) else np.zeros((len(hashes), 2), np.int64)
+        word, head = _word(hashes), _head(before)
+        alone, levels = self.word_p[word].astype(float), self.word_level[word]
+        sums = self.head_sum[head]
+        c = self.kinds[self.pair_kind[_slot(word.astype(np.uint64) << np.uint64(32) | head.astype(np.uint64))]]
+        # no pair is in more texts than all pairs of its word before, and an unknown word has none
+        c = np.where((levels >= 0)[:, None], np.minimum(c, sums), 0)
         kept = np.stack([c[:, k] - self.of_pairs[k][np.minimum(c[:, k], 3)] for k in (0, 1)], axis=1)
-        back = np.where(has_head[:, None], self.head_back[h].astype(float), 1.0)
-        paired = kept / np.maximum(self.head_sum[h], 1) + back * alone
-        return alone, paired, np.where(known, self.word_level[i], 0), level(c[:, 0])
+        paired = kept / np.maximum(sums, 1) + self.head_back[head] * alone
+        return alone, paired, np.maximum(levels, 0), level(c[:, 0])
 
     def evidence(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """log p(word | toxic) - log p(word | ordinary) for each word, alone and after its neighbour, with the levels of support of either; ``starts`` marks first words of texts."""
@@ -147,7 +150,7 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
 
 
 def _fit_rows(df: DataFrame, labels: DataFrame, keep: Column, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels of a bounded sample of labelled rows: the smallest hashes of ids in each class."""
+    """Texts and labels of a bounded sample of labelled rows, for trials by hand: the smallest hashes of ids in each class. No fit uses it."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1)).filter(keep)
     parts = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCUMENTS[c]) for c in (0, 1)]
     chosen = parts[0].union(parts[1])
@@ -157,6 +160,14 @@ def _fit_rows(df: DataFrame, labels: DataFrame, keep: Column, id_col: str, text_
     return found.withColumn("upto", upto).filter(F.col("upto") <= within).select("text", "toxic")
 
 
+def _labelled(df: DataFrame, labels: DataFrame, keep: Column, id_col: str, text_col: str) -> DataFrame:
+    """Text and label of every labelled row."""
+    known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1)).filter(keep)
+    if known.count() <= LABEL_ROWS:
+        known = F.broadcast(known)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "toxic")
+
+
 def _times(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -178,81 +189,111 @@ def _parted(keys: np.ndarray, parts: int, frequent: np.ndarray | None = None) ->
 def language_models(df: DataFrame, rows: DataFrame, text_col: str = "text") -> Models | None:
     """The two models of ``rows`` (``text``, ``toxic``) with the backoff counts of all ``df``; None where a class has no pair."""
     context = df.sparkSession.sparkContext
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    many = max(FIT_PARTS, size // PART_BYTES)
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, _, hashes in _pairs(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], names=["w"])
-
-    # as many words as the fitted texts hold, whose number is bounded
-    words = np.sort(rows.mapInArrow(vocabulary, "w long").distinct().toArrow().column("w").to_numpy().view(np.uint64))
-    known = context.broadcast(words)
+    def flush(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for c, found in held.items():
+            keys, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            part = _slot(keys) * many // SLOTS
+            order = np.argsort(part, kind="stable")
+            there, at = np.unique(part[order], return_index=True)
+            split = lambda values: [packed(v) for v in np.split(values[order], at[1:])] if len(there) else []
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([c] * len(there), pa.int32()), pa.array(split(keys), pa.binary()), pa.array(split(times.astype("<u4")), pa.binary())], names=["part", "toxic", "keys", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {1: [], 0: []}
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             for first, last, text, before, hashes in _pairs(batch.column(0)):
-                # a pair once for each text; the place of no word before a first one lies beyond all words
-                place = np.searchsorted(known.value, hashes).astype(np.uint64)
-                ahead = np.where(before == 0, len(known.value), np.searchsorted(known.value, before)).astype(np.uint64)
-                keys = place << np.uint64(32) | ahead
-                once = np.unique(np.stack((text.astype(np.uint64), keys), axis=1), axis=0, return_index=True)[1] if len(keys) else slice(0)
-                label = toxic[first:last][text][once]
-                for c in (1, 0):
-                    own = np.sort(keys[once][label == c])
-                    parted = _parted(own, FIT_PARTS)
-                    yield pa.RecordBatch.from_arrays([*parted.columns, pa.array([c] * parted.num_rows, pa.int32())], names=["part", "keys", "toxic"])
+                # a pair once for each text: the text of the block, 22 bits of the word and 20 of the one before
+                once = np.unique(text.astype(np.uint64) << np.uint64(42) | _word(hashes).astype(np.uint64) << np.uint64(20) | _head(before).astype(np.uint64))
+                label = toxic[first:last][(once >> np.uint64(42)).astype(np.int64)]
+                keys = (once >> np.uint64(20) & np.uint64(WORDS - 1)) << np.uint64(32) | once & np.uint64((1 << 20) - 1)
+                for c in held:
+                    held[c].append(keys[label == c])
+            if sum(len(k) for found in held.values() for k in found) > HELD_KEYS:
+                yield from flush(held)
+        yield from flush(held)
+
+    def ranged(kind: int, at: np.ndarray, values: np.ndarray, top: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """Sums of ``values`` for each number of ``at`` below ``top``, by range of numbers."""
+        order = np.argsort(at, kind="stable")
+        own, begin = np.unique(at[order], return_index=True)
+        sums = np.add.reduceat(values[order], begin, axis=0) if len(own) else values
+        where, first = np.unique(own * RANGES // top, return_index=True)
+        for r, low, high in zip(where.tolist(), first.tolist(), [*first[1:].tolist(), len(own)]):
+            yield kind, r, packed(own[low:high].astype("<u4")), packed(sums[low:high].astype("<u8").reshape(-1))
 
     def merge(_: tuple, table: pa.Table) -> pa.Table:
         toxic = table.column("toxic").to_numpy()
         keys = [unpacked(k.as_buffer()) for k in table.column("keys")]
+        n = np.concatenate([unpacked(k.as_buffer(), "<u4") for k in table.column("n")])
         merged, of = np.unique(np.concatenate(keys), return_inverse=True)
         label = np.repeat(toxic, [len(k) for k in keys])
-        c = np.stack([np.bincount(of[label == k], minlength=len(merged)) for k in (1, 0)], axis=1)
-        return pa.table({"keys": pa.array([packed(merged)], pa.binary()), "c": pa.array([packed(c.astype("<u4").reshape(-1))], pa.binary())})
+        c = np.stack([np.bincount(of[label == k], n[label == k], len(merged)) for k in (1, 0)], axis=1).astype(np.int64)
+        word, head = (merged >> np.uint64(32)).astype(np.int64), (merged & np.uint64(2**32 - 1)).astype(np.int64)
+        led = head < HEADS  # others are first words of texts
+        of_heads = np.concatenate([c[led], *(c[led] == t for t in (1, 2)), c[led] >= 3], axis=1)
+        whole = np.concatenate([[(c == t).sum(axis=0) for t in (1, 2, 3, 4)], [(c > 0).sum(axis=0)]]).reshape(1, -1)
+        rows = [*ranged(0, _slot(merged[led]), c[led], SLOTS), *ranged(1, word, (c > 0).astype(np.int64), WORDS), *ranged(2, head[led], of_heads, HEADS), *ranged(3, np.zeros(1, np.int64), whole, 1)]
+        return pa.table([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "range", "at", "v"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        at = [unpacked(k.as_buffer(), "<u4") for k in table.column("at")]
+        width = (2, 2, 8, 10)[kind]
+        values = np.concatenate([unpacked(k.as_buffer(), "<u8", (-1, width)) for k in table.column("v")])
+        rows = list(ranged(kind, np.concatenate(at).astype(np.int64), values, (SLOTS, WORDS, HEADS, 1)[kind]))
+        return pa.table([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "range", "at", "v"])
+
+    shape = "kind int, range int, at binary, v binary"
+    sums = rows.mapInArrow(count, "part int, toxic int, keys binary, n binary").groupBy("part").applyInArrow(merge, shape)
+    sums = sums.groupBy("kind", "range").applyInArrow(add, shape).toArrow()  # a row for each range of each kind, of WORDS, HEADS and SLOTS counts at most
+    kind = sums.column("kind").to_numpy()
+
+    def of_kind(k: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in np.flatnonzero(kind == k).tolist():
+            yield unpacked(sums.column("at")[i].as_buffer(), "<u4"), unpacked(sums.column("v")[i].as_buffer(), "<u8", (-1, width)).astype(np.int64)
 
-    parts = rows.mapInArrow(count, "part int, keys binary, toxic int").groupBy("part").applyInArrow(merge, "keys binary, c binary").toArrow()
-    # what comes back is read part by part, so that the driver holds little beside the packed rows and the models
-    each = lambda: ((unpacked(k.as_buffer()), unpacked(c.as_buffer(), "<u4", (-1, 2))) for k, c in zip(parts.column("keys"), parts.column("c")))
     times, total = np.zeros((2, 4), np.int64), np.zeros(2, np.int64)
-    for _, c in each():
-        times += [[int((c[:, k] == t).sum()) for t in (1, 2, 3, 4)] for k in (0, 1)]
-        total += (c > 0).sum(axis=0)
+    for _, v in of_kind(3, 10):
+        v = v.reshape(5, 2)
+        times, total = v[:4].T, v[4]
     if not total.all():
         return None
-    n, of_pairs = len(words), [discounts(*times[k].tolist()) for k in (0, 1)]
-    own, sums, lost = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64), np.zeros((n, 2))
-    led_pairs, led_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for keys, c in each():
-        place, ahead = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-        led = ahead < n
+    of_pairs = [discounts(*times[k].tolist()) for k in (0, 1)]
+    own = np.zeros((WORDS, 2), np.int32)
+    for at, v in of_kind(1, 2):
+        own[at] = v
+    # no word before stands at the end: nothing begins with it, and all mass is left to the word model
+    head_sum, head_back = np.zeros((HEADS + 1, 2), np.int64), np.ones((HEADS + 1, 2), np.float32)
+    for at, v in of_kind(2, 8):
+        head_sum[at] = v[:, :2]
         for k in (0, 1):
-            np.add.at(own[:, k], place, c[:, k] > 0)
-            np.add.at(sums[:, k], ahead[led], c[led, k])
-            np.add.at(lost[:, k], ahead[led], of_pairs[k][np.minimum(c[led, k], 3)])
-        led_pairs.append(keys[led])
-        led_counts.append(c[led, 0] << np.uint32(16) | c[led, 1])  # texts of a class, which FIT_DOCUMENTS bounds below 2 ** 16
-    del parts
-    pairs = np.concatenate(led_pairs)
-    del led_pairs
-    by_pair = np.argsort(pairs)
-    pairs = pairs[by_pair]
-    both, kind = np.unique(np.concatenate(led_counts), return_inverse=True)
-    kind = kind.reshape(-1).astype(np.uint16 if len(both) < 1 << 16 else np.uint32)[by_pair]
-    kinds = np.stack((both >> np.uint32(16), both & np.uint32(2**16 - 1)), axis=1).astype(np.int64)
-    del led_counts, by_pair
+            lost = sum(of_pairs[k][t] * v[:, 2 * t + k] for t in (1, 2, 3))
+            head_back[at, k] = np.where(v[:, k] > 0, lost / np.maximum(v[:, k], 1), 1.0)
+    both = np.zeros(1, np.uint64)
+    for _, v in of_kind(0, 2):
+        both = np.union1d(both, v[:, 0].astype(np.uint64) << np.uint64(32) | v[:, 1].astype(np.uint64))
+    pair_kind = np.zeros(SLOTS, np.uint16 if len(both) < 1 << 16 else np.uint32)  # kind 0: no text
+    for at, v in of_kind(0, 2):
+        pair_kind[at] = np.searchsorted(both, v[:, 0].astype(np.uint64) << np.uint64(32) | v[:, 1].astype(np.uint64))
+    kinds = np.stack((both >> np.uint64(32), both & np.uint64(2**32 - 1)), axis=1).astype(np.int64)
+    del sums
 
     # words with much of the contexts of the fitted texts: decided once, so that every task deals a key alike
-    contexts_of = own.sum(axis=1)
-    frequent = context.broadcast(contexts_of * FREQUENT >= max(contexts_of.sum(), 1))
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    many = max(FIT_PARTS, size // PART_BYTES)
+    contexts_of = own.sum(axis=1, dtype=np.int64)
+    seen = contexts_of > 0
+    known, frequent = context.broadcast(seen), context.broadcast(contexts_of * FREQUENT >= max(contexts_of.sum(), 1))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, folded = [np.zeros(0, np.uint64)], 0, 0
         for batch in batches:
             for _, _, _, before, hashes in _pairs(batch.column(0)):
-                at, fits = found_in(known.value, hashes)
+                at = _word(hashes)
+                fits = known.value[at]
                 found.append(np.unique((at[fits].astype(np.uint64) << np.uint64(32)) | (mix(before[fits]) >> np.uint64(32))))
                 held += len(found[-1])
                 if held > 2 * folded + HELD_KEYS // 4:
@@ -268,24 +309,25 @@ def language_models(df: DataFrame, rows: DataFrame, text_col: str = "text") -> M
         place, times = np.unique(merged >> np.uint64(32), return_counts=True)
         return pa.table({"place": pa.array(place.astype(np.int32)), "n": pa.array(times.astype(np.int64))})
 
-    everywhere = df.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").mapInArrow(contexts, "part int, keys binary").groupBy("part").applyInArrow(distinct, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the fitted texts
+    everywhere = df.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").mapInArrow(contexts, "part int, keys binary").groupBy("part").applyInArrow(distinct, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row for each of WORDS numbers at most
     known.unpersist()
     frequent.unpersist()
-    pool = np.zeros(n)
+    pool = np.zeros(WORDS)
     pool[everywhere.column("place").to_numpy()] = everywhere.column("n").to_numpy()
-    shared = (pool + ALPHA) / (pool.sum() + ALPHA * n)
-    of_words = [discounts(*_times(own[:, k])) for k in (0, 1)]
-    taken = np.stack([of_words[k][np.minimum(own[:, k], 3)] for k in (0, 1)], axis=1)
-    left = taken.sum(axis=0) / total
+    del everywhere
+    among = pool.sum() + ALPHA * seen.sum()
+    word_p = np.zeros((WORDS, 2), np.float32)
+    for k in (0, 1):
+        of_words = discounts(*_times(own[:, k]))
+        taken = of_words[np.minimum(own[:, k], 3)]
+        left = taken.sum() / total[k]
+        word_p[:, k] = np.where(seen, (own[:, k] - taken) / total[k] + left * (pool + ALPHA) / among, left * (1 + ALPHA) / among)
     return Models(
-        words=words,
-        word_p=((own - taken) / total + left * shared[:, None]).astype(np.float32),
-        word_level=level(own[:, 0]),
-        unseen=left * (1 + ALPHA) / (pool.sum() + ALPHA * n),
-        head_back=np.where(sums > 0, lost / np.maximum(sums, 1), 1.0).astype(np.float32),
-        head_sum=sums.astype(np.uint32),
-        pairs=pairs,
-        pair_kind=kind,
+        word_p=word_p,
+        word_level=np.where(seen, level(own[:, 0]), -1).astype(np.int8),
+        head_back=head_back,
+        head_sum=head_sum,
+        pair_kind=pair_kind,
         kinds=kinds,
         of_pairs=np.stack(of_pairs),
     )
@@ -294,11 +336,8 @@ def language_models(df: DataFrame, rows: DataFrame, text_col: str = "text") -> M
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Broadcast[Models], np.ndarray] | float:
     """The two models, sent out once, and the logistic weights, or the share of toxic labels where a class has none."""
     part = remainder(F.col("id"))
-    rows = _fit_rows(df, labels, part.isin(1, 2, 3), id_col, text_col).filter("text IS NOT NULL").dropDuplicates(["text", "toxic"]).persist()
-    try:
-        models = language_models(df, rows, text_col)
-    finally:
-        rows.unpersist()
+    rows = _labelled(df, labels, part.isin(1, 2, 3), id_col, text_col).filter("text IS NOT NULL").dropDuplicates(["text", "toxic"])
+    models = language_models(df, rows, text_col)
     if models is None:
         share = labels.filter(remainder(F.col(id_col)) != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         return float(share or 0.0)
@@ -310,20 +349,37 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             x = np.concatenate(found) if found else np.zeros((0, 1 + 2 * LEVELS))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    held = _fit_rows(df, labels, part == 4, id_col, text_col).mapInArrow(measure, "toxic int, x array<double>").toPandas()
-    x = np.array(held["x"].tolist(), float).reshape(-1, 1 + 2 * LEVELS)
-    return told, logistic(x, held["toxic"].to_numpy(float))
+    held = written(_labelled(df, labels, part == 4, id_col, text_col).mapInArrow(measure, "toxic int, x array<double>"), "measures")
+    weights = logistic(held, 1 + 2 * LEVELS)
+    discard(held)
+    return told, weights
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of (1, x) by Newton's method with a small ridge. Weights may be negative: measures of neighbouring levels correct each
+def logistic(rows: DataFrame, width: int, rounds: int = 40) -> np.ndarray:
+    """Weights of (1, x) for ``rows`` (``toxic``, ``x``) by Newton's method with a small ridge; each round adds up the derivatives of all
+    rows, and a row for each task reaches the driver. Weights may be negative: measures of neighbouring levels correct each
     other, and without negative ones fewer held-out texts are told apart."""
-    x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3, *[1e-1] * (x.shape[1] - 1)])
+    w, ridge = np.zeros(width + 1), np.diag([1e-3, *[1e-1] * width])
+
+    def derivatives(w: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width + 1, width + 2))
+            for batch in batches:
+                x = np.concatenate((np.ones((batch.num_rows, 1)), batch.column(1).flatten().to_numpy().reshape(-1, width)), axis=1)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[:, :-1] += (x * (p * (1 - p))[:, None]).T @ x
+                total[:, -1] += x.T @ (batch.column(0).to_numpy() - p)
+            yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], names=["d"])
+
+        return run
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        parts = rows.mapInArrow(derivatives(w), "d array<double>").toArrow().column("d").to_pylist()
+        total = np.sum([np.zeros((width + 1) * (width + 2)), *parts], axis=0).reshape(width + 1, width + 2)
+        step = np.linalg.solve(total[:, :-1] + ridge, total[:, -1] - ridge @ w)
         w = w + step * min(1.0, 5 / max(float(np.abs(step).max()), 1e-12))
+        if float(np.abs(step).max()) < 1e-9:
+            break
     return w
 
 

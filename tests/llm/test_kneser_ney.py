@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -105,3 +106,38 @@ def test_texts_beyond_the_bound_of_bytes_are_not_fitted(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
     rows = toxicity._fit_rows(docs, labels, toxicity.remainder(F.col("id")) < 9, "doc_id", "text").groupBy("toxic").count().collect()
     assert {r.toxic: r["count"] for r in rows} == {1: 2, 0: 14}
+
+
+def test_every_labelled_text_is_fitted(spark, monkeypatch):
+    """Scores are the same whatever a bounded sample would hold: counts, weights and so the threshold come from all labelled rows."""
+    draw = random.Random(5)
+    common = ["".join(draw.choice("abcdeilmnorst") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join([draw.choice(common) for _ in range(12)] + ([f"vile{draw.randrange(30)}"] if i % 4 == 0 else []))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    fitted, plain = [], toxicity.language_models
+
+    def counted(df, rows, text_col="text"):
+        fitted.append(rows.groupBy("toxic").count().collect())
+        return plain(df, rows, text_col)
+
+    monkeypatch.setattr(toxicity, "language_models", counted)
+    whole = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "FIT_DOCUMENTS", {1: 10, 0: 20})
+    monkeypatch.setattr(toxicity, "FIT_BYTES", {1: 500, 0: 1000})
+    bounded = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert all(abs(whole[i] - bounded[i]) < 1e-9 for i, _ in rows)
+    wanted = collections.Counter(int(i % 4 == 0) for i, _ in rows if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))
+    assert [{r.toxic: r["count"] for r in found} for found in fitted] == [wanted, wanted]
+
+
+def test_weights_are_those_of_all_rows(spark):
+    """Derivatives added up over tasks give the minimum that plain Newton steps on the whole matrix give."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] - 0.3)))).astype(int)
+    rows = spark.createDataFrame([(int(t), v.tolist()) for t, v in zip(y, x)], "toxic int, x array<double>").repartition(7)
+    found = toxicity.logistic(rows, 3)
+    whole, ridge = np.concatenate((np.ones((500, 1)), x), axis=1), np.diag([1e-3, 0.1, 0.1, 0.1])
+    slope = whole.T @ (y - 1 / (1 + np.exp(-whole @ found))) - ridge @ found
+    assert np.abs(slope).max() < 1e-6
