@@ -153,3 +153,32 @@ def test_fingerprint_is_the_same_in_blocks(monkeypatch):
 @pytest.mark.parametrize("run", [lambda df: sentencepiece_codec.encode_digests(df, tokenizer("piece_bpe_32k.model")), media_columns.media_digests, lambda df: packing.pack_documents(df, tokenizer("word_bpe_49k.json"))])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_new_words_are_encoded_without_the_library():
+    """Words that no memo holds yet get the library's ids, but don't pay for a call of it each; very long ones still do."""
+    import random
+
+    draw, own = random.Random(8), packing.WordTokenizer(tokenizer("word_bpe_49k.json"))
+    common = [chr(c) for c in range(0x180) if own.COMMON.fullmatch(chr(c)) and not chr(c).isspace()]
+    made = ["".join(draw.choice(pool) for _ in range(draw.randrange(1, 25))) for pool in ("aaab", "etaoinshrdlu", "éèüßøñaeiou", "!?.,-'\"", common) for _ in range(3000)]
+    made += ["a" * n for n in range(1, 300, 7)] + ["abc" * 200, "", "it's", "'s's", "0123 45"]
+    library, through = own.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, words, **more):
+            through.extend(words)
+            return library.encode_batch_fast(words, **more)
+
+    own.tokenizer = Counted()
+    for at in range(0, len(made), 100):
+        text = " ".join(made[at : at + 100])
+        assert own.COMMON.fullmatch(text)
+        assert own.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert own.memo and all(len(w) > packing.LONG_WORD for w in through)
+
+
+def test_words_whose_merges_depend_on_their_way_go_through_the_library():
+    """``abc`` is listed as ab + c, but b and c are put together before: only the library would leave a + bc apart."""
+    assert packing.last_pairs_are_listed([("a", "b"), ("ab", "c"), ("ab", "c</w>")])
+    assert not packing.last_pairs_are_listed([("b", "c"), ("a", "b"), ("ab", "c")])
