@@ -141,3 +141,12 @@ def test_weights_are_those_of_all_rows(spark):
     whole, ridge = np.concatenate((np.ones((500, 1)), x), axis=1), np.diag([1e-3, 0.1, 0.1, 0.1])
     slope = whole.T @ (y - 1 / (1 + np.exp(-whole @ found))) - ridge @ found
     assert np.abs(slope).max() < 1e-6
+
+
+def test_labels_beyond_the_broadcast_give_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(7, "again"), (None, "none")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 3 if i % 10 else None) for i in range(80)], "doc_id long, toxic int")
+    rows = lambda: sorted(map(tuple, toxicity._labelled(docs, labels, F.col("id") > 5, "doc_id", "text").collect()))
+    few = rows()
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 0)
+    assert few == rows() == sorted([(f"text {i}", i % 3) for i in range(6, 60) if i % 10 and i % 3 < 2] + [("again", 1)])
