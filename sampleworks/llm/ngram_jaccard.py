@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.llm._components import components
-from sampleworks.llm._shared import discard, packed, unpacked, written
+from sampleworks.llm._shared import discard, packed, small_batches, unpacked, written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
 TILE = 512
@@ -99,7 +99,9 @@ def rarity(df: DataFrame, size: int, text_col: str) -> np.ndarray:
 
     counted = df.select(text_col).mapInArrow(count, "slice int, buckets binary, times binary").groupBy("slice").applyInArrow(total, "slice int, level binary")
     levels = np.zeros(buckets, np.uint8)
-    for row in counted.collect():  # SLICES rows at most, a byte for each bucket
+    with small_batches(df.sparkSession):
+        slices = counted.collect()  # SLICES rows at most, a byte for each bucket
+    for row in slices:
         levels[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["level"], np.uint8)
     return levels
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import small_batches, written
 from sampleworks.llm._words import WEIGHTS, blocks, mix, word_hashes
 
 BYTES = 4
@@ -90,7 +90,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     target = F.broadcast(_fit_rows(labels, id_col, (1, 2, 3)).filter("quality = 1").select("id", F.lit(True).alias("target")))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(target, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     # added up row by row, whatever the number of tasks; what comes back is a row for each bucket
-    summed = rows.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    with small_batches(df.sparkSession):
+        summed = rows.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     totals = np.zeros((2, 2 * BUCKETS))
     totals[:, summed.column("bucket").to_numpy()] = summed.column("raw").to_numpy(), summed.column("good").to_numpy()
     raw, good = totals

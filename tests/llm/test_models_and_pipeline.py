@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sampleworks.llm import pii, quality, toxicity
+from sampleworks.llm import ngram_jaccard, pii, quality, toxicity
 from sampleworks.llm._shared import written
 
 SF = "/root/testdata/sf0.001"
@@ -172,3 +172,44 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "nothing")
     assert docs.count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    limit, folder = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path)
+    before, bare = spark.conf.get(limit, None), spark.conf.unset(limit)
+    rows = spark.range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 300) AS text")  # some 20 MB in one partition
+    known, sets = quality.blocks, ngram_jaccard._sets
+
+    def told(name, column):
+        with open(f"{folder}/{name}", "a") as file:
+            file.write(f"{column.nbytes}\n")
+
+    def spied_blocks(column):
+        told("quality", column)
+        yield from known(column)
+
+    def spied_sets(batch, size, column=1):
+        told("near", batch.column(column))
+        yield from sets(batch, size, column)
+
+    def largest(name):
+        sizes = [int(x) for x in (tmp_path / name).read_text().split()]
+        (tmp_path / name).unlink()
+        assert sum(sizes) >= 15_000_000
+        return max(sizes)
+
+    monkeypatch.setattr(quality, "blocks", spied_blocks)
+    monkeypatch.setattr(ngram_jaccard, "_sets", spied_sets)
+    try:
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        quality.log_ratios(rows, labels, "doc_id", "text")
+        assert largest("quality") < 9_000_000
+        ngram_jaccard.rarity(rows, 5, "text")
+        assert largest("near") < 9_000_000 and spark.conf.get(limit, None) is None
+        labels.write.parquet(f"{folder}/labels.parquet")
+        # the last pass runs when the caller asks for the rows
+        kept = corpus_pipeline.keep_quality(spark, rows, folder)
+        kept.write.format("noop").mode("overwrite").save()
+        assert largest("quality") < 3_000_000
+    finally:
+        spark.conf.set(limit, before) if bare is None and before is not None else spark.conf.unset(limit)
