@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleworks.llm._components import components
-from sampleworks.llm._shared import discard, packed, small_batches, unpacked, written
+from sampleworks.llm._shared import discard, giving_back, packed, small_batches, unpacked, written
 from sampleworks.llm._words import blocks, mix, shingles, word_hashes
 
 TILE = 512
@@ -78,6 +78,7 @@ def rarity(df: DataFrame, size: int, text_col: str) -> np.ndarray:
         columns = list(zip(*rows)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["slice", "buckets", "times"])
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [np.zeros(0, np.int64)], 0
         for batch in batches:
@@ -168,6 +169,7 @@ def classes(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, number of n-grams and class of each document."""
     kind = df.schema[id_col].dataType
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(grams), class_of(grams)) for _, grams in _sets(batch, size)]
@@ -180,6 +182,7 @@ def _blocks_of(df: DataFrame, levels: np.ndarray, size: int, percent: int, text_
     """(gram, node, n) for the first n-grams of each class, once for each task that has it."""
     known = df.sparkSession.sparkContext.broadcast(levels)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -221,6 +224,7 @@ def _with_sets(df: DataFrame, wanted: DataFrame, size: int, id_col: str, text_co
         wanted = F.broadcast(wanted)
     uses = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)

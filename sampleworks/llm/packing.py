@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import giving_back, written
 
 GROUP = 2048
 NARROWING = 16
@@ -181,6 +181,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
     names = ["id", "piece", "start", "length", "ids_crc32", "deal"]
     last = int(end_id).to_bytes(4, "little")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokenizer(tokenizer_path)
         seen = TaskContext.get().partitionId() * 7919

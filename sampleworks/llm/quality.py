@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleworks.llm._shared import small_batches, written
+from sampleworks.llm._shared import giving_back, small_batches, written
 from sampleworks.llm._words import WEIGHTS, blocks, mix, word_hashes
 
 BYTES = 4
@@ -76,6 +76,7 @@ def _fit_rows(labels: DataFrame, id_col: str, remainders: tuple[int, ...]) -> Da
 def log_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw) of every bucket, from counts over all documents."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 2 * BUCKETS), np.int64)
         for batch in batches:
@@ -118,6 +119,7 @@ def _weighted(df: DataFrame, ratio: np.ndarray, text_col: str, name: str, temper
     told = df.sparkSession.sparkContext.broadcast(ratio / temperature)
     at = df.columns.index(text_col)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = [np.zeros(0)]

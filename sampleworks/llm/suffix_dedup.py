@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import giving_back, written
 from sampleworks.llm._words import BASE, blocks, mix
 
 LENGTH = 50
@@ -160,6 +160,7 @@ def _key_bits(octets: int) -> int:
 def _shared_anchors(rows: DataFrame, hot: int, bits: int) -> DataFrame:
     """``doc, keys, hot``: the anchors of each document that others have too, and those with more than ``hot`` occurrences."""
 
+    @giving_back
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy()
@@ -270,6 +271,7 @@ def _candidates(rows: DataFrame, hot: int | None = None) -> DataFrame:
     """
     bits = _key_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
+    @giving_back
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = _Folded()
         for batch in batches:
@@ -302,6 +304,7 @@ def _ranges(rows: DataFrame) -> DataFrame:
     placed = _candidates(rows)
     placed = placed.withColumn("spread", F.coalesce("key", F.xxhash64("doc", "low"))).repartition("spread").sortWithinPartitions("key", "context", "doc").drop("spread")
 
+    @giving_back
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of one key; hot anchors are split, so these are few
         for batch in batches:
@@ -318,7 +321,6 @@ def _ranges(rows: DataFrame) -> DataFrame:
             held.append(batch.slice(cut))
         if held:
             yield from _in_parts(pa.Table.from_batches(held))
-        pa.default_memory_pool().release_unused()
 
     return placed.mapInArrow(factors, RANGE)
 
@@ -395,6 +397,7 @@ def _merged_ranges(found: DataFrame) -> DataFrame:
     """``doc, t, ranges`` with the ranges of each text merged and in order."""
     placed = found.repartition("doc", "t").sortWithinPartitions("doc", "t", "low")
 
+    @giving_back
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
@@ -465,6 +468,7 @@ def removed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select(F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary").alias("raw"), F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy"), "ranges")
     kind = df.schema[id_col].dataType
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

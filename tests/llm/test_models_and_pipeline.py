@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from sampleworks.llm import ngram_jaccard, pii, quality, toxicity
-from sampleworks.llm._shared import written
+from sampleworks.llm._shared import giving_back, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,3 +213,23 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
         assert largest("quality") < 3_000_000
     finally:
         spark.conf.set(limit, before) if bare is None and before is not None else spark.conf.unset(limit)
+
+
+def test_workers_give_memory_back():
+    pinned = []
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    @giving_back
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(100_000, np.uint8) for _ in range(3_000)]
+            pinned.append(np.ones(100_000, np.uint8))  # lies after the others, so the heap can't shrink by itself
+            del held
+            yield batch
+
+    before = resident()
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 100_000_000
