@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from sampleworks.llm import ngram_jaccard, packing, pii, quality, suffix_dedup
 from sampleworks.llm._shared import BATCH_LIMIT, written
 
-
 #: texts of a batch on their way to a Python worker
 BATCH_BYTES = "2m"
 
