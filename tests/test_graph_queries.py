@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from sampleworks.operators import neighbours
 from sampleworks.plans import registry
 
 
@@ -37,3 +38,17 @@ def test_equals_sql_where_vectors_are_crowded(spark, crowded, name):
     want = _rows([d[0] for d in cursor.description], cursor.fetchall())
     found = registry.QUERIES[name](spark, str(crowded))
     assert _rows(found.columns, found.collect()) == want
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_groups_of_long_chains_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(neighbours, "FEW", few)
+    links = [(i, i + 1, 0.1) for i in range(0, 40)] + [(60, 50, 0.1), (55, 60, 0.2), (70, 71, 0.9)]
+    found = neighbours.duplicate_groups(spark.createDataFrame(links, "src long, dst long, dist double"), 0.5)
+    assert sorted(tuple(r) for r in found.collect()) == [*((i, 0) for i in range(41)), (50, 50), (55, 50), (60, 50)]
+    assert not neighbours.duplicate_groups(spark.createDataFrame([], "src long, dst long, dist double"), 0.5).collect()
+
+
+def test_no_vector_is_shuffled_for_the_nearest(spark, crowded):
+    found = neighbours.neighbours(spark.read.parquet(f"{crowded}/embeddings.parquet"), 5, packet=32)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
