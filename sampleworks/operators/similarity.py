@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from sampleworks.functions import masks
 from sampleworks.functions.geometry import PERSON_SIGMAS
 from sampleworks.functions.values import ratio
-from sampleworks.operators.ranges import staged
 
+PAIRS_AT_ONCE = 1_000_000  # pairs of bounds that are held against each other at once
 TILE = 512  # predictions that are held against all labels of a picture at once
 
 
@@ -128,6 +128,122 @@ def keypoint_pairs(predicted: list[dict], truth: list[dict], picture: dict, sigm
     return p, np.array(shown)[t], score[p, t], np.zeros(len(p))
 
 
+class _Objects:
+    """The objects of a batch of pictures, one after the other."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        flat, kind = lists.flatten(), lists.type.value_type
+        self.size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.picture = np.repeat(np.arange(len(self.size)), self.size)
+        self.fields = dict(zip([kind.field(i).name for i in range(kind.num_fields)], flat.flatten()))
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.fields[name].cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _near(own: _Objects, labelled: _Objects, a: np.ndarray, b: np.ndarray, area: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within a picture whose bounds ``x0, y0, x1, y1`` share at least ``least`` of the prediction's ``area``: of others neither
+    measure can reach it."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    many = labelled.size[own.picture]
+    upto, at = np.cumsum(many), 0
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        times = many[at:end]
+        i = np.repeat(np.arange(at, end), times)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times - labelled.start[own.picture[at:end]], times)
+        wide, high = np.minimum(a[i, 2], b[j, 2]) - np.maximum(a[i, 0], b[j, 0]), np.minimum(a[i, 3], b[j, 3]) - np.maximum(a[i, 1], b[j, 1])
+        kept = (wide >= 0) & (high >= 0) & (wide * high >= least * area[i] * (1 - 1e-9))
+        left.append(i[kept])
+        right.append(j[kept])
+        at = end
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _corners(side: _Objects) -> np.ndarray:
+    """Corners of oriented boxes as points, turned so that their area isn't negative."""
+    points = side.fields["corners"].flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(side.picture), -1, 2)
+    return np.where((_areas(points) < 0)[:, None, None], points[:, ::-1], points)
+
+
+def _areas(points: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Signed areas of outlines; of those with ``size`` points what is behind them repeats the first."""
+    if size is not None:
+        points = np.where((np.arange(points.shape[1]) < size[:, None])[..., None], points, points[:, :1])
+    ahead = np.roll(points, -1, axis=1)
+    return (points[..., 0] * ahead[..., 1] - ahead[..., 0] * points[..., 1]).sum(axis=1) / 2
+
+
+def _shared_outlines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that pairs of convex outlines have in common: each of ``a`` is cut by the lines along the edges of ``b``."""
+    points, size = a, np.full(len(a), a.shape[1])
+    for k in range(b.shape[1]):
+        start, end = b[:, k], b[:, (k + 1) % b.shape[1]]
+        wide = points.shape[1]
+        side = (end[:, 0] - start[:, 0])[:, None] * (points[..., 1] - start[:, 1:]) - (end[:, 1] - start[:, 1])[:, None] * (points[..., 0] - start[:, :1])
+        place = np.arange(wide)
+        behind = np.where(place + 1 < size[:, None], place + 1, 0)
+        q, other = np.take_along_axis(points, behind[..., None], 1), np.take_along_axis(side, behind, 1)
+        real = place < size[:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            met = points + (q - points) * (side / (side - other))[..., None]
+        kept = np.stack((real & (side >= 0), real & ((side < 0) != (other < 0))), axis=2).reshape(len(a), -1)
+        made = np.stack((points, met), axis=2).reshape(len(a), -1, 2)
+        size = kept.sum(axis=1)
+        order = np.argsort(~kept, axis=1, kind="stable")[:, : max(wide + 1, int(size.max(initial=0)))]
+        points = np.take_along_axis(made, order[..., None], 1)
+        points = np.where((np.arange(points.shape[1]) < size[:, None])[..., None], points, 0.0)
+    return np.where(size > 2, np.abs(_areas(points, size)), 0.0)
+
+
+def _batch_pairs(task: str, own: _Objects, labelled: _Objects, width: np.ndarray, height: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """As :data:`PAIRS`, for all pictures of a batch at once; places are those in the batch."""
+    if task == "segment":
+        runs, bounds, held = [], [], []
+        for side, other in ((own, labelled), (labelled, own)):
+            used = other.size[side.picture] > 0  # a picture without the other side isn't looked at
+            texts = [t if u else None for t, u in zip(side.fields["segmentation"].to_pylist(), used.tolist())]
+            w, h = (np.where(used, size[side.picture], 1) for size in (width, height))
+            found, base, faults = masks.many_runs(texts, w, h)
+            if faults:
+                raise masks.MaskError(next(iter(faults.values())))
+            runs.append((found, base, h, used))
+        base = max(base for _, base, _, _ in runs)
+        moved = []
+        for (start, end), old, h, used in runs:
+            shift = start // old * (base - old)
+            start, end, of = start + shift, end + shift, start // old
+            moved.append((start, end))
+            area = masks.areas((start, end), base, len(h))
+            at, until, high = start - of * base, end - of * base - 1, h[of]
+            one = at // high == until // high  # else a run goes over whole columns
+            low, top = np.where(one, at % high, 0), np.where(one, until % high + 1, high)
+            box = np.zeros((len(h), 4))
+            box[:, :2], box[:, 2:] = np.inf, -np.inf
+            for c, values, least_of in ((0, at // high, True), (1, low, True), (2, until // high + 1, False), (3, top, False)):
+                (np.minimum if least_of else np.maximum).at(box[:, c], of, values)
+            bounds.append(box)
+            held.append(area)
+        if (held[1][runs[1][3]] == 0).any():
+            raise masks.MaskError("a label without a pixel")
+        i, j = _near(own, labelled, *bounds, held[0], least)
+        shared = masks.shared_areas(*moved, base, i, j).astype(float)
+        held = [h.astype(float) for h in held]
+    elif task == "obb":
+        a, b = _corners(own), _corners(labelled)
+        held = [np.abs(_areas(c)) for c in (a, b)]
+        i, j = _near(own, labelled, *[np.concatenate((c.min(axis=1), c.max(axis=1)), axis=1) for c in (a, b)], held[0], least)
+        shared = _shared_outlines(a[i], b[j])
+    else:
+        a, b = (np.column_stack([side.numbers(c) for c in ("x0", "y0", "x1", "y1")]) for side in (own, labelled))
+        a = np.column_stack((np.minimum(a[:, :2], a[:, 2:]), np.maximum(a[:, :2], a[:, 2:])))  # corners may come crossed
+        held = [np.prod(np.maximum(c[:, 2:] - c[:, :2], 0), axis=1) for c in (a, b)]
+        i, j = _near(own, labelled, a, b, held[0], least)
+        shared = np.prod(np.maximum(np.minimum(a[i, 2:], b[j, 2:]) - np.maximum(a[i, :2], b[j, :2]), 0), axis=1)
+    return i, j, _share(shared, held[0][i] + held[1][j] - shared), _share(shared, held[0][i])
+
+
 PAIRS: dict[str, Callable[..., tuple[np.ndarray, ...]]] = {"detect": box_pairs, "segment": mask_pairs, "obb": oriented_pairs, "pose": keypoint_pairs}
 
 
@@ -201,20 +317,68 @@ def task_counts(
     Crowds are matched by nothing, and an unmatched prediction that lies in one by ``ignore_overlap`` is no false positive; of poses
     labels without a visible point are left out too, and a prediction's box counts. Without anything to divide by the measures are 1.
     """
-    keys = list(keys)
-    skipped = F.coalesce(F.col("o")["iscrowd"].cast("boolean"), F.lit(False))
     if task == "pose":
-        skipped = skipped | ~_any_visible(F.col("o")["keypoints"])
+        counts = _shuffled_counts(df, list(keys), truth, predicted, threshold, ignore_overlap, class_aware, sigmas)
+    elif task in PAIRS:
+        counts = _batch_counts(df, task, list(keys), truth, predicted, threshold, ignore_overlap, class_aware)
+    else:
+        raise ValueError(f"unknown task: {task}")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    precision, recall = ratio(tp, tp + fp, 1.0), ratio(tp, tp + fn, 1.0)
+    return counts.select("*", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
+
+
+def _batch_counts(df: DataFrame, task: str, keys: list[str], truth: str, predicted: str, threshold: float, ignore_overlap: float, class_aware: bool) -> DataFrame:
+    """``keys, tp, fp, fn``; pictures are counted where they are, a batch at once, and nothing is shuffled."""
+    size = [c for c in ("width", "height") if c in df.columns]
+    kinds = {f.name: f for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, labelled = _Objects(batch.column(predicted)), _Objects(batch.column(truth))
+            width, height = (batch.column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) if c in size else np.zeros(batch.num_rows, np.int64) for c in ("width", "height"))
+            i, j, score, covered = _batch_pairs(task, own, labelled, width, height, min(threshold, ignore_overlap))
+            skipped = labelled.fields["iscrowd"].cast(pa.bool_()).fill_null(False).to_numpy(zero_copy_only=False)
+            good = (score >= threshold) & ~skipped[j]
+            if class_aware:
+                both = pa.concat_arrays([own.fields["label"], labelled.fields["label"].cast(own.fields["label"].type)])
+                named = both.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                of_own, of_label = named[: len(own.picture)], named[len(own.picture) :]
+                good &= (of_own[i] == of_label[j]) & (of_own[i] >= 0)
+            p, t, alike = i[good], j[good], score[good]
+            sure = own.fields["score"].cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            sure = np.where(np.isnan(sure), np.inf, sure)  # as Spark orders them
+            turn = np.lexsort((t, -alike, p, -sure[p], own.picture[p]))
+            free, waits = (bytearray(b"\1") * len(side.picture) for side in (labelled, own))
+            for a, b in zip(p[turn].tolist(), t[turn].tolist()):
+                if waits[a] and free[b]:
+                    waits[a] = free[b] = 0
+            open_ = np.frombuffer(waits, bool)
+            hidden = np.zeros(len(own.picture), bool)
+            hidden[i[skipped[j] & (covered >= ignore_overlap)]] = True
+            n = batch.num_rows
+            tp = np.bincount(own.picture[~open_], minlength=n)
+            fp = np.bincount(own.picture[open_ & ~hidden], minlength=n)
+            fn = np.bincount(labelled.picture[~skipped], minlength=n) - tp
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c.astype(np.int64)) for c in (tp, fp, fn))], names=[*keys, "tp", "fp", "fn"])
+
+    schema = T.StructType([*(kinds[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn"))])
+    return df.select(*keys, *[c for c in size if c not in keys], truth, predicted).mapInArrow(run, schema)
+
+
+def _shuffled_counts(df: DataFrame, keys: list[str], truth: str, predicted: str, threshold: float, ignore_overlap: float, class_aware: bool, sigmas: Sequence[float] | None) -> DataFrame:
+    """``keys, tp, fp, fn`` of poses, from tables of objects and pairs."""
+    skipped = F.coalesce(F.col("o")["iscrowd"].cast("boolean"), F.lit(False)) | ~_any_visible(F.col("o")["keypoints"])
     labels = objects(df, truth, keys, "t", F.col("o")["label"].alias("truth_label"), skipped.alias("skipped"))
     own = objects(df, predicted, keys, "p", "label", "score")
-    found = similarities(df, task, keys, truth=truth, predicted=predicted, least=min(threshold, ignore_overlap), sigmas=sigmas)
-    placed = staged(found.join(labels, [*keys, "t"]).join(own, [*keys, "p"]), "pairs")  # read twice
+    found = similarities(df, "pose", keys, truth=truth, predicted=predicted, least=min(threshold, ignore_overlap), sigmas=sigmas)
+    placed = found.join(labels, [*keys, "t"]).join(own, [*keys, "p"])
     same = (F.col("label") == F.col("truth_label")) if class_aware else F.lit(True)
     matched = match(placed.filter(~F.col("skipped") & same), keys, threshold=threshold)
-    regions = placed.filter(F.col("skipped") & (F.col("covered") >= ignore_overlap))
-    if task == "pose":
-        boxes = similarities(df, "detect", keys, truth=truth, predicted=predicted, least=ignore_overlap)
-        regions = boxes.join(labels.filter("skipped"), [*keys, "t"]).filter(F.col("covered") >= ignore_overlap)
+    boxes = similarities(df, "detect", keys, truth=truth, predicted=predicted, least=ignore_overlap)
+    regions = boxes.join(labels.filter("skipped"), [*keys, "t"]).filter(F.col("covered") >= ignore_overlap)
     ignored = regions.select(*keys, "p").distinct().join(matched, [*keys, "p"], "left_anti")
     parts = [
         labels.filter(~F.col("skipped")).select(*keys, F.lit("truth").alias("part")),
@@ -228,11 +392,7 @@ def task_counts(
         rows = rows.unionByName(more)
     counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("part") == c).alias(c) for c in ("truth", "own", "matched", "ignored")])
     tp = F.col("matched")
-    fp, fn = F.col("own") - tp - F.col("ignored"), F.col("truth") - tp
-    counts = counts.select(*keys, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    precision, recall = ratio(tp, tp + fp, 1.0), ratio(tp, tp + fn, 1.0)
-    return counts.select("*", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
+    return counts.select(*keys, tp.alias("tp"), (F.col("own") - tp - F.col("ignored")).alias("fp"), (F.col("truth") - tp).alias("fn"))
 
 
 def _any_visible(keypoints: Column) -> Column:
