@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sampleworks.functions.values import f1_score, is_finite, ratio
 from sampleworks.operators import matching
+from sampleworks.operators.ranges import staged
 
 SKIPPED = -2
 
@@ -80,9 +81,15 @@ def class_matches(df: DataFrame, truth: str = "truth", predicted: str = "predict
 
     Raising the confidence only takes away predictions too weak to have won a label, so all readings follow from these rows.
     """
-    rows = outcomes(df, [], truth, predicted, confidence=lowest, threshold=threshold)
-    scored = rows.filter("kind <> 'fn'").select("label", "score", (F.col("kind") == "tp").alias("hit"))
-    return scored, rows.filter("kind <> 'fp'").groupBy("label").agg(F.count("*").alias("support"))
+    steps = df.select(_boxes(df, truth).alias("__t"), F.filter(_boxes(df, predicted), lambda p: p["score"] >= lowest).alias("__p"))
+    steps = steps.withColumn("__m", matching.greedy_match(F.col("__t"), F.col("__p"), threshold))
+    box = lambda m: F.element_at("__p", m["place"] + 1)
+    shown = F.transform("__m", lambda m: F.struct(box(m)["label"].alias("label"), box(m)["score"].alias("score"), (m["truth"] >= 0).alias("hit")))
+    lost = F.array_except(F.transform("__t", lambda t, i: i), F.transform("__m", lambda m: m["truth"]))
+    missed = F.transform(lost, lambda i: F.struct(F.element_at("__t", i + 1)["label"].alias("label"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("hit")))
+    rows = staged(steps.select(F.inline(F.concat(shown, missed))), "class-matches")  # read several times
+    scored = rows.filter("hit IS NOT NULL")
+    return scored, rows.filter("hit IS NULL OR hit").groupBy("label").agg(F.count("*").alias("support"))
 
 
 def class_table(scored: DataFrame, support: DataFrame, confidence: float, order: list[str]) -> DataFrame:

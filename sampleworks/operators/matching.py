@@ -1,11 +1,13 @@
 """Boxes: overlap, greedy matching, suppression and the measures that follow from them.
 
 Instances are arrays of structs ``x0, y0, x1, y1, label`` (and ``score``); everything within an image is one expression
-over its arrays, so no image is unfolded and nothing is shuffled.
+over its arrays, so no image is unfolded and nothing is shuffled. Matching goes over Arrow batches of images.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +42,113 @@ def by_score(predictions: Column) -> Column:
     return F.array_sort(placed)
 
 
+PAIRS = 1_000_000  # pairs of boxes that are worked out at once
+MATCHES = "array<struct<place:int,truth:int,best:int,overlap:double>>"
+
+
+class _Side:
+    """The boxes of a batch of pictures, one after the other, and where each picture's begin."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        flat, kind = lists.flatten(), lists.type.value_type
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.size = sizes.astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        parts = dict(zip([kind.field(i).name for i in range(kind.num_fields)], flat.flatten()))
+        self.fields = parts
+        box = [parts[c].cast(pa.float64()) for c in ("x0", "y0", "x1", "y1")]
+        self.x0, self.y0 = (c.fill_null(-np.inf).to_numpy(zero_copy_only=False) for c in box[:2])
+        self.x1, self.y1 = (c.fill_null(np.inf).to_numpy(zero_copy_only=False) for c in box[2:])
+        with np.errstate(invalid="ignore"):
+            self.area = np.maximum(self.x1 - self.x0, 0.0) * np.maximum(self.y1 - self.y0, 0.0)
+        if any(c.null_count for c in box):  # a null takes no part in a least or greatest, and a side without an end has no length
+            self.area[np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in box])] = 0.0
+
+    def score(self) -> np.ndarray:
+        return self.fields["score"].cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
+
+
+def _labels(one: pa.Array, other: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of two sides as numbers; a null equals nothing."""
+    both = pa.chunked_array([one, other.cast(one.type)]).combine_chunks()
+    if isinstance(both, pa.ChunkedArray):
+        both = pa.concat_arrays(both.chunks)
+    codes = both.dictionary_encode().indices
+    told = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = told[: len(one)], told[len(one) :].copy()
+    right[right < 0] = -2
+    return left, right
+
+
+def _greedy(truth: pa.ListArray, predictions: pa.ListArray, threshold: float, class_aware: bool) -> pa.Array:
+    t, p = _Side(truth), _Side(predictions)
+    picture = np.repeat(np.arange(len(p.size)), p.size)
+    many = t.size[picture]  # labels that each prediction meets
+    upto = np.cumsum(many)
+    n = len(picture)
+    best, overlap = np.full(n, -1, np.int64), np.full(n, np.nan)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    t_label, p_label = _labels(t.fields["label"], p.fields["label"]) if class_aware else (None, None)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        times = many[at:end]
+        i = np.repeat(np.arange(at, end), times)
+        starts = np.cumsum(times) - times
+        j = np.arange(len(i)) - np.repeat(starts - t.start[picture[at:end]], times)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            wide, high = np.fmin(p.x1[i], t.x1[j]) - np.maximum(p.x0[i], t.x0[j]), np.fmin(p.y1[i], t.y1[j]) - np.maximum(p.y0[i], t.y0[j])
+            shared = np.where(np.isposinf(wide), 0.0, np.maximum(wide, 0.0)) * np.where(np.isposinf(high), 0.0, np.maximum(high, 0.0))
+            union = p.area[i] + t.area[j] - shared
+            u = np.where(union == 0, 0.0, shared / union)
+        some = np.flatnonzero(times)
+        if len(some):
+            most = np.fmax.reduceat(u, starts[some])
+            same = np.flatnonzero((u == np.repeat(most, times[some])) | np.isnan(np.repeat(most, times[some])))
+            best[at + some] = (j - t.start[picture[i]])[same[np.searchsorted(same, starts[some])]]
+            overlap[at + some] = most
+        good = u >= threshold
+        if class_aware:
+            good &= p_label[i] == t_label[j]
+        good = np.flatnonzero(good)
+        found.append((i[good], j[good], u[good]))
+        at = end
+    order = np.lexsort((np.arange(n), -p.score() if n else np.zeros(0), picture))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    taken = np.full(n, -1, np.int64)
+    if found:
+        i, j, u = (np.concatenate(c) for c in zip(*found))
+        turn = np.lexsort((j, -u, rank[i]))
+        free, open_ = bytearray(b"\1") * len(t.x0), bytearray(b"\1") * n
+        for a, b in zip(i[turn].tolist(), j[turn].tolist()):
+            if open_[a] and free[b]:
+                open_[a] = free[b] = 0
+                taken[a] = b - t.start[picture[a]]
+    place = order - p.start[picture[order]]
+    no_best = best[order] < 0
+    columns = [pa.array(place.astype(np.int32)), pa.array(taken[order].astype(np.int32)), pa.array(best[order].astype(np.int32), mask=no_best), pa.array(overlap[order], mask=no_best)]
+    rows = pa.StructArray.from_arrays(columns, names=["place", "truth", "best", "overlap"])
+    return pa.ListArray.from_arrays(pa.array(p.start.astype(np.int32)), rows, mask=predictions.is_null())
+
+
+def matched(truth: Column, predictions: Column, threshold: float = 0.5, class_aware: bool = True) -> Column:
+    """As :func:`greedy_match`, with the ``best`` label of any class that each prediction overlaps most, and that ``overlap``; null
+    where there are no labels. The boxes of a batch of pictures are worked out together."""
+
+    @F.arrow_udf(MATCHES)
+    def match(t: pa.Array, p: pa.Array) -> pa.Array:
+        return _greedy(t, p, threshold, class_aware)
+
+    return match(truth, predictions)
+
+
 def greedy_match(truth: Column, predictions: Column, threshold: float = 0.5, class_aware: bool = True) -> Column:
     """For each prediction in order of score: ``place``, and the ``truth`` index it takes (-1 for none).
 
     A prediction takes the unused truth box with the largest overlap of ``threshold`` or more, ties to the lower index.
     """
-    none = F.array().cast("array<struct<place:int,truth:int>>")
-
-    def take(found: Column, p: Column) -> Column:
-        options = F.transform(truth, lambda t, i: F.struct((-iou(p["box"], t)).alias("u"), i.alias("i"), t["label"].alias("label")))
-        free = F.filter(options, lambda o: (o["u"] <= -threshold) & ~F.exists(found, lambda m: m["truth"] == o["i"]) & ((o["label"] == p["box"]["label"]) if class_aware else F.lit(True)))
-        chosen = F.coalesce(F.try_element_at(F.array_sort(free), F.lit(1))["i"], F.lit(-1))
-        return F.concat(found, F.array(F.struct(p["place"].cast("int").alias("place"), chosen.cast("int").alias("truth"))))
-
-    return F.aggregate(by_score(predictions), none, take)
+    return F.transform(matched(truth, predictions, threshold, class_aware), lambda m: F.struct(m["place"].alias("place"), m["truth"].alias("truth")))
 
 
 def nms(boxes: Column, threshold: float = 0.5, class_aware: bool = True) -> Column:

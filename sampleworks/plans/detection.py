@@ -24,8 +24,8 @@ def rows(spark, sf_dir):
 
 
 def images(spark, sf_dir):
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct(*_KEYS, c))), lambda r: r[c]).alias(c)
-    return rows(spark, sf_dir).groupBy("image").agg(ordered("truth"), ordered("predicted"))
+    ordered = F.sort_array(F.collect_list(F.struct(*_KEYS, "truth", "predicted")))
+    return rows(spark, sf_dir).groupBy("image").agg(ordered.alias("r")).select("image", "r.truth", "r.predicted")
 
 
 def scored(spark, sf_dir):
