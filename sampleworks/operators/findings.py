@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sampleworks.operators.matching import greedy_match, iou
+from sampleworks.operators.matching import greedy_match, iou, matched
 
 NONE, CLEAR = 0.1, 0.5
 MIN_SHARE = {"missing_label": 0.2, "wrong_class": 0.2, "loose_box": 0.2, "missed": 0.5}
@@ -17,15 +17,15 @@ def prediction_findings(truth: Column, predictions: Column, confidence: float =
     Against its best label a prediction overlaps under 0.1 (missing label), 0.5 or more in another class (wrong
     class), or less in the same class (loose box); anything else says nothing.
     """
-    matches = greedy_match(truth, predictions, CLEAR, class_aware=True)
+    matches = matched(truth, predictions, CLEAR, class_aware=True)
     unmatched = F.filter(matches, lambda m: (m["truth"] < 0) & (F.element_at(predictions, m["place"] + 1)["score"] >= confidence))
 
     def finding(m: Column) -> Column:
         p = F.element_at(predictions, m["place"] + 1)
-        best = F.try_element_at(F.array_sort(F.transform(truth, lambda t, i: F.struct((-iou(p, t)).alias("u"), i.alias("i"), t["label"].alias("label")))), F.lit(1))
-        overlap = F.coalesce(-best["u"], F.lit(0.0))
-        rule = F.when(overlap < NONE, "missing_label").when((overlap >= CLEAR) & (best["label"] != p["label"]), "wrong_class").when((overlap < CLEAR) & (best["label"] == p["label"]), "loose_box")
-        return F.struct(rule.alias("rule"), F.when(rule != "missing_label", best["label"]).alias("label"), p["label"].alias("predicted"), F.when(rule == "missing_label", -1).otherwise(best["i"]).cast("int").alias("place"), p["score"].alias("score"), overlap.alias("overlap"))
+        label = F.try_element_at(truth, m["best"] + 1)["label"]
+        overlap = F.coalesce(m["overlap"], F.lit(0.0))
+        rule = F.when(overlap < NONE, "missing_label").when((overlap >= CLEAR) & (label != p["label"]), "wrong_class").when((overlap < CLEAR) & (label == p["label"]), "loose_box")
+        return F.struct(rule.alias("rule"), F.when(rule != "missing_label", label).alias("label"), p["label"].alias("predicted"), F.when(rule == "missing_label", -1).otherwise(m["best"]).cast("int").alias("place"), p["score"].alias("score"), overlap.alias("overlap"))
 
     return F.filter(F.transform(unmatched, finding), lambda f: f["rule"].isNotNull())
 
@@ -34,8 +34,8 @@ def missed_labels(truth: Column, predictions: Column, confidence: float = 0.5) -
     """Labels that no confident prediction took, in the form of the findings."""
     sure = F.filter(predictions, lambda p: p["score"] >= confidence)
     taken = greedy_match(truth, sure, CLEAR, class_aware=False)
-    lost = F.filter(F.transform(truth, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: ~F.exists(taken, lambda m: m["truth"] == x["i"]))
-    return F.transform(lost, lambda x: F.struct(F.lit("missed").alias("rule"), x["t"]["label"].alias("label"), F.lit(None).cast("int").alias("predicted"), x["i"].cast("int").alias("place"), F.lit(1.0).cast("double").alias("score"), F.lit(None).cast("double").alias("overlap")))
+    lost = F.array_except(F.transform(truth, lambda t, i: i), F.transform(taken, lambda m: m["truth"]))
+    return F.transform(lost, lambda i: F.struct(F.lit("missed").alias("rule"), F.element_at(truth, i + 1)["label"].alias("label"), F.lit(None).cast("int").alias("predicted"), i.cast("int").alias("place"), F.lit(1.0).cast("double").alias("score"), F.lit(None).cast("double").alias("overlap")))
 
 
 def round_findings(df: DataFrame, keys: list[str], truth: str = "truth", predicted: str = "predicted", confidence: float = 0.5) -> DataFrame:
